@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .bpe import op9_byte_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .packing import op2_best_fit_packing
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup}
+QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op6_exact_dedup": op6_exact_dedup, "op9_byte_bpe": op9_byte_bpe}
 ORACLE_SQL = {"op6_exact_dedup": OP6_SQL}
