@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op10_nearest_neighbours
 from .bpe import op9_byte_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .htmltext import op1_html_extraction
@@ -11,5 +12,5 @@ from .packing import op2_best_fit_packing
 from .pii import op5_private_data
 from .toxicity import op8_toxicity
 
-QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_best_fit_packing": op2_best_fit_packing, "op3_near_dedup": op3_near_dedup, "op5_private_data": op5_private_data, "op6_exact_dedup": op6_exact_dedup, "op7_language_id": op7_language_id, "op8_toxicity": op8_toxicity, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_best_fit_packing": op2_best_fit_packing, "op3_near_dedup": op3_near_dedup, "op5_private_data": op5_private_data, "op6_exact_dedup": op6_exact_dedup, "op7_language_id": op7_language_id, "op8_toxicity": op8_toxicity, "op9_byte_bpe": op9_byte_bpe, "op10_nearest_neighbours": op10_nearest_neighbours}
 ORACLE_SQL = {"op6_exact_dedup": OP6_SQL}
