@@ -286,3 +286,18 @@ def fit_on_tables(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model |
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scored(docs, fit_on_tables(spark, docs, sf_dir), held_out_fold())
+
+
+def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows whose score is below a half, with their columns; scored in place, without a join."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for part in slices(batch, text_col, 1 << 20):
+                yield part.filter(pa.array(own.scores([x or "" for x in part.column(text_col).to_pylist()]) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
