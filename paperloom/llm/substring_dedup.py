@@ -1,14 +1,15 @@
 """Substring deduplication over words, by prefix-partitioned suffix trees.
 
 A suffix starts at a word. Of the suffixes, those that start at an anchor are partitioned: the anchor of a window of
-``WINDOW`` words is its ``PREFIX``-word sequence of smallest hash (the leftmost of equal ones), so that equal windows
+``SPAN`` words is its ``PREFIX``-word sequence of smallest hash (the leftmost of equal ones), so that equal windows
 have equal anchors at equal places, and an anchor speaks for the run of windows around it.
 
 1. Anchors are counted by their prefix. A prefix that occurs once holds no repeat, and its suffixes end here.
 2. The suffixes of repeated prefixes form groups. A group with at most ``GROUP`` suffixes goes to one task, where its
    tree is cut at the depth of a window: suffixes are ordered by their windows' hashes, runs of equal ones are the deep
-   internal nodes, and all of a node's occurrences but the earliest are marked. Larger groups are split by the
-   longest prefix there is, the whole window: each of these is one node, told by an aggregate.
+   internal nodes, and all of a node's occurrences but the earliest are marked. Larger groups are dealt out by a
+   salt: each part marks all but its earliest occurrence of a node, and the parts' earliest meet once more by the
+   longest prefix there is, the whole window.
 3. Marks go back to their documents, which drop the words that marked windows cover.
 
 The texts are written once as a table bucketed by id, so that neither of the joins with them moves them again.
@@ -26,15 +27,15 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import hashed_words, scratch_dir, slices, spread, stored, table, window_hash
 
-WINDOW, PREFIX, GROUP = 20, 5, 4096
+SPAN, PREFIX, GROUP = 20, 5, 4096
 
 
-def anchors(texts: pa.Array, window: int = WINDOW, prefix: int = PREFIX) -> tuple[np.ndarray, ...]:
+def anchors(texts: pa.Array, window: int = SPAN, prefix: int = PREFIX) -> tuple[np.ndarray, ...]:
     """(hash, text, place, first, last, words, count): for each anchor its prefix hash, text number and place there,
     and its windows' first and last start; the hashes of all words, and the words before each text."""
     words, _, _, count = hashed_words(texts, lower=False)
@@ -98,7 +99,7 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = text << 32 | place
             at = np.minimum(np.searchsorted(code, own), len(code) - 1)
             keep = np.flatnonzero(code[at] == own)
-            full = window_hash(words, WINDOW)
+            full = window_hash(words, SPAN)
             base = count[text[keep]]
             raw = full.tobytes()
             windows = [raw[8 * (b + f) : 8 * (b + e + 1)] for b, f, e in zip(base.tolist(), first[keep].tolist(), last[keep].tolist(), strict=True)]
@@ -109,27 +110,38 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(prefix, window, id, start) of each window of the rows."""
+    """(prefix, window, id, start, salt) of each window of the rows."""
     raw = batch.column("windows").to_pylist()
     many = np.array([len(x) // 8 for x in raw], np.int64)
     window = np.frombuffer(b"".join(raw), np.uint64)
     offset = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)
-    prefix, ids, first = (np.repeat(batch.column(c).to_numpy(), many) for c in ("prefix", "id", "first"))
-    return prefix, window, ids, first + offset
+    prefix, ids, first, salt = (np.repeat(batch.column(c).to_numpy(), many) for c in ("prefix", "id", "first", "salt"))
+    return prefix, window, ids, first + offset, salt
 
 
 def _group_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks (id, start) of the rows, which come by prefix; whole groups are treated together."""
+    """Marks (id, low, high), ranges of window starts, of the rows, which come by prefix and salt; whole groups are
+    treated together. The nodes of a group that is one of several of its prefix come as well, with their window."""
     held: tuple | None = None
 
-    def marks(prefix, window, ids, start):
-        order = np.lexsort((start, ids, window, prefix))
-        p, w, i, s = prefix[order], window[order], ids[order], start[order]
+    def marks(prefix, window, ids, start, salt):
+        order = np.lexsort((start, ids, window, salt, prefix))
+        p, w, i, s, t = prefix[order], window[order], ids[order], start[order], salt[order]
         same = np.zeros(len(p), bool)
-        same[1:] = (p[1:] == p[:-1]) & (w[1:] == w[:-1])  # below the same deep node as the one before
+        same[1:] = (p[1:] == p[:-1]) & (t[1:] == t[:-1]) & (w[1:] == w[:-1])  # below the same deep node as the one before
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(p))))
         later = same & ((i != i[head]) | (s != s[head]))
-        return pa.RecordBatch.from_pydict({"id": i[later], "start": s[later].astype(np.int32)})
+        nodes = ~same & (t >= 0)
+        i, s, own, at, w = i[later], s[later], i[nodes], s[nodes], w[nodes]
+        order = np.lexsort((s, i))
+        i, s = i[order], s[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (i[1:] != i[:-1]) | (s[1:] > s[:-1] + 1)
+        edge = np.flatnonzero(new)
+        low, high = s[edge], s[np.append(edge[1:], len(i)) - 1] if len(edge) else s
+        none = pa.nulls(len(edge), pa.int64())
+        columns = [np.concatenate([i[edge], own]), np.concatenate([low, at]).astype(np.int32), np.concatenate([high, at]).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.concat_arrays([none, pa.array(w.view(np.int64))])], ["id", "low", "high", "window"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -137,7 +149,7 @@ def _group_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _unpacked(batch)
         if held is not None:
             rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
-        done = rows[0] != batch.column("prefix")[batch.num_rows - 1].as_py()
+        done = (rows[0] != rows[0][-1]) | (rows[4] != rows[4][-1])
         held = tuple(x[~done] for x in rows)
         if done.any():
             yield marks(*(x[done] for x in rows))
@@ -145,36 +157,30 @@ def _group_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield marks(*held)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        _, window, ids, start = _unpacked(batch)
-        yield pa.RecordBatch.from_pydict({"window": window.view(np.int64), "id": ids, "start": start.astype(np.int32)})
-
-
 def repeat_marks(texts: DataFrame) -> DataFrame:
-    """(id, starts): the starts, in each document, of windows whose words also start earlier."""
-    found = stored(texts.mapInArrow(_anchor_rows, "prefix long, id long, place int"))
+    """(id, low, high): ranges of the starts, in each document, of windows whose words also start earlier."""
+    found = texts.select("id", "text").mapInArrow(_anchor_rows, "prefix long, id long, place int")
     sizes = found.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     place = F.when(F.col("n") > GROUP, F.bitwise_not("place")).otherwise(F.col("place"))
     by_text = found.join(sizes, "prefix").groupBy("id").agg(F.collect_list(place).alias("places"))  # at most one for each word of a text
     suffixes = texts.join(by_text, "id").select("id", "text", "places").mapInArrow(_suffix_rows, "prefix long, id long, first int, hot boolean, windows binary")
-    suffixes = stored(suffixes)
-    trees = suffixes.where("not hot").repartition(spread(texts), "prefix").sortWithinPartitions("prefix")
-    marks = trees.select("prefix", "id", "first", "windows").mapInArrow(_group_marks, "id long, start int")
-    nodes = suffixes.where("hot").select("prefix", "id", "first", "windows").mapInArrow(_window_rows, "window long, id long, start int")
-    earliest = nodes.groupBy("window").agg(F.min(F.struct("id", "start")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "e")
-    more = nodes.join(earliest, "window").where((F.col("id") != F.col("e.id")) | (F.col("start") != F.col("e.start"))).select("id", "start")
-    return marks.unionByName(more).groupBy("id").agg(F.collect_list("start").alias("starts"))  # at most one for each word
+    parts = spread(texts)
+    salted = suffixes.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "first"), F.lit(parts)).cast("int")).otherwise(-1))
+    trees = salted.repartition(parts, "prefix", "salt").sortWithinPartitions("prefix", "salt")
+    marks = stored(trees.select("prefix", "id", "first", "salt", "windows").mapInArrow(_group_marks, "id long, low int, high int, window long"))
+    nodes = marks.where("window is not null")  # of each window at most one row for each salt
+    earlier = Window.partitionBy("window").orderBy("id", "low")
+    more = nodes.withColumn("rank", F.rank().over(earlier)).where("rank > 1")
+    return marks.where("window is null").select("id", "low", "high").unionByName(more.select("id", "low", "high"))
 
 
-def _kept_words(text: str | None, starts, window: int = WINDOW) -> tuple[list[bytes], int]:
+def _kept_words(text: str | None, marks, window: int = SPAN) -> tuple[list[bytes], int]:
     words = (text or "").encode("utf-8", "surrogatepass").split()  # ASCII white space
-    if starts is None:
+    if not marks:
         return words, 0
     cover = np.zeros(len(words) + 1, np.int32)
-    starts = np.unique(np.asarray(starts, np.int64))
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, np.minimum(starts + window, len(words)), -1)
+    np.add.at(cover, [x["low"] for x in marks], 1)
+    np.add.at(cover, np.minimum([x["high"] + window for x in marks], len(words)), -1)
     keep = np.cumsum(cover[:-1]) == 0
     return list(compress(words, keep.tolist())), int(len(words) - keep.sum())
 
@@ -191,17 +197,18 @@ def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _finished(docs: DataFrame, id_col: str, text_col: str, column: str, make) -> DataFrame:
     texts = _bucketed(docs, id_col, text_col)
-    marked = texts.join(stored(repeat_marks(texts)), "id", "left")
+    marks = repeat_marks(texts).groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("marks"))  # at most one for each word
+    marked = texts.join(marks, "id", "left")
     name = column.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                out = [(len(kept) + gone, gone, make(b" ".join(kept))) for kept, gone in map(_kept_words, part.column("text").to_pylist(), part.column("starts").to_pylist())]
+                out = [(len(kept) + gone, gone, make(b" ".join(kept))) for kept, gone in map(_kept_words, part.column("text").to_pylist(), part.column("marks").to_pylist())]
                 n, gone, made = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(made, pa.string())], [id_col, "n_words", "n_removed", name])
 
-    return marked.select("id", "text", "starts").mapInArrow(run, f"{id_col} long, n_words long, n_removed long, {column}")
+    return marked.select("id", "text", "marks").mapInArrow(run, f"{id_col} long, n_words long, n_removed long, {column}")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
