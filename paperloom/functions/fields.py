@@ -34,6 +34,13 @@ def hl7_escape_text(value: Column) -> Column:
     return F.regexp_replace(value, "[\r\n]", " ")
 
 
+def hl7_escape_value(value: Column) -> Column:
+    """A value whose components stay readable: the escape and field characters and line ends are escaped."""
+    for char, code in (("\\", "E"), ("|", "F"), ("\r", "X0D"), ("\n", "X0A")):
+        value = F.call_function("replace", value, F.lit(char), F.lit(f"\\{code}\\"))
+    return value
+
+
 def hl7_unescape(value: Column) -> Column:
     """Known escapes resolved in one pass: of a split at the escape character, the odd parts are codes."""
 

@@ -73,3 +73,26 @@ def elements(spark: SparkSession, table: str) -> DataFrame:
 def required_segments(spark: SparkSession) -> DataFrame:
     rows = [line.split() for line in TRANSACTION_SETS.strip().splitlines()]
     return spark.createDataFrame([(s, tag) for s, *tags in rows for tag in tags], "set_id string, tag string")
+
+
+#: Segment, field, component (0: the whole field), action, and the prefix of pseudonyms.
+SAFE_HARBOR = """
+PID 3 1 pseudonym PATIENT-
+PID 2 0 clear; PID 4 0 clear; PID 5 0 clear; PID 6 0 clear; PID 7 0 year; PID 9 0 clear; PID 11 0 clear; PID 12 0 clear; PID 13 0 clear; PID 14 0 clear
+PID 18 0 clear; PID 19 0 clear; PID 20 0 clear; PID 29 0 year
+PV1 7 0 clear; PV1 8 0 clear; PV1 9 0 clear; PV1 17 0 clear
+PV1 19 1 pseudonym VISIT-
+PV1 44 0 year; PV1 45 0 year
+NK1 2 0 clear; NK1 4 0 clear; NK1 5 0 clear; NK1 6 0 clear
+GT1 3 0 clear; GT1 5 0 clear; GT1 6 0 clear
+IN1 16 0 clear; IN1 19 0 clear; IN1 36 0 clear
+NTE 3 0 clear
+OBR 7 0 year; OBR 14 0 year; OBR 16 0 clear
+OBX 14 0 year; OBX 16 0 clear; OBX 5 0 clear
+"""
+
+
+def safe_harbor() -> list[tuple[str, int, int, str, str]]:
+    """The direct identifiers of admissions and results: (segment, field, component, action, text)."""
+    rules = [x.split() for line in SAFE_HARBOR.strip().splitlines() for x in line.split(";")]
+    return [(r[0], int(r[1]), int(r[2]), r[3], r[4] if len(r) > 4 else "") for r in rules]

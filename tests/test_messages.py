@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.fields import component, edifact_unescape, field, first_segment, hl7_escape_text, hl7_unescape, is_fhir_date, sniffed
 from paperloom.operators import messages as ops
-from paperloom.plans import queries
-from paperloom.sources.segments import edifact_segments, hl7_error, hl7_segments, x12_error, x12_segments
+from paperloom.operators import redaction, replies
+from paperloom.plans import exchange, queries
+from paperloom.sources.segments import edifact_segments, hl7_delimiters, hl7_error, hl7_segments, x12_error, x12_segments
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,10 +23,13 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+QUERIES, ORACLE_SQL = queries.QUERIES | exchange.QUERIES, queries.ORACLE_SQL | exchange.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, tables, name):
-    got = queries.QUERIES[name](spark, DATA)
-    tables.execute(queries.ORACLE_SQL[name])
+    got = QUERIES[name](spark, DATA)
+    tables.execute(ORACLE_SQL[name])
     columns = [x[0] for x in tables.description]
     assert sorted(columns) == sorted(got.columns)
     want = sorted(map(str, tables.fetchall()))
@@ -73,3 +77,34 @@ def test_any_edit_breaks_a_chain(spark):
     for column in ("at", "event", "payload_sha256", "prev", "hash"):
         edited = chain.withColumn(column, F.when(F.col("seq") == 2, F.concat(column, F.lit("x"))).otherwise(F.col(column)))
         assert ops.broken(edited, "log").first()["seq"] == 2
+
+
+def test_redaction_by_rules(spark):
+    text = "MSH|^~\\&|A\rPID|1||5^^X~7^^Y~5||N^M~~O\rOBX|1|NM|C||12\rOBX|2|TX|C||free\rZZZ\r"
+    m = F.col("m")
+    profile = [("PID", 3, 1, "pseudonym", "P-"), ("PID", 5, 2, "replace", "x"), ("PID", 5, 0, "year", ""), ("OBX", 5, 0, "clear", ""), ("PID", 30, 0, "clear", "")]
+    out = one(spark, text, redaction.hl7_redacted(hl7_segments(m), hl7_delimiters(m), profile).alias("r"))[0]
+    assert out["message"] == "MSH|^~\\&|A\rPID|1||P-1^^X~P-2^^Y~P-1||N^x~~O\rOBX|1|NM|C||12\rOBX|2|TX|C||\rZZZ|\r"
+    assert [tuple(c) for c in out["changes"]] == [(1, "PID", 3, 1), (1, "PID", 5, 2), (1, "PID", 5, None), (3, "OBX", 5, None)]
+    for rule in (("MSH", 3, 0, "clear", ""), ("PID", 0, 0, "clear", "")):
+        with pytest.raises(ValueError):
+            redaction.hl7_redacted(m, m, [rule])
+    assert one(spark, "PID|1", redaction.hl7_redacted(hl7_segments(m), hl7_delimiters(m), profile).alias("r"))[0] is None
+
+
+def test_frames_and_batches_refuse_what_is_cut(spark):
+    m = F.col("m")
+    for text, messages in (("\x0ba\x1c\r\x0bb\x1c\r", ["a", "b"]), ("", []), ("\x0ba\x1c\r\x0bb", None), ("a\x1c\r", None), ("\x0ba\x1c\rb", None)):
+        assert one(spark, text, replies.mllp_messages(m))[0] == messages
+    for text, error in (("BHS|^~\\&\rMSH|a\rPID\rBTS|1\r", None), ("BHS|\rMSH|a\r", "batch has no BTS"), ("BHS|\rMSH|a\rBTS|2\r", "BTS count does not match"), ("MSH|a\r", "a batch must start with BHS or FHS"), ("FHS|\rPID|\rBTS|0\r", "a segment appears outside any message")):
+        assert one(spark, text, replies.hl7_batch_error(m))[0] == error
+    assert one(spark, "BHS|^~\\&\rMSH|aMSH\rPID\rMSH|b\rBTS|2\r", replies.hl7_batch_messages(m))[0] == ["MSH|aMSH\rPID\r", "MSH|b\r"]
+
+
+def test_nested_and_open_edifact_messages(spark):
+    rows = spark.createDataFrame([(1, "UNH+1'UNH+2'UNT+2+3'X'"), (2, ""), (3, "UNB+a'UNH+1'UNZ+1'")], "k int, m string")
+    got = {(r["k"], r["idx"], r["message"]) for r in replies.edifact_interchange_issues(rows, edifact_segments(F.col("m")), "k").collect()}
+    assert got == {
+        (1, 0, "interchange must start with UNB"), (1, 3, "interchange must end with UNZ"), (1, 1, "nested UNH inside an open message"), (1, 2, "UNT reference `3` does not match UNH reference `2`"),
+        (2, 0, "interchange must start with UNB"), (3, 1, "UNH without a matching UNT"),
+    }
