@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom import rules
-from paperloom.operators import invoices, redaction, replies
+from paperloom.operators import bundles, invoices, redaction, replies
 from paperloom.plans import messages as make
 from paperloom.sources.segments import bound, edifact_segments, hl7_delimiters, hl7_segments, x12_segments
 
@@ -145,9 +145,28 @@ def ubl_invoice_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "type_code", F.col("l.id").cast("int").alias("line"), F.col("l.name").alias("name"), F.col("l.amount").alias("amount"))
 
 
+def hl7_encounters(spark: SparkSession, d: str) -> DataFrame:
+    """The encounter of each admission; a blank patient class gives none."""
+    rows = bound(_adt(spark, d), e=bundles.hl7_encounter(F.col("s"), F.col("d"))).where("e is not null")
+    return rows.select(F.col("e.id").alias("id"), "e.status", F.col("e.class").alias("class"), F.col("e.start").alias("start_date"))
+
+
+def hl7_observations(spark: SparkSession, d: str) -> DataFrame:
+    """Results made of the order lines, one OBX a line; every third has no code."""
+    key = F.col("o_orderkey").cast("string")
+    obx = F.transform("lines", lambda x: make._text(
+        "OBX|", x["l_linenumber"].cast("string"), "|NM|", F.when(x["l_linenumber"] % 3 == 0, "").otherwise(F.concat(F.lit("P"), x["l_partkey"].cast("string"))), "^Part^L||", x["quantity"].cast("string"), "|EA|||||",
+        F.when(x["l_linenumber"] % 2 == 0, "F").otherwise("?"), "\r",
+    ))
+    message = make._text("MSH|^~\\&|LAB|A|HIS|A|20260101||ORU^R01|M", key, "|P|2.5.1\rOBR|1|||X|||", F.col("day"), "1030+0130\r", F.array_join(obx, ""))
+    rows = bound(make.order_lines(spark, d), message=message)
+    rows = bound(rows, s=hl7_segments(F.col("message")), d=hl7_delimiters(F.col("message")))
+    return bound(rows, all=bundles.hl7_observations(F.col("s"), F.col("d"))).select(F.explode("all").alias("o")).select("o.*")
+
+
 QUERIES = {f.__name__: f for f in (
     hl7_acknowledgements, hl7_redacted_messages, hl7_batch_roundtrip, hl7_frames_roundtrip, x12_acknowledgements, x12_acknowledged_sets, x12_acknowledgement_errors, edifact_answers, edifact_interchange_issues, ubl_invoice_issues,
-    ubl_invoice_lines,
+    ubl_invoice_lines, hl7_encounters, hl7_observations,
 )}
 
 _K = "WITH k AS (SELECT o_orderkey AS k, CAST(count(*) AS BIGINT) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)"
@@ -196,4 +215,9 @@ ORACLE_SQL = {
     "ubl_invoice_lines": """
       SELECT 'I' || o_orderkey AS id, CASE WHEN o_orderkey % 19 = 0 THEN '381' ELSE '380' END AS type_code, CAST(l_linenumber AS INTEGER) AS line, 'Part & <' || l_partkey || '>' AS name,
              CAST(round(CAST(l_quantity AS DECIMAL(18,2)) * CAST(l_extendedprice AS DECIMAL(18,2)), 2) AS DECIMAL(18,2)) AS amount FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
+    "hl7_encounters": "SELECT 'M' || c_custkey || '-enc' AS id, 'in-progress' AS status, 'IMP' AS class, '2026-10-01' AS start_date FROM customer WHERE c_custkey % 7 <> 0",
+    "hl7_observations": """
+      SELECT 'M' || o_orderkey || '-' || l_linenumber AS id, CASE WHEN l_linenumber % 2 = 0 THEN 'final' ELSE 'unknown' END AS status, 'urn:hl7v2:L' AS system, 'P' || l_partkey AS code, 'Part' AS display,
+             CAST(CAST(l_quantity AS DECIMAL(18,2)) AS DOUBLE) AS value, 'EA' AS unit, strftime(o_orderdate, '%Y-%m-%d') || 'T10:30:00+01:30' AS effective
+      FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber % 3 <> 0""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.fields import component, edifact_unescape, field, first_segment, hl7_escape_text, hl7_unescape, is_fhir_date, sniffed
 from paperloom.operators import messages as ops
-from paperloom.operators import redaction, replies
+from paperloom.operators import bundles, redaction, replies
 from paperloom.plans import exchange, queries
 from paperloom.sources.segments import edifact_segments, hl7_delimiters, hl7_error, hl7_segments, x12_error, x12_segments
 
@@ -108,3 +108,10 @@ def test_nested_and_open_edifact_messages(spark):
         (1, 0, "interchange must start with UNB"), (1, 3, "interchange must end with UNZ"), (1, 1, "nested UNH inside an open message"), (1, 2, "UNT reference `3` does not match UNH reference `2`"),
         (2, 0, "interchange must start with UNB"), (3, 1, "UNH without a matching UNT"),
     }
+
+
+def test_timestamps(spark):
+    m = F.col("m")
+    for text, value in (("2026", ("2026", False)), ("202613", None), ("20260131", ("2026-01-31", False)), ("202601311030", ("2026-01-31", True)), ("20260131103015.25-0500", ("2026-01-31T10:30:15-05:00", False)), ("2026013125Z", None), ("2026013110Z", ("2026-01-31T10:00:00Z", False)), ("x", None), (None, None)):
+        got = one(spark, text, bundles.fhir_datetime(m).alias("t"))[0]
+        assert (None if got is None else tuple(got)) == value
