@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.fields import component, edifact_unescape, field, first_segment, hl7_escape_text, hl7_unescape, is_fhir_date, sniffed
 from paperloom.operators import messages as ops
 from paperloom.operators import bundles, redaction, replies
-from paperloom.plans import exchange, queries
+from paperloom.plans import exchange, queries, records
 from paperloom.sources.segments import edifact_segments, hl7_delimiters, hl7_error, hl7_segments, x12_error, x12_segments
 
 DATA = "/root/testdata/sf0.001"
@@ -23,7 +23,8 @@ def tables():
     return con
 
 
-QUERIES, ORACLE_SQL = queries.QUERIES | exchange.QUERIES, queries.ORACLE_SQL | exchange.ORACLE_SQL
+QUERIES = queries.QUERIES | exchange.QUERIES | records.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | exchange.ORACLE_SQL | records.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
