@@ -211,7 +211,7 @@ ORACLE_SQL = {
       SELECT c_custkey AS cust_key, '/n/c' AS path, 'changed' AS kind, '2' AS old, '[2]' AS new FROM customer WHERE c_custkey % 4 = 0
       UNION ALL SELECT c_custkey, '/tags/1', 'added', NULL, 'new' FROM customer WHERE c_custkey % 3 = 0
       UNION ALL SELECT c_custkey, '/n/a~1b', 'removed', '1', NULL FROM customer WHERE c_custkey % 5 = 0""",
-    "fhir_bundles": f"""SELECT k AS cust_key, NULL AS error, {_bundle_sql("year || day", "k", "k", '''CASE WHEN k % 5 = 0 THEN '' ELSE ',"name":[{"family":"' || name || '","given":["' || seg || '"]}]' END''', "2026-10-01")} AS bundle FROM ({_PATIENTS})""",
+    "fhir_bundles": f"""SELECT k AS cust_key, CAST(NULL AS VARCHAR) AS error, {_bundle_sql("year || day", "k", "k", '''CASE WHEN k % 5 = 0 THEN '' ELSE ',"name":[{"family":"' || name || '","given":["' || seg || '"]}]' END''', "2026-10-01")} AS bundle FROM ({_PATIENTS})""",
     "fhir_resource_counts": f"""
       WITH p AS ({_PATIENTS}) SELECT k AS cust_key, 'Patient' AS kind, CAST(1 AS BIGINT) AS n FROM p UNION ALL SELECT k, 'Encounter', CAST(visit AS BIGINT) FROM p UNION ALL SELECT k, 'Observation', 0 FROM p UNION ALL SELECT k, 'Organization', 0 FROM p""",
     "fhir_issues": f"""
