@@ -145,16 +145,17 @@ def hl7_required_issues(messages: DataFrame, segments: Column, key: str) -> Data
     return rows.where(blank).select(key, "idx", "tag", "field", text.alias("message"))
 
 
-def hl7_patient(segments: Column) -> Column:
-    """A FHIR patient of the first PID: id, family, given, gender, birth date."""
+def hl7_patient(segments: Column, delimiters: Column | None = None) -> Column:
+    """A FHIR patient of the first PID: id, family, given, gender, birth date; with the message's own delimiters."""
+    part, again = ("^", "~") if delimiters is None else (delimiters["component"], delimiters["repeat"])
     pid = first_segment(segments, "PID")
-    name = F.get(repetitions(field(pid, 5)), 0)
+    name = F.get(repetitions(field(pid, 5), again), 0)
     born = field(pid, 7)
     day = F.regexp_extract(born, r"^(\d{4})(\d{2})?(\d{2})?", 0)
     date = F.concat_ws("-", F.substring(day, 1, 4), F.nullif(F.substring(day, 5, 2), F.lit("")), F.nullif(F.substring(day, 7, 2), F.lit("")))
     gender = F.when(field(pid, 8) == "M", "male").when(field(pid, 8) == "F", "female").when(field(pid, 8) == "O", "other").when(field(pid, 8) != "", "unknown")
-    identifier = F.regexp_replace(component(F.get(repetitions(field(pid, 3)), 0), 1), "[^A-Za-z0-9.-]", "-")
-    return F.struct(F.left(identifier, F.lit(64)).alias("id"), component(name, 1).alias("family"), component(name, 2).alias("given"), gender.alias("gender"), F.when(day != "", date).alias("birth_date"))
+    identifier = F.regexp_replace(component(F.get(repetitions(field(pid, 3), again), 0), 1, part), "[^A-Za-z0-9.-]", "-")
+    return F.struct(F.left(identifier, F.lit(64)).alias("id"), component(name, 1, part).alias("family"), component(name, 2, part).alias("given"), gender.alias("gender"), F.when(day != "", date).alias("birth_date"))
 
 
 def pseudonyms(values: DataFrame, key: str, value: str, position: str, prefix: str) -> DataFrame:

@@ -103,7 +103,7 @@ def hl7_escape_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def hl7_patients(spark: SparkSession, d: str) -> DataFrame:
     even = make.hl7_adt(spark, d).where("c_custkey % 2 = 0")  # those with the usual delimiters
-    return bound(bound(even, s=hl7_segments(message())), p=ops.hl7_patient(F.col("s"))).select("p.*")
+    return bound(bound(even, s=hl7_segments(message())), p=ops.hl7_patient(F.col("s"), hl7_delimiters(message()))).select("p.*")
 
 
 def hl7_pseudonyms(spark: SparkSession, d: str) -> DataFrame:

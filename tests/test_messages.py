@@ -116,3 +116,31 @@ def test_timestamps(spark):
     for text, value in (("2026", ("2026", False)), ("202613", None), ("20260131", ("2026-01-31", False)), ("202601311030", ("2026-01-31", True)), ("20260131103015.25-0500", ("2026-01-31T10:30:15-05:00", False)), ("2026013125Z", None), ("2026013110Z", ("2026-01-31T10:00:00Z", False)), ("x", None), (None, None)):
         got = one(spark, text, bundles.fhir_datetime(m).alias("t"))[0]
         assert (None if got is None else tuple(got)) == value
+
+
+def test_patients_of_all_delimiters(spark):
+    rows = queries.make.hl7_adt(spark, DATA)
+    own = rows.select("c_custkey", ops.hl7_patient(hl7_segments(F.col("message")), hl7_delimiters(F.col("message"))).alias("p"))
+    names = {r["c_custkey"]: r for r in spark.read.parquet(f"{DATA}/customer.parquet").collect()}
+    got = own.collect()
+    assert len(got) == len(names) and any(r["c_custkey"] % 2 for r in got)
+    for k, p in got:
+        name = (names[k]["c_name"], names[k]["c_mktsegment"]) if k % 5 else (None, None)
+        assert tuple(p) == (str(k), *name, "male" if k % 2 else "female", f"19{k % 100:02d}-0{k % 9 + 1}-15")
+    text = "MSH!*?\\&!A\rPID!1!!7*X?8!!A*B?C*D\r"
+    assert tuple(one(spark, text, ops.hl7_patient(hl7_segments(F.col("m")), hl7_delimiters(F.col("m"))).alias("p"))[0])[:3] == ("7", "A", "B")
+
+
+def test_paths_of_other_delimiters(spark):
+    rows = spark.createDataFrame([(1, "MSH!*?\\&!A\rPID!1!!7*X!!A*B\r"), (2, "MSH|^~\\&|A\rPID|1||7^X||A^B\r")], "k int, m string")
+    got = {(r["k"], r["path"], r["value"]) for r in ops.hl7_paths(rows, "m", "k").collect()}
+    assert got == {(k, p, v.replace("*", s)) for k, s in ((1, "*"), (2, "^")) for p, v in (("MSH[0]-3", "A"), ("PID[0]-1", "1"), ("PID[0]-3", "7*X"), ("PID[0]-5", "A*B"))}
+
+
+def test_element_issues_of_other_tags(spark):
+    head = "ISA*00*          *00*          *ZZ*A              *ZZ*B              *260101*1200*^*00501*000000001*0*P*:~"
+    rows = spark.createDataFrame([(1, head + "GS*IN*A*B*20260101*1200*1*X*005010~ST**0001~BIG*20260101*I1~N1**X~SE*x*0001~GE*1*1~IEA*1*000000001~")], "k int, m string")
+    from paperloom import rules
+
+    got = {(r["tag"], r["position"]) for r in ops.element_issues(rows, x12_segments(F.col("m")), "k", rules.X12_ELEMENTS).collect()}
+    assert {("ST", 1), ("N1", 1), ("SE", 1)} <= got
