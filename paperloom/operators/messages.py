@@ -6,6 +6,10 @@ that nothing is shuffled; windows and joins are partitioned by the message's id.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -192,19 +196,63 @@ def entry_hash(seq: Column, at: Column, event: Column, payload: Column, prev: Co
     return F.sha2(F.concat(F.unhex(F.lpad(F.hex(seq.cast("long")), 16, "0")), _sized(at), _sized(event), _sized(payload), _sized(prev)), 256)
 
 
+def _walked(entries: DataFrame, key: str, heads: bool) -> DataFrame:
+    """Each log is read in order of ``seq`` by one task, which holds no more of it than a batch, its last hash and its count."""
+    kind = dict(entries.dtypes)[key]
+    names = ("seq", "at", "event", "payload_sha256")
+    rows = entries.select(key, F.col("seq").cast("long").alias("seq"), *[F.col(x).cast("string").alias(x) for x in names[1:]])
+    schema = f"`{key}` {kind}, n long, head string" if heads else f"`{key}` {kind}, seq long, at string, event string, payload_sha256 string, prev string, hash string"
+
+    def sized(value: str) -> bytes:
+        raw = value.encode("utf-8", "surrogatepass")
+        return len(raw).to_bytes(8, "big") + raw
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, last, any_log = None, 0, GENESIS, None
+        for batch in batches:
+            logs = batch.column(key).to_pylist()
+            prev, new, ended = [], [], []
+            for k, (log, *values) in enumerate(zip(logs, *[batch.column(x).to_pylist() for x in names], strict=True)):
+                if any_log is None or log != own:
+                    if any_log is not None:
+                        ended.append((any_log, n, last))
+                    own, n, last, any_log = log, 0, GENESIS, batch.column(key).slice(k, 1)
+                prev.append(last)
+                if None in values or last is None:
+                    last = None
+                else:
+                    raw = values[0].to_bytes(8, "big", signed=True) + b"".join(sized(x) for x in (*values[1:], last))
+                    last = hashlib.sha256(raw).hexdigest()
+                new.append(last)
+                n += 1
+            if heads:
+                yield from told(ended)
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prev, pa.string()), pa.array(new, pa.string())], [key, *names, "prev", "hash"])
+        if heads and any_log is not None:
+            yield from told([(any_log, n, last)])
+
+    def told(ended: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if ended:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([x for x, _, _ in ended]), pa.array([x for _, x, _ in ended], pa.int64()), pa.array([x for *_, x in ended], pa.string())], [key, "n", "head"])
+
+    return rows.repartition(key).sortWithinPartitions(key, *names).mapInArrow(run, schema)
+
+
+def chain_entries(entries: DataFrame, key: str) -> DataFrame:
+    """(key, seq, at, event, payload_sha256, prev, hash): one row for each entry of each log."""
+    return _walked(entries, key, False)
+
+
+def chain_heads(entries: DataFrame, key: str) -> DataFrame:
+    """(key, n, head): the number of entries and the last hash of each log."""
+    return _walked(entries, key, True)
+
+
 def chained(entries: DataFrame, key: str) -> DataFrame:
-    """(key, entries): each log's entries, in order of ``seq``, with prev and hash. A log is one row: its chain is
-    sequential by nature, so that logs are what runs in parallel."""
-    logs = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "at", "event", "payload_sha256"))).alias("e"))
-    kind = "array<struct<seq:bigint,at:string,event:string,payload_sha256:string,prev:string,hash:string>>"
-
-    def add(done: Column, x: Column) -> Column:
-        new = entry_hash(x["seq"], x["at"], x["event"], x["payload_sha256"], done["hash"])
-        row = F.struct(x["seq"].cast("long").alias("seq"), x["at"], x["event"], x["payload_sha256"], done["hash"].alias("prev"), new.alias("hash"))
-        return F.struct(new.alias("hash"), F.concat(done["out"], F.array(row)).alias("out"))
-
-    start = F.struct(F.lit(GENESIS).alias("hash"), F.expr(f"cast(array() as {kind})").alias("out"))
-    return logs.select(key, F.aggregate("e", start, add, lambda d: d["out"]).alias("entries"))
+    """(key, entries): each log's entries as one array, for short logs; see :func:`chain_entries` for logs of any length."""
+    row = F.struct("seq", "at", "event", "payload_sha256", "prev", "hash")
+    return chain_entries(entries, key).groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("entries"))
 
 
 def broken(entries: DataFrame, key: str) -> DataFrame:

@@ -148,12 +148,12 @@ def _logs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_chain_heads(spark: SparkSession, d: str) -> DataFrame:
-    return ops.chained(_logs(spark, d), "user_id").select("user_id", F.size("entries").cast("long").alias("n"), F.element_at("entries", -1)["hash"].alias("head"))
+    return ops.chain_heads(_logs(spark, d), "user_id")
 
 
 def audit_tampered(spark: SparkSession, d: str) -> DataFrame:
     """Entry 1 of every third user's log is edited afterwards: the check names it."""
-    rows = ops.chained(_logs(spark, d), "user_id").select("user_id", F.explode("entries").alias("e")).select("user_id", "e.*")
+    rows = ops.chain_entries(_logs(spark, d), "user_id")
     edited = rows.withColumn("event", F.when((F.col("user_id") % 3 == 0) & (F.col("seq") == 1), F.concat("event", F.lit("!"))).otherwise(F.col("event")))
     return ops.broken(edited, "user_id").select("user_id", F.col("seq").cast("long").alias("first_bad"))
 

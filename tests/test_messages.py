@@ -144,3 +144,20 @@ def test_element_issues_of_other_tags(spark):
 
     got = {(r["tag"], r["position"]) for r in ops.element_issues(rows, x12_segments(F.col("m")), "k", rules.X12_ELEMENTS).collect()}
     assert {("ST", 1), ("N1", 1), ("SE", 1)} <= got
+
+
+def test_long_chains_are_read_in_batches(spark):
+    import hashlib
+
+    n, last = 25_000, "0" * 64
+    rows = spark.range(n).select(F.lit(1).alias("log"), F.col("id").alias("seq"), F.concat(F.lit("é"), "id").alias("at"), F.lit("e").alias("event"), F.lit("p").alias("payload_sha256"))
+    rows = rows.unionByName(rows.where("seq < 3").withColumn("log", F.lit(2)))
+    sized = lambda x: len(x.encode()).to_bytes(8, "big") + x.encode()
+    heads = {}
+    for k in range(n):
+        last = hashlib.sha256(k.to_bytes(8, "big") + b"".join(map(sized, (f"é{k}", "e", "p", last)))).hexdigest()
+        heads[k] = last
+    assert {tuple(r) for r in ops.chain_heads(rows, "log").collect()} == {(1, n, heads[n - 1]), (2, 3, heads[2])}
+    entries = ops.chain_entries(rows, "log")
+    assert {r["seq"]: r["hash"] for r in entries.where("log = 1").collect()} == heads
+    assert entries.count() == n + 3 and ops.broken(entries, "log").count() == 0
