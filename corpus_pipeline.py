@@ -26,9 +26,13 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return exact.exact_dedup(docs)
 
 
+#: Texts are near copies from this similarity (percent) on.
+NEAR = 80
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id."""
-    return near.near_dedup(docs)
+    return near.near_dedup(docs, percent=NEAR)
 
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +54,7 @@ STAGES = [
     ("packing", into_sequences),
 ]
 
-#: A trained classifier and a tokenizer can't be told in SQL; tests hold the stages against brute force.
+#: A trained classifier and a tokenizer can't be told in SQL; tests hold the stages for copies and near copies against brute force.
 ORACLE_SQL = None
 
 

@@ -11,8 +11,8 @@
    that join two groups leave the task.
 5. The components of these links, over all clusters, are the result.
 
-Signature agreement below ``THRESHOLD`` by more than ``MARGIN`` (six standard errors) rules a pair out; bands miss a pair of exactly
-the threshold's similarity with a chance of about 4e-6.
+Signature agreement below the threshold by more than six standard errors rules a pair out; bands and their rows follow from the
+threshold, so that a pair of exactly its similarity is missed with a chance of at most ``MISSED``.
 
 Null and empty texts have no shingles and are linked with nothing. Repeated ids are compared like other rows, and
 share their component. An empty table gives an empty table. Other columns don't take part.
@@ -21,6 +21,7 @@ share their component. An empty table gives an empty table. Other columns don't
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log, log1p, prod
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,25 @@ from .components import UnionFind, components
 from .shared import hashed_words, mix, slices, spread, stored, table, window_hash
 
 WORDS, PERCENT = 5, 85
-BANDS, ROWS = 32, 7
-REGISTERS = BANDS * ROWS
-MARGIN = 6 * (0.85 * 0.15 / REGISTERS) ** 0.5
+#: The chance to miss a pair at the threshold, and the most registers of a signature.
+MISSED, MOST_REGISTERS = 5e-6, 256
 #: Texts and characters of a block; two blocks meet in a task.
 BLOCK_TEXTS, BLOCK_CHARS = 1024, 8 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows) for a threshold: the longest bands that keep to ``MISSED`` and ``MOST_REGISTERS``."""
+    if not 50 <= percent < 100:
+        raise ValueError("the threshold must be from 50 to 99 percent")
+    found = None
+    for rows in range(1, MOST_REGISTERS + 1):
+        bands = ceil(log(MISSED) / log1p(-((percent / 100) ** rows)))
+        if bands * rows <= MOST_REGISTERS:
+            found = bands, rows
+    return found
+
+
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): the sorted distinct shingle hashes of text k are hashes[first[k]:first[k + 1]]."""
     hashes, _, _, count = hashed_words(texts, lower=True)
@@ -59,7 +71,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
     return h[new], np.searchsorted(o[new], np.arange(n + 1))
 
 
-def signatures(hashes: np.ndarray, first: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+def signatures(hashes: np.ndarray, first: np.ndarray, registers: int) -> np.ndarray:
     """SuperMinHash of each set: round number above 32 bits of draw; all ones for an empty set."""
     n = len(first) - 1
     out = np.full((n, registers), np.iinfo(np.uint64).max, np.uint64)
@@ -80,8 +92,9 @@ def signatures(hashes: np.ndarray, first: np.ndarray, registers: int = REGISTERS
     return out
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _prepared(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """(id, n_shingles, set_a, set_b, chars, bands) of each row."""
+    many, rows = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,13 +102,13 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 texts = part.column(text_col)
                 hashes, first = shingle_sets(texts)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes ^ np.uint64(salt)), dtype=np.uint64)]) for salt in (1, 2)]
-                sign = signatures(hashes, first)
-                key = np.zeros((len(sign), BANDS), np.uint64)
-                for r in range(ROWS):
-                    key = mix(key * _STEP + sign[:, r * BANDS : (r + 1) * BANDS])
-                key = mix(key + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64)
+                sign = signatures(hashes, first, many * rows)
+                key = np.zeros((len(sign), many), np.uint64)
+                for r in range(rows):
+                    key = mix(key * _STEP + sign[:, r * many : (r + 1) * many])
+                key = mix(key + np.arange(many, dtype=np.uint64) * _STEP).view(np.int64)
                 size = np.diff(first)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * BANDS), pa.array(key.reshape(-1)))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * many), pa.array(key.reshape(-1)))
                 chars = pa.array([len(x or "") for x in texts.to_pylist()], pa.int64())
                 set_ab = [pa.array((s[first[1:]] - s[first[:-1]]).view(np.int64)) for s in sums]
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(size.astype(np.int64)), *set_ab, chars, bands], [id_col, "n_shingles", "set_a", "set_b", "chars", "bands"])
@@ -103,23 +116,25 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"{id_col} long, n_shingles long, set_a long, set_b long, chars long, bands array<long>")
 
 
-def linked_pairs(ids: list[int], texts: list[str], side: np.ndarray, both: bool) -> list[tuple[int, int]]:
+def linked_pairs(ids: list[int], texts: list[str], side: np.ndarray, both: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join groups of these texts; ``both``: only pairs of different sides are wanted."""
     hashes, first = shingle_sets(pa.array(texts, pa.string()))
     sets = [hashes[first[k] : first[k + 1]] for k in range(len(ids))]
     size = np.diff(first)
     n = len(ids)
+    registers = prod(banding(percent))
+    margin = 6 * (percent / 100 * (1 - percent / 100) / registers) ** 0.5
     if n > 24:
-        sign = (signatures(hashes, first) * _STEP >> np.uint64(48)).astype(np.uint16)
+        sign = (signatures(hashes, first, registers) * _STEP >> np.uint64(48)).astype(np.uint16)
     pairs, agree = [], []
     for i in range(n - 1):
         other = np.arange(i + 1, n)
-        fits = 100 * np.minimum(size[i], size[other]) >= PERCENT * np.maximum(size[i], size[other])
+        fits = 100 * np.minimum(size[i], size[other]) >= percent * np.maximum(size[i], size[other])
         if both:
             fits &= side[other] != side[i]
         other = other[fits]
         share = (sign[other] == sign[i]).mean(axis=1) if n > 24 else np.ones(len(other))
-        near = share >= PERCENT / 100 - MARGIN
+        near = share >= percent / 100 - margin
         pairs.append(np.stack([np.full(near.sum(), i), other[near]], axis=1))
         agree.append(share[near])
     if not pairs:
@@ -132,13 +147,13 @@ def linked_pairs(ids: list[int], texts: list[str], side: np.ndarray, both: bool)
         a, b = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
         at = np.minimum(np.searchsorted(b, a), len(b) - 1)
         common = int((b[at] == a).sum())
-        if 100 * common >= PERCENT * (len(a) + len(b) - common):
+        if 100 * common >= percent * (len(a) + len(b) - common):
             groups.union(i, j)
             links.append((ids[i], ids[j]))
     return links
 
 
-def _links(clusters: DataFrame) -> DataFrame:
+def _links(clusters: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) from rows (cluster, low, high, side, id, text), each (cluster, low, high) a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +162,7 @@ def _links(clusters: DataFrame) -> DataFrame:
 
         def close() -> None:
             if len(ids) > 1:
-                found.extend(linked_pairs(ids, texts, np.array(sides), key[1] != key[2]))
+                found.extend(linked_pairs(ids, texts, np.array(sides), key[1] != key[2], percent))
 
         for batch in batches:
             for *new, side, i, text in zip(*[batch.column(c).to_pylist() for c in ("cluster", "low", "high", "side", "id", "text")], strict=True):
@@ -168,9 +183,9 @@ def _links(clusters: DataFrame) -> DataFrame:
     return dealt.select("cluster", "low", "high", "side", "id", "text").mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of each row. Ids are integers."""
-    rows = stored(_prepared(docs, id_col, text_col)).withColumnRenamed(id_col, "id")
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of each row, for near copies from that similarity on. Ids are integers."""
+    rows = stored(_prepared(docs, id_col, text_col, percent)).withColumnRenamed(id_col, "id")
     classes = rows.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"), F.max_by(F.struct("bands", "chars"), F.lit(1)).alias("of"))
     classes = stored(classes.select("set_a", "set_b", "n_shingles", "rep", "of.bands", "of.chars"))
     banded = classes.select("rep", F.explode("bands").alias("band"))
@@ -182,7 +197,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = clusters.join(sizes, "component").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(F.col("component").alias("cluster"), F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", F.col("node").alias("id"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = components(stored(_links(placed.join(texts, "id"))))
+    found = components(stored(_links(placed.join(texts, "id"), percent)))
     labels = classes.select("set_a", "set_b", "n_shingles", "rep").join(found, F.col("rep") == F.col("node"), "left")
     labels = labels.select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("id", "n_shingles", "set_a", "set_b").join(labels, ["set_a", "set_b", "n_shingles"], "left")
@@ -190,9 +205,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), (F.col("id") == own).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows that stay: one document of each group, with its columns."""
-    gone = near_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone"))
+    gone = near_groups(docs, id_col, text_col, percent).where(~F.col("kept")).select(F.col(id_col).alias("__gone"))
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
 
 

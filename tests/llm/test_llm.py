@@ -229,3 +229,38 @@ def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "pii", "packing"]
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("percent, banding", [(85, (32, 7)), (80, (41, 6))])
+def test_near_at_other_thresholds(spark, percent, banding):
+    assert near_dedup.banding(percent) == banding
+    w = [f"w{k}" for k in range(104)]
+    other = lambda k: " ".join([*w[: 104 - k], *[f"z{k}-{j}" for j in range(k)]])  # noqa: E731 a similarity of (100 - k) / (100 + k)
+    many = [other(0), other(5), other(9), other(11), other(12), None]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(100)} if t else set() for t in many]
+    own = list(range(len(many)))
+    for _ in own:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and 100 * len(a & b) >= percent * len(a | b):
+                    own[i] = own[j] = min(own[i], own[j])
+    rows = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(rows, percent=percent).collect()} == dict(enumerate(own))
+
+
+def test_copy_stages_against_brute_force(docs, spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts()]
+    kept = {r["doc_id"] for r in pipeline.without_copies(spark, docs, "").collect()}
+    assert kept == {i for i, t in enumerate(norm) if norm.index(t) == i}
+    sets = []
+    for t in texts():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    own = list(range(len(sets)))
+    for _ in own:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    own[i] = own[j] = min(own[i], own[j])
+    assert {r["doc_id"] for r in pipeline.without_near_copies(spark, docs, "").collect()} == {i for i, x in enumerate(own) if x == i}
