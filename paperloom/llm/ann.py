@@ -2,8 +2,8 @@
 
 A fixed random rotation projects the vectors on groups of ``DIMENSIONS`` coordinates; each group, with its own random
 shift, gives one Hilbert ordering. An ordering is cut into ``CELLS`` ranges of about equally many rows. A query looks at its own range
-and those around it, until they hold ``WINDOW`` of all rows, in every ordering; each window's best are reranked by the
-exact inner product and merged.
+and those around it, until they hold ``WINDOW`` of all rows, and at least ``LEAST`` times the wanted neighbours, in every
+ordering; each window's best are reranked by the exact inner product and merged. Tables of up to that many rows are compared whole.
 
 Ranges are dealt out in parts of at most ``PART`` vectors, by a hash of the id, so that tasks stay bounded at any
 size and a key that many equal vectors share is split as well. Only the queries are copied, to the parts of
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .shared import spread, stored, table
 
 CURVES, DIMENSIONS, BITS, CELLS, WINDOW, PART = 16, 8, 7, 64, 0.09, 8192
+#: A window's rows at least, as a multiple of the wanted neighbours and the query itself.
+LEAST = 4
 #: Rows that the coordinates' spread is fitted on at most.
 FIT_ROWS = 10_000
 
@@ -141,7 +143,7 @@ def neighbours(vectors: DataFrame, is_query: Column, most: int = 20, id_col: str
     size = np.zeros((CURVES, CELLS), np.int64)
     size[counts.curve, counts.cell] = counts.n
     parts = np.maximum(1, -(-size // PART))
-    spans = [(c, cell, *_window(size[c], cell, window * width["n"])) for c in range(CURVES) for cell in range(CELLS) if size[c, cell]]
+    spans = [(c, cell, *_window(size[c], cell, max(window * width["n"], LEAST * (most + 1)))) for c in range(CURVES) for cell in range(CELLS) if size[c, cell]]
     session = vectors.sparkSession
     part_of = session.createDataFrame(pd.DataFrame([(c, k, int(parts[c, k])) for c in range(CURVES) for k in range(CELLS)], columns=["curve", "cell", "parts"]), "curve int, cell int, parts int")
     visits = session.createDataFrame(

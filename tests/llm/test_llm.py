@@ -231,6 +231,19 @@ def test_pipeline_stages(spark):
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
 
 
+@pytest.mark.parametrize("n", [2, 10, 21, 30])
+def test_neighbours_of_small_tables(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 12))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(vectors, F.lit(True)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    most = min(20, n - 1)
+    for q in range(n):
+        want = sorted((i for i in range(n) if i != q), key=lambda i: -(x[i] @ x[q]))[:most]
+        assert [v for _, v in sorted(got[q])] == want
+
+
 @pytest.mark.parametrize("percent, banding", [(85, (32, 7)), (80, (41, 6))])
 def test_near_at_other_thresholds(spark, percent, banding):
     assert near_dedup.banding(percent) == banding
