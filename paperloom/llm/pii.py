@@ -1,15 +1,17 @@
 """Personal data, by patterns and by what the corpus discloses; DataFrame functions only.
 
 Base spans are e-mail and IP addresses, card and phone numbers. The values found are protected entities. The words
-around an entity's mentions disclose it when, over the whole corpus, they occur with it and hardly without it:
+of the texts that mention an entity disclose it when, over the whole corpus, they occur with it and hardly without it:
 for a term t and an entity e with n(t), n(e) and n(t, e) texts of N, the term is flagged for the entity when
 
 * n(t, e) >= ``SUPPORT`` (a term seen once tells nothing),
 * n(t, e) / n(t) >= ``POSTERIOR`` (who knows the term can guess the entity), and
 * log2(n(t, e) * N / (n(t) * n(e))) >= ``BITS`` (pointwise mutual information).
 
-Flagged terms near a mention are added as spans of the kind ``term``. :func:`sanitised` generalises base spans to
-their kind and removes flagged terms. All counts are over all texts, whole; the thresholds hold at every size.
+Every occurrence of a flagged term outside base spans, in any text, is added as a span of the kind ``term``.
+:func:`sanitised` generalises base spans to their kind and removes flagged terms. All counts are over all texts, whole; the
+thresholds hold at every size. As n(t, e) <= n(e), entities of fewer than ``SUPPORT`` texts or of more than N / 2**``BITS`` can't have a
+flagged term, and are left out before terms and entities are paired.
 
 Null texts count as empty. Rows with the same id are told apart by their text, and equal rows have equal spans.
 The patterns don't nest repeats, so that very long runs don't exhaust the regular expression engine's stack.
@@ -18,14 +20,16 @@ Offsets are code points, the end exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import or_empty, stored, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: How far around a mention its terms are looked for, in code points, and the fewest letters of a term.
-CONTEXT, LETTERS = 80, 4
+#: The fewest letters of a term.
+LETTERS = 4
 SUPPORT, POSTERIOR, BITS = 2, 0.5, 3.0
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -37,28 +41,29 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Digits with any spaces and hyphens; cut at two of these in a row.
 DIGITS, DOUBLE = r"[0-9][0-9\x20-]++", r"[\x20-]{2,}+"
-TERM = rf"(?<=[^\p{{L}}])\p{{L}}{{{LETTERS},}}+(?=[^\p{{L}}])"
+TERM = rf"\p{{L}}{{{LETTERS},}}+"
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
-def _placed(values: Column, gaps: Column, at: Column) -> Column:
-    """Spans of the values, where each stands after its gap."""
+def _placed(values: Column, gaps: Column, at: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Spans of the values (of those that are wanted), where each stands after its gap."""
     start = F.struct(at.cast("int").alias("at"), F.expr(f"cast(array() as {_SPANS})").alias("out"))
 
     def step(done: Column, x: Column) -> Column:
         begin = done["at"] + F.length(x["gap"])
         end = begin + F.length(x["value"])
         span = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(done["out"], F.array(span)).alias("out"))
+        out = F.concat(done["out"], F.array(span))
+        return F.struct(end.alias("at"), (out if wanted is None else F.when(wanted(x["value"]), out).otherwise(done["out"])).alias("out"))
 
     pairs = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
     return F.aggregate(pairs, start, step, lambda done: done["out"])
 
 
-def spans_of(text: Column, pattern: str, at: Column | None = None) -> Column:
-    """(start, end, value) of each match."""
-    return _placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), F.lit(0) if at is None else at)
+def spans_of(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """(start, end, value) of each match that is wanted."""
+    return _placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), F.lit(0), wanted)
 
 
 def _digits(value: Column) -> Column:
@@ -115,52 +120,70 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _mentions(text: Column, span: Column) -> Column:
-    """(entity, terms) of a base span; the words that the context cuts off are left out."""
-    low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    left = F.substring(text, low + 1, span["start"] - low)
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    return F.struct(F.xxhash64(F.lower(span["value"])).alias("entity"), F.concat(spans_of(left, TERM, low), spans_of(right, TERM, span["end"])).alias("terms"))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _between(text: Column, spans: Column) -> Column:
+    """The text with a blank for each base span."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def step(done: Column, x: Column) -> Column:
+        part = F.substring(text, done["at"] + 1, x["start"] - done["at"])
+        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.concat(done["out"], F.array(part)).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda done: F.concat(F.array_join(done["out"], " "), F.lit(" "), F.substring(text, done["at"] + 1, F.length(text))))
 
 
 def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows with base spans, all of them in __base, and their mentions."""
+    """(__id, __hash, __base, __entities) and the base spans by kind of each row; texts stay behind."""
     rows = base_spans(docs, text_col)
-    rows = rows.withColumn("__base", _tagged(KINDS[:4]))
-    return rows.withColumns({"__mentions": F.transform("__base", lambda x: _mentions(F.col("__text"), x)), "__hash": F.xxhash64("__text")})
-
-
-def disclosing_terms(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __hash, __term): for each row, the spans of flagged terms near its mentions."""
-    keys = [F.col(id_col).alias("__id"), "__hash"]
-    near = rows.select(*keys, "__base", F.explode("__mentions").alias("m")).select("__id", "__hash", "__base", "m.entity", F.explode("m.terms").alias("t"))
-    free = ~F.exists("__base", lambda b: (F.col("t.start") < b["end"]) & (F.col("t.end") > b["start"]))
-    near = near.where(free).select("__id", "__hash", "entity", F.lower("t.value").alias("term"), "t.start", "t.end", "t.value")
-    joint = near.groupBy("entity", "term").agg(F.count_distinct("__id", "__hash").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    per_entity = rows.select(*keys, F.explode(F.array_distinct(F.transform("__mentions", lambda m: m["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    words = F.array_distinct(F.split(F.lower(or_empty(F.col(text_col))), r"[^\p{L}]+"))
-    per_term = docs.select(F.explode(words).alias("term")).where(F.length("term") >= LETTERS).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
-    bits = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
-    flagged = joint.join(per_term, "term").join(per_entity, "entity").crossJoin(F.broadcast(total))
-    flagged = flagged.where((F.col("n_te") >= POSTERIOR * F.col("n_t")) & (bits >= BITS)).select("entity", "term")
-    found = near.join(flagged, ["entity", "term"]).select("__id", "__hash", F.struct("start", "end", "value").alias("span")).distinct()
-    return found.groupBy("__id", "__hash").agg(F.collect_list("span").alias("__term"))  # at most a few for each mention in one text
+    rows = rows.withColumns({"__base": _tagged(KINDS[:4]), "__hash": F.xxhash64("__text"), "__id": F.col(id_col)})
+    entities = F.array_distinct(F.transform("__base", lambda x: F.xxhash64(F.lower(x["value"]))))
+    return rows.select("__id", "__hash", "__base", entities.alias("__entities"), *(f"__{k}" for k in KINDS[:4]))
+
+
+def _of_text(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """The join by id and text; of ``right``, a key has at most one row."""
+    right = right.withColumnsRenamed({"__id": "__id2", "__hash": "__hash2"})
+    return left.join(right, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__hash") == F.col("__hash2")), how).drop("__id2", "__hash2")
+
+
+def flagged_terms(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(term): the distinct terms that disclose an entity. ``rows`` must be stored: they are read several times."""
+    total = rows.count()
+    mentions = rows.select("__id", "__hash", "__base", F.explode("__entities").alias("entity"))
+    per_entity = stored(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e").between(SUPPORT, total / 2**BITS)))
+    own = mentions.join(per_entity.select("entity"), "entity").groupBy("__id", "__hash").agg(F.any_value("__base").alias("__base"), F.collect_set("entity").alias("entities"))  # one text's entities
+    pairs = _of_text(texts, stored(own)).select("entities", F.array_intersect(_terms(F.col("__text")), _terms(_between(F.col("__text"), F.col("__base")))).alias("free"))
+    joint = pairs.select(F.explode("entities").alias("entity"), "free").select("entity", F.explode("free").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    per_term = texts.select(F.explode(_terms(F.col("__text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= SUPPORT)
+    bits = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
+    flagged = joint.join(per_term, "term").join(per_entity, "entity")
+    return flagged.where((F.col("n_te") >= POSTERIOR * F.col("n_t")) & (bits >= BITS)).select("term").distinct()
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __hash) of each row with its base spans in __base and by kind, and the spans of flagged terms in __term."""
+    rows = stored(with_base(docs, id_col, text_col))
+    text = or_empty(F.col(text_col))
+    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("__text"))
+    flagged = stored(flagged_terms(rows, texts))
+    held = texts.select("__id", "__hash", F.explode(_terms(F.col("__text"))).alias("term")).join(flagged, "term")
+    held = stored(held.groupBy("__id", "__hash").agg(F.collect_set("term").alias("__flagged")))  # one text's terms
+    found = spans_of(F.col("__text"), TERM, lambda value: F.array_contains("__flagged", F.lower(value)))
+    found = _of_text(texts, held).select("__id", "__hash", found.alias("__found")).groupBy("__id", "__hash").agg(F.any_value("__found").alias("__found"))
+    free = F.filter("__found", lambda t: ~F.exists("__base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
+    none = F.expr(f"cast(array() as {_SPANS})")
+    return _of_text(rows, stored(found), "left").withColumn("__term", F.coalesce(free, none)).drop("__found", "__entities")
 
 
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) of each row."""
-    columns = [id_col, "__hash", "__base", "__mentions", *(f"__{k}" for k in KINDS[:4])]
-    rows = stored(with_base(docs.select(id_col, text_col), id_col, text_col).select(*columns))
-    marked = rows.where(F.size("__base") > 0)
-    terms = disclosing_terms(marked, docs, id_col, text_col)
-    joined = marked.join(terms, F.col(id_col).eqNullSafe(F.col("__id")) & (marked["__hash"] == terms["__hash"]), "left").drop(terms["__hash"])
-    none = F.expr(f"cast(array() as {_SPANS})")
-    joined = joined.withColumn("__term", F.coalesce("__term", none)).select(*columns, "__term")
-    rest = rows.where(F.size("__base") == 0).withColumn("__term", none)
     counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return joined.unionByName(rest).select(
-        id_col, *counts, F.sha2(_written(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _written(_tagged(KINDS)).alias("spans"), F.size("__term").cast("long").alias("n_term")
+    return marked(docs.select(id_col, text_col), id_col, text_col).select(
+        F.col("__id").alias(id_col), *counts, F.sha2(_written(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _written(_tagged(KINDS)).alias("spans"), F.size("__term").cast("long").alias("n_term")
     )
 
 
@@ -178,15 +201,12 @@ def _rewritten(text: Column, spans: Column) -> Column:
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with their texts sanitised. Texts without personal data stay as they are."""
-    rows = with_base(docs, id_col, text_col)
-    marked = stored(rows.where(F.size("__base") > 0))
-    terms = disclosing_terms(marked, docs, id_col, text_col)
-    joined = marked.join(terms, F.col(id_col).eqNullSafe(F.col("__id")) & (marked["__hash"] == terms["__hash"]), "left")
-    joined = joined.withColumn("__term", F.coalesce("__term", F.expr(f"cast(array() as {_SPANS})")))
-    clean = rows.where(F.size("__base") == 0).select(*docs.columns)
-    new = joined.withColumn(text_col, _rewritten(F.col("__text"), _tagged(KINDS)))
-    return clean.unionByName(new.select(*docs.columns))
+    """The rows with their texts sanitised. Texts without personal data and flagged terms stay as they are."""
+    spans = marked(docs, id_col, text_col).select("__id", "__hash", _tagged(KINDS).alias("__spans")).where(F.size("__spans") > 0)
+    spans = stored(spans.groupBy("__id", "__hash").agg(F.any_value("__spans").alias("__spans")))
+    rows = _of_text(docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(or_empty(F.col(text_col)))}), spans, "left")
+    new = _rewritten(F.col(text_col), F.col("__spans"))
+    return rows.withColumn(text_col, F.when(F.col("__spans").isNotNull(), new).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,6 +244,30 @@ def test_neighbours_of_small_tables(spark, n):
         assert [v for _, v in sorted(got[q])] == want
 
 
+def test_private_data_of_whole_texts(spark):
+    gap = " common words of any text" * 20
+    many = [f"Quisling wrote.{gap} to a.b@c.org first", f"Quisling said.{gap} to a.b@c.org second, Quisling", "clean Quisling text", *[f"plain filler text{gap}"] * 40]
+    many += [f"Vidkunna and{gap} x.y@z.org here", f"Vidkunna near x.y@z.org{gap}"]
+    rows = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")
+
+    terms = [re.findall(r"[^\W\d_]{4,}", t.lower()) for t in many]
+    mails = [set(re.findall(r"[a-z.]+@[a-z.]+", t)) for t in many]
+    free = [set(re.findall(r"[^\W\d_]{4,}", re.sub(r"[a-z.]+@[a-z.]+", " ", t.lower()))) for t in many]
+    flagged = set()
+    for e in set().union(*mails):
+        for t in set().union(*free):
+            n_te = sum(e in m and t in f for m, f in zip(mails, free, strict=True))
+            n_t, n_e = sum(t in x for x in terms), sum(e in m for m in mails)
+            if n_te >= 2 and 2 * n_te >= n_t and n_te * len(many) >= 8 * n_t * n_e:
+                flagged.add(t)
+    assert flagged == {"quisling", "vidkunna"}
+    spans = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("term")] for r in pii.private_spans(rows).collect()}
+    for i, t in enumerate(many):
+        assert spans[i] == [f"term:{m.start()}:{m.end()}" for m in re.finditer("Quisling|Vidkunna", t)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(rows).collect()}
+    assert clean[2] == "clean  text" and clean[5] == many[5] and not any("Quisling" in t or "Vidkunna" in t for t in clean.values())
+
+
 @pytest.mark.parametrize("percent, banding", [(85, (32, 7)), (80, (41, 6))])
 def test_near_at_other_thresholds(spark, percent, banding):
     assert near_dedup.banding(percent) == banding
