@@ -10,7 +10,7 @@ page designs (no labelled web page is among the tables).
 Inline elements belong to their block. Blocks with a marginal of a half or more are written in page order.
 Null or empty pages, and pages without content, give an empty text. Broken markup is read as browsers mostly do:
 unknown end tags are ignored, a paragraph ends where a block starts, and what is open at the end is closed.
-Tags nested deeper than ``DEEPEST`` are read as part of the block at that depth.
+A head ends at the first text or element that can't stand in one; self-closing elements of SVG and MathML are closed at once.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Tags that end an open element of the same group, up to the tag that holds the group.
 GROUPS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-DEEPEST = 200
+#: Elements that can stand in a head, and those that start foreign content.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+FOREIGN = frozenset({"svg", "math"})
 SPACES = re.compile(r"[\s ]+")
 
 #: Words in class, id or role that speak for a kind of element (fixed lists, one kind a line).
@@ -58,14 +60,13 @@ _SENTENCE, _NAME = re.compile(r"[.!?…:;]['\")»”]?$"), re.compile(r"[A-Za-z]
 
 
 class Node:
-    __slots__ = ("tag", "kinds", "parent", "parts", "children", "size", "linked", "depth")
+    __slots__ = ("tag", "kinds", "parent", "parts", "children", "size", "linked")
 
     def __init__(self, tag: str, kinds: frozenset, parent: Node | None):
         self.tag, self.kinds, self.parent = tag, kinds, parent
         self.parts: list = []  # texts, None for a break, and child nodes, in order
         self.children: list[Node] = []
         self.size = self.linked = 0
-        self.depth = 0 if parent is None else parent.depth + 1
 
 
 def kinds_of(attrs: list) -> frozenset:
@@ -90,8 +91,11 @@ class Tree(HTMLParser):
         self.open: list[tuple[str, Node]] = [("html", self.root)]
         self.hidden = 0  # how many hidden elements are open
         self.links = 0
+        self.foreign = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self._leave_head()
         if tag in ("html", "body"):
             self.open[0][1].kinds |= kinds_of(attrs)
             return
@@ -106,11 +110,12 @@ class Tree(HTMLParser):
             for x in ends:
                 self._end(x, within)
         here = self.open[-1][1]
+        self.foreign += tag in FOREIGN
         if tag in HIDDEN:
             self.hidden += 1
         elif tag == "a":
             self.links += 1
-        elif tag not in INLINE and not self.hidden and here.depth < DEEPEST:
+        elif tag not in INLINE and not self.hidden:
             child = Node(tag, kinds_of(attrs), here)
             here.children.append(child)
             here.parts.append(child)
@@ -119,6 +124,12 @@ class Tree(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
+        if self.foreign and self.open[-1][0] == tag and tag not in VOID:
+            self._end(tag, frozenset())
+
+    def _leave_head(self) -> None:
+        if self.open[-1][0] == "head":
+            self._end("head", frozenset())
 
     def handle_endtag(self, tag: str) -> None:
         self._end(tag, frozenset())
@@ -130,12 +141,15 @@ class Tree(HTMLParser):
                 for x, _ in self.open[at:]:
                     self.hidden -= x in HIDDEN
                     self.links -= x == "a"
+                    self.foreign -= x in FOREIGN
                 del self.open[at:]
                 return
             if self.open[at][0] in within:
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._leave_head()
         if self.hidden or not data:
             return
         node = self.open[-1][1]

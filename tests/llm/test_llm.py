@@ -244,6 +244,24 @@ def test_neighbours_of_small_tables(spark, n):
         assert [v for _, v in sorted(got[q])] == want
 
 
+def test_html_of_open_heads_and_foreign_elements():
+    model = htmltext.default_model()
+    body = "<article><h1>Tom and Co</h1><p>One two three four five.</p><p>Six seven eight nine ten.</p></article>"
+    want = "Tom and Co\n\nOne two three four five.\n\nSix seven eight nine ten."
+    assert htmltext.main_text(f"<html><head><title>T</title><meta charset=x><body>{body}", model) == want
+    assert htmltext.main_text(f"<html><head><title>T</title><link href=x>{body}", model) == want
+    assert htmltext.main_text(f"<html><head><title>T</title></head><body>{body}", model) == want
+    drawn = body.replace("<p>Six", "<svg/><svg><path/><g/></svg><math/><p>Six")
+    assert htmltext.main_text(f"<body>{drawn}</body>", model) == want
+    assert [n.tag for n in htmltext.in_order(htmltext.parse("<svg><title/>x</svg><p>a</p>"))] == ["html", "p"]
+
+
+def test_html_of_deep_pages():
+    nodes = htmltext.in_order(htmltext.parse("<div>" * 1000 + "<p>a</p><p>b</p><div class=ad>c</div>"))
+    assert len(nodes) == 1004 and [n.parts for n in nodes[-3:]] == [["a"], ["b"], ["c"]]
+    assert "ad" in nodes[-1].kinds
+
+
 def test_private_data_of_whole_texts(spark):
     gap = " common words of any text" * 20
     many = [f"Quisling wrote.{gap} to a.b@c.org first", f"Quisling said.{gap} to a.b@c.org second, Quisling", "clean Quisling text", *[f"plain filler text{gap}"] * 40]
