@@ -12,12 +12,15 @@ at most ``capacity`` rows at any input size:
 Whole runs of equal sequences are treated at once. The plan says, for the k-th piece of each length, its sequence
 and its offset there; the k is counted in Spark, by bucket, so that no length's pieces meet in one task.
 
+Texts that hold one of the vocabulary's added tokens are encoded whole, as the tokenizer finds these before it cuts words.
+
 Null texts count as empty: a document of the end token alone. Repeated ids each keep their pieces.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import insort
@@ -37,21 +40,35 @@ from .tokens import WordCoder
 VOCABULARY, CAPACITY, END = "byte_bpe_50k.json", 1024, 2
 
 
+class DocumentCoder(WordCoder):
+    """Encodes texts with an added token whole, all others word by word."""
+
+    def __init__(self, own):
+        def encode(pre_tokens: list[str]) -> Iterator[bytes]:
+            for at in range(0, len(pre_tokens), 10_000):
+                for x in own.encode_batch(pre_tokens[at : at + 10_000], add_special_tokens=False):
+                    yield array("I", x.ids).tobytes()
+
+        super().__init__(encode, b"".join)
+        self.own = own
+        added = [re.escape(x.content) for x in own.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
+
+    def values(self, texts: list[str]) -> list[list]:
+        whole = {k for k, x in enumerate(texts) if self.added.search(x)}
+        out = super().values(["" if k in whole else x for k, x in enumerate(texts)])
+        for k in whole:
+            out[k] = [array("I", self.own.encode(texts[k], add_special_tokens=False).ids).tobytes()]
+        return out
+
+
 @cache
-def coder(path: str) -> WordCoder:
+def coder(path: str) -> DocumentCoder:
     """One for each worker process. Values are little-endian 32-bit ids."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-
-    def encode(pre_tokens: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(pre_tokens), 10_000):
-            for x in own.encode_batch(pre_tokens[at : at + 10_000], add_special_tokens=False):
-                yield array("I", x.ids).tobytes()
-
-    return WordCoder(encode, b"".join)
+    return DocumentCoder(Tokenizer.from_file(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

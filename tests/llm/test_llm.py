@@ -262,6 +262,22 @@ def test_html_of_deep_pages():
     assert "ad" in nodes[-1].kinds
 
 
+def test_packing_of_added_tokens(docs, spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    many = [*texts(), "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y\n z", "<|endoftext|", "long word <|endoftext|> " * 700]
+    rows = [r.asDict() for r in packing.best_fit_packing(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")).collect()]
+    for i, t in enumerate(many):
+        ids = [*own.encode(t or "", add_special_tokens=False).ids, packing.END]
+        mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert sum(r["length"] for r in mine) == len(ids)
+        for r in mine:
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+
 def test_private_data_of_whole_texts(spark):
     gap = " common words of any text" * 20
     many = [f"Quisling wrote.{gap} to a.b@c.org first", f"Quisling said.{gap} to a.b@c.org second, Quisling", "clean Quisling text", *[f"plain filler text{gap}"] * 40]
