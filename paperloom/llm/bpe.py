@@ -1,11 +1,16 @@
 """Byte-level BPE encoding and decoding with a rank queue over hierarchical bitmaps.
 
-The queue of one pre-token has a bucket per merge rank; a bucket holds the positions, in a linked list of symbols,
-of the pairs that merge at that rank. A bitmap of two levels marks the buckets in use, so that find-first-set
-gives the next rank in constant time. Entries whose pair has changed since are skipped when they are taken out.
-A pre-token of n bytes takes O(n) queue operations, so very long pre-tokens are no special case.
+The queue has a bucket per merge rank; a bucket holds the positions, in a linked list of symbols, of the pairs that
+merge at that rank. A bitmap of two levels marks the buckets in use, so that find-first-set gives the next rank in
+constant time. Entries whose pair has changed since are skipped when they are taken out.
 
-Null texts count as empty: no tokens, the digests of the empty string. Special tokens are ordinary text.
+All new pre-tokens of a batch share one queue: no pair spans two of them, so each one's merges still come in the order
+of their ranks, and a bucket is worked off at once in numpy. A pre-token of n bytes takes O(n) queue entries, so very
+long pre-tokens are no special case.
+
+Null and empty texts have no tokens and the digests of the empty string. Special tokens are ordinary text. Repeated
+ids each keep their row; an empty table gives an empty table; only the id and text columns take part, so no other column
+can clash. Long texts are read in parts, whole.
 """
 
 from __future__ import annotations
@@ -15,8 +20,10 @@ import hashlib
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import slices, table
@@ -25,67 +32,135 @@ from .tokens import WordCoder
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
-def merge(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token: the pair of smallest rank merges first, the leftmost of equal ones."""
-    whole = ranks.get(raw)
-    if whole is not None:
-        return [whole]
-    n = len(raw)
-    rank_of = ranks.get
-    symbol = [raw[i : i + 1] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    due = [rank_of(raw[i : i + 2]) for i in range(n)]  # the rank at which the pair that starts here is queued
-    due[-1] = None
-    buckets: dict[int, list[int]] = {}  # positions by rank
-    low: dict[int, int] = {}  # which of 256 ranks are in use
-    top = 0  # which groups of 256 ranks are in use
-    new = [(rank, i) for i, rank in enumerate(due) if rank is not None]
-    while True:
-        for rank, i in new:
-            bucket = buckets.get(rank)
+class RankQueue:
+    """Positions by rank. ``next`` takes out those of the smallest rank."""
+
+    def __init__(self):
+        self.buckets: dict[int, list[np.ndarray]] = {}
+        self.low: dict[int, int] = {}  # which of 256 ranks are in use
+        self.top = 0  # which groups of 256 ranks are in use
+
+    def put(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        edges = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+        for rank, low, high in zip(ranks[edges[:-1]].tolist(), edges, edges[1:], strict=False):
+            bucket = self.buckets.get(rank)
             if bucket is None:
-                buckets[rank] = [i]
+                self.buckets[rank] = [positions[low:high]]
                 group = rank >> 8
-                low[group] = low.get(group, 0) | 1 << (rank & 255)
-                top |= 1 << group
+                self.low[group] = self.low.get(group, 0) | 1 << (rank & 255)
+                self.top |= 1 << group
             else:
-                bucket.append(i)
-        if not top:
-            break
-        # find-first-set on either level gives the smallest rank in use
-        group = (top & -top).bit_length() - 1
-        bits = low[group]
+                bucket.append(positions[low:high])
+
+    def next(self) -> tuple[int, np.ndarray] | None:
+        """(rank, positions in order)"""
+        if not self.top:
+            return None
+        # find-first-set on either level
+        group = (self.top & -self.top).bit_length() - 1
+        bits = self.low[group]
         bit = bits & -bits
+        self.low[group] = bits ^ bit
+        if bits == bit:
+            self.top ^= 1 << group
         rank = group << 8 | bit.bit_length() - 1
-        low[group] = bits = bits ^ bit
-        if not bits:
-            top ^= 1 << group
-        positions = buckets.pop(rank)
-        if len(positions) > 1:
-            positions.sort()
-        new = []
-        for i in positions:
-            if due[i] != rank:
-                continue  # stale: the pair has changed or gone
+        found = self.buckets.pop(rank)
+        return rank, np.sort(found[0] if len(found) == 1 else np.concatenate(found))
+
+
+class Vocabulary:
+    """Ids of byte strings, and the rank and the id of each pair of ids that merges."""
+
+    def __init__(self, ids: dict[bytes, int], pairs: dict[tuple[bytes, bytes], int]):
+        by_id: list = [None] * (max(ids.values()) + 1)
+        for raw, i in ids.items():
+            by_id[i] = raw
+        self.raws = pa.array(by_id, pa.large_binary())
+        self.single = np.array([ids[bytes([b])] for b in range(256)], np.int64)
+        rows = sorted((ids[x] << 32 | ids[y], rank, ids[x + y]) for (x, y), rank in pairs.items()) or [(-1, -1, -1)]
+        self.keys, self.pair_rank, made = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        self.made = np.full(self.pair_rank.max() + 1, -1)  # the id that a rank makes
+        self.made[self.pair_rank] = made
+
+    @classmethod
+    def of_ranks(cls, ranks: dict[bytes, int]) -> Vocabulary:
+        """Of byte strings whose ids are their ranks: two merge where their joint string has a rank."""
+        return cls(ranks, {(raw[:k], raw[k:]): rank for raw, rank in ranks.items() for k in range(1, len(raw)) if raw[:k] in ranks and raw[k:] in ranks})
+
+    def singly(self, raw: bytes) -> np.ndarray:
+        """The ids of one pre-token, one merge at a time: the leftmost pair of the smallest rank."""
+        parts = self.single[np.frombuffer(raw, np.uint8)]
+        while len(parts) > 1:
+            rank = self.pairs(parts[:-1], parts[1:])
+            if (rank < 0).all():
+                break
+            i = int(np.where(rank < 0, np.iinfo(np.int64).max, rank).argmin())
+            parts = np.concatenate([parts[:i], [self.made[rank[i]]], parts[i + 2 :]])
+        return parts.astype(np.uint32)
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 where it doesn't merge."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.pair_rank[at], -1)
+
+    def merged(self, raws: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pre-tokens, end to end, and how many each has. None may be null or empty."""
+        raws = pc.cast(raws, pa.large_binary())
+        offset = np.frombuffer(raws.buffers()[1], np.int64)[raws.offset : raws.offset + len(raws) + 1]
+        size = np.diff(offset)
+        symbol = self.single[np.frombuffer(raws.buffers()[2], np.uint8)[offset[0] : offset[-1]]]
+        n = len(symbol)
+        owner = np.repeat(np.arange(len(raws)), size)
+        starts = np.ones(n + 1, bool)  # of pre-tokens, and the end
+        starts[1:n] = owner[1:] != owner[:-1]
+        after, before = np.arange(1, n + 1), np.arange(-1, n)
+        alive = np.ones(n, bool)
+        due = np.full(n + 1, -1)  # the rank at which the pair that starts here is queued
+        due[: n - 1] = np.where(starts[1:n], -1, self.pairs(symbol[:-1], symbol[1:]))
+        queue, odd = RankQueue(), set()
+        at = np.flatnonzero(due >= 0)
+        if len(at):
+            queue.put(due[at], at)
+        while (found := queue.next()) is not None:
+            rank, i = found
+            keep = due[i] == rank  # others are stale: the pair has changed or gone
+            keep[1:] &= i[1:] != i[:-1]
+            i = i[keep]
+            if not len(i):
+                continue
+            over = i[1:] == after[i[:-1]]  # pairs that share a symbol: every other one merges, from the left
+            if over.any():
+                place = np.arange(len(i))
+                i = i[(place - np.maximum.accumulate(np.where(np.concatenate([[False], over]), 0, place))) % 2 == 0]
             j = after[i]
-            joined = symbol[i] = symbol[i] + symbol[j]
-            k = after[i] = after[j]
-            due[i] = due[j] = None
-            if k < n:
-                before[k] = i
-                due[i] = r = rank_of(joined + symbol[k])
-                if r is not None:
-                    new.append((r, i))
-            h = before[i]
-            if h >= 0:
-                due[h] = r = rank_of(symbol[h] + joined)
-                if r is not None:
-                    new.append((r, h))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[symbol[i]])
-        i = after[i]
-    return out
+            k = after[j]
+            symbol[i], alive[j], due[j], after[i], before[k] = self.made[rank], False, -1, k, i
+            right = np.full(len(i), -1)
+            inside = np.flatnonzero(~starts[k])
+            right[inside] = self.pairs(symbol[i[inside]], symbol[k[inside]])
+            due[i] = right
+            with_left = i[~starts[i]]
+            h = before[with_left]
+            left = self.pairs(symbol[h], symbol[with_left])
+            due[h] = left
+            ranks, places = np.concatenate([right, left]), np.concatenate([i, h])
+            keep = ranks >= 0
+            if keep.any():
+                ranks, places = ranks[keep], places[keep]
+                if ranks.min() < rank:  # ranks that don't follow the order of merges
+                    odd.update(owner[places[ranks < rank]].tolist())
+                queue.put(ranks, places)
+        ids, many = symbol[alive].astype(np.uint32), np.bincount(owner[alive], minlength=len(raws))
+        wrong = {w: self.singly(raws[w].as_py()) for w in odd}
+        if wrong:
+            parts = np.split(ids, np.cumsum(many)[:-1])
+            for w, own in wrong.items():
+                parts[w] = own
+            ids, many = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, many
 
 
 @cache
@@ -95,34 +170,50 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encodes texts to ids and back. A word's value: its ids as decimals joined by commas, and what they decode to."""
+    """Encodes texts to ids and back. A pre-token that is a token as a whole is that token, wherever its merges lead."""
 
     def __init__(self, path: str):
-        self.ranks = load_ranks(path)
-        self.bytes_of = {i: raw for raw, i in self.ranks.items()}
-        self.coder = WordCoder(self._encode, lambda xs: xs[0] if len(xs) == 1 else (",".join([x[0] for x in xs]), b"".join([x[1] for x in xs])))
-
-    def _encode(self, pre_tokens: list[str]) -> list[tuple[str, bytes]]:
-        out = []
-        for x in pre_tokens:
-            ids = merge(x.encode("utf-8", "surrogatepass"), self.ranks)
-            out.append((",".join(map(str, ids)), self.decode(ids)))
-        return out
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[int(x) for ids, _ in parts for x in ids.split(",")] for parts in self.coder.values(texts)]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
-
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """For each text: number of ids, SHA-256 of the ids, SHA-256 of the bytes that they decode to."""
-        out = []
-        for parts in self.coder.values(texts):
-            ids = ",".join([x for x, _ in parts])
-            raw = b"".join([x for _, x in parts])
-            out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
-        return out
+        self.vocabulary = Vocabulary.of_ranks(load_ranks(path))
+        self.raws = self.vocabulary.raws
+        self.decimals = pa.array([f"{k}," for k in range(len(self.raws))], pa.large_string())
+        self.coder = WordCoder(self._encoded)
+
+    def _encoded(self, pre_tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, many = self.vocabulary.merged(pre_tokens)
+        whole = pc.index_in(pc.cast(pre_tokens, pa.large_binary()), value_set=self.raws)
+        wrong = np.flatnonzero((many > 1) & whole.is_valid().to_numpy(zero_copy_only=False))
+        if len(wrong):
+            ids = np.delete(ids, np.concatenate([np.arange(a + 1, a + m) for a, m in zip((np.cumsum(many) - many)[wrong].tolist(), many[wrong].tolist(), strict=True)]))
+            many = many.copy()
+            many[wrong] = 1
+            ids[(np.cumsum(many) - many)[wrong]] = whole.take(pa.array(wrong)).to_numpy()
+        return ids, many
+
+    def encode(self, texts: list[str] | pa.Array) -> pa.ListArray:
+        ids, first = self.coder.texts(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+    def decode(self, ids: pa.ListArray) -> list[bytes | None]:
+        """Null ids give null."""
+        return [None if x is None else b"".join(self.raws.take(pa.array(x, pa.int64())).to_pylist()) for x in ids.to_pylist()]
+
+    def digests(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
+        """For each text: number of ids, SHA-256 of the ids as decimals joined by commas, SHA-256 of the bytes that they decode to."""
+        ids, first = self.coder.texts(texts)
+        many = np.diff(first)
+        said = []
+        for names, extra in ((self.decimals, 1), (self.raws, 0)):
+            out, low = [], 0
+            while low < len(many):  # a run of texts at a time, as each id takes up to 80 bytes
+                high = max(low + 1, int(np.searchsorted(first, first[low] + (1 << 20), "right")) - 1)
+                joined = names.take(pa.array(ids[first[low] : first[high]]))
+                offset = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)
+                ends = offset[first[low : high + 1] - first[low]].tolist()
+                raw = memoryview(joined.buffers()[2] or b"")
+                out.extend(hashlib.sha256(raw[a : max(a, b - extra)]).hexdigest() for a, b in zip(ends, ends[1:], strict=False))
+                low = high
+            said.append(out)
+        return many, *said
 
 
 @cache
@@ -138,8 +229,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         own = codec(path)
         for batch in batches:
             for part in slices(batch, text_col):
-                ids = pa.array(own.encode([x or "" for x in part.column(text_col).to_pylist()]), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(id_col), ids], [id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), own.encode(part.column(text_col))], [id_col, "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, ids array<int>")
 
@@ -150,8 +240,7 @@ def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            raw = pa.array([None if x is None else own.decode(x) for x in batch.column(ids_col).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), raw], [id_col, "raw"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(own.decode(batch.column(ids_col)), pa.binary())], [id_col, "raw"])
 
     return tokens.select(id_col, ids_col).mapInArrow(run, f"{id_col} {dict(tokens.dtypes)[id_col]}, raw binary")
 
@@ -163,7 +252,7 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         own = codec(path)
         for batch in batches:
             for part in slices(batch, text_col):
-                n, ids, raw = zip(*own.digests([x or "" for x in part.column(text_col).to_pylist()]), strict=True)
+                n, ids, raw = own.digests(part.column(text_col))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(id_col), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())],
                     [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],

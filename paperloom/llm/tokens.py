@@ -1,16 +1,23 @@
-"""Cutting texts into pre-tokens, with bounded caches, for the byte-level BPE operators.
+"""Cutting texts into pre-tokens and looking their ids up, for the byte-level BPE operators.
 
-A text whose only white space is single spaces and single line feeds between other characters is cut at its spaces:
-byte-level BPE attaches a space to the word that follows, so each word with its space is encoded on its own and can
-be cached. Every other text is cut by the full pattern. Both ways give the same pre-tokens.
+Byte-level BPE attaches a space to the word that follows it, and a line feed between two words stands alone. So a text
+without other white space, and with no two white space characters in a row, is cut before each of them, and every piece
+can be encoded on its own. Other texts are cut by the full pattern. Both ways give the same pre-tokens, and a piece cut
+again gives its own pre-tokens.
+
+A slice of texts is cut and its pieces made distinct in Arrow; Python sees each distinct piece once, and ids are
+gathered with numpy.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: For texts in ASCII, the public pattern with its Unicode classes spelled out; the standard module is faster.
@@ -18,8 +25,15 @@ _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0
 _FULL = regex.compile(public_tokenizers.PATTERN)
 #: White space to Python's modules alone.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
-#: Entries of a cache before it is emptied, so that a worker's memory is bounded; longer words aren't kept.
-CACHE_ENTRIES, LONGEST_KEY = 400_000, 64
+#: Letters that every version of Unicode knows (RE2), one pre-token at first sight, and a boundary after a word.
+_LETTERS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
+_SINGLE, _AFTER_WORD = rf"^(?: ?[{_LETTERS}]+|[ \n.,;:!?])$", rf"([{_LETTERS}])([.,;:!?])"
+#: What a text that is cut at its spaces and line feeds must not hold (RE2).
+_ODD = r"[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]"
+#: Bytes of a cache before it is emptied, so that a worker's memory is bounded.
+CACHE_BYTES = 96 << 20
+#: Characters of a text that are cut at once.
+SEGMENT = 4 << 20
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -27,39 +41,108 @@ def pre_tokens(text: str) -> list[str]:
     return (_ASCII if text.isascii() and not _SEPARATORS.search(text) else _FULL).findall(text)
 
 
-def plainly_spaced(text: str) -> bool:
-    """Whether single spaces and single line feeds between other characters are all the white space there is."""
-    words = text.split()
-    n = text.count(" ") + text.count("\n")
-    return len(words) == n + 1 and sum(map(len, words)) == len(text) - n
+def pieces_of(texts: pa.Array) -> pa.ListArray:
+    """The pieces of each text, in order; some may be empty."""
+    odd = pc.match_substring_regex(texts, _ODD)
+    plain = pc.if_else(odd, "", texts)
+    plain = pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0")
+    lists = pc.split_pattern(pc.replace_substring_regex(plain, _AFTER_WORD, "\\1\0\\2"), "\0")
+    rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    if len(rows):
+        at = np.arange(len(texts))
+        at[rows] = len(texts) + np.arange(len(rows))
+        lists = pa.concat_arrays([lists, pa.array([pre_tokens(x) for x in texts.take(pa.array(rows)).to_pylist()], lists.type)]).take(pa.array(at))
+    return lists
+
+
+def segments(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts, long ones in parts that start at a single space after a word, and each part's text number."""
+    if not len(texts) or pc.max(pc.binary_length(texts)).as_py() <= SEGMENT:
+        return texts, np.arange(len(texts))
+    out, owner = [], []
+    for k, text in enumerate(texts.to_pylist()):
+        at = 0
+        while len(text) - at > SEGMENT:
+            cut = next((x.start() + 1 for x in re.finditer(r"[A-Za-z] (?=[A-Za-z])", text[at + SEGMENT : at + 2 * SEGMENT])), None)
+            if cut is None:
+                break
+            out.append(text[at : at + SEGMENT + cut])
+            owner.append(k)
+            at += SEGMENT + cut
+        out.append(text[at:])
+        owner.append(k)
+    return pa.array(out, pa.string()), np.array(owner)
 
 
 class WordCoder:
-    """Encodes texts word by word. ``encode`` maps pre-tokens to values, ``join`` joins the values of several."""
-
-    def __init__(self, encode: Callable[[list[str]], Iterable], join: Callable[[list], object]):
-        self.encode, self.join = encode, join
-        self.parts: dict[str, object] = {}
-        self.words: dict[str, object] = {}  # a word's value with a space before it
-
-    def values(self, texts: list[str]) -> list[list]:
-        """For each text, the values of its words or pre-tokens, in order."""
-        cuts = [x.split(" ") if plainly_spaced(x) else None for x in texts]
-        odd = [pre_tokens(x) if cut is None else pre_tokens(cut[0]) for x, cut in zip(texts, cuts, strict=True)]
-        new = {w for cut in cuts if cut for w in cut[1:]}
-        new.difference_update(self.words)
-        cut_words = {w: pre_tokens(" " + w) for w in new}
-        needed = {x for some in (odd, cut_words.values()) for xs in some for x in xs}
-        needed.difference_update(self.parts)
-        needed = list(needed)
-        self.parts.update(zip(needed, self.encode(needed), strict=True))
-        parts, words, join = self.parts, self.words, self.join
-        words.update((w, join([parts[x] for x in xs])) for w, xs in cut_words.items())
-        out = [[*map(parts.__getitem__, first), *(map(words.__getitem__, cut[1:]) if cut else ())] for first, cut in zip(odd, cuts, strict=True)]
-        for known, fresh in ((parts, needed), (words, cut_words)):
-            if len(known) > CACHE_ENTRIES:
-                known.clear()
-            else:
-                for x in [x for x in fresh if len(x) > LONGEST_KEY]:
-                    del known[x]
-        return out
+    """Encodes texts piece by piece; ``encode`` gives the ids of all of some pre-tokens, end to end, and how many each has."""
+
+    def __init__(self, encode: Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]]):
+        self.encode = encode
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known = pa.array([""], pa.string())
+        self.ids, self.first, self.many = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _add(self, pieces: pa.StringArray, ids: np.ndarray, many: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, pieces])
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(many) - many])
+        self.many = np.concatenate([self.many, many])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces of those numbers, end to end, and how many ids come up to each one's end."""
+        many = self.many[at]
+        ends = np.cumsum(many)
+        place = np.repeat(self.first[at] - (ends - many), many)
+        place += np.arange(len(place))
+        return self.ids[place], ends
+
+    def _found(self, pieces: pa.StringArray) -> pa.Array:
+        """The numbers of known pieces, null for others."""
+        return pc.index_in(pieces, value_set=self.known)
+
+    def _places(self, pieces: pa.StringArray) -> np.ndarray:
+        """The numbers of distinct pieces, new ones among them."""
+        found = self._found(pieces)
+        if not found.null_count:
+            return found.to_numpy()
+        new = pieces.filter(pc.is_null(found))
+        single = pc.match_substring_regex(new, _SINGLE)
+        cut = [(x, pre_tokens(x)) for x in new.filter(pc.invert(single)).to_pylist()]
+        parts = pa.array(dict.fromkeys(y for _, xs in cut for y in xs), pa.string())
+        parts = parts.filter(pc.is_null(pc.index_in(parts, value_set=pa.concat_arrays([self.known, new.filter(single)]))))
+        parts = pa.concat_arrays([new.filter(single), parts])
+        if len(parts):
+            self._add(parts, *self.encode(parts))
+        cut = [(x, xs) for x, xs in cut if len(xs) != 1]
+        if cut:
+            ids, ends = self._gathered(self._found(pa.array([y for _, xs in cut for y in xs], pa.string())).to_numpy())
+            ends = np.concatenate([[0], ends])[np.cumsum([len(xs) for _, xs in cut])]
+            self._add(pa.array([x for x, _ in cut], pa.string()), ids, np.diff(ends, prepend=0))
+        return self._found(pieces).to_numpy()
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): the ids of text k are ids[first[k]:first[k + 1]]. Null counts as empty."""
+        parts, owner = segments(pc.fill_null(texts, ""))
+        out, many = [], np.zeros(len(texts), np.int64)
+        sizes = np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        low = 0
+        while low < len(parts):
+            high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + 2 * SEGMENT, "right")))
+            ids, count = self._some(parts.slice(low, high - low))
+            out.append(ids)
+            np.add.at(many, owner[low:high], count)
+            low = high
+        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(many)])
+
+    def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and how many each has."""
+        if self.known.nbytes + self.ids.nbytes + self.first.nbytes + self.many.nbytes > CACHE_BYTES:
+            self._empty()
+        lists = pieces_of(texts)
+        distinct = lists.flatten().dictionary_encode()
+        ids, ends = self._gathered(self._places(distinct.dictionary)[distinct.indices.to_numpy()])
+        count = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return ids, np.diff(count)
