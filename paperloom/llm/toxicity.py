@@ -1,7 +1,8 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-The unit is a word in lower case without surrounding punctuation; runs of three or more single characters
-("i d i o t") also make a word. The kernel of two words is the gap-weighted count of common subsequences of three
+The unit is a word in lower case without punctuation. Runs of three or more single characters ("i d i o t") also make a
+word; words of one or two characters get a blank on each side; long words, and runs in scripts that are written without
+spaces, are read in overlapping windows. The kernel of two words is the gap-weighted count of common subsequences of three
 characters, where each character spanned costs a factor ``DECAY``, scaled to 1 for equal words. Inserted characters
 only stretch the gaps, so that "id.io-t" stays near "idiot".
 
@@ -11,82 +12,130 @@ than chance explains, and hardly in clean ones. They train a squared-hinge SVM o
 clean texts; clean words that it takes for toxic join them for a second turn. A text's value is that of its highest
 word; a logistic curve fitted on the sample turns it into a score.
 
+As the landmarks are few and fixed, the trained function is a weight for each three characters: a word's value is the sum of
+these weights over its subsequences, divided by its norm. So scoring takes no kernel with each landmark.
+
 Null and empty texts have the value of a word that shares nothing with any landmark, so they have a low score.
-Very long words are read in overlapping windows. Without labelled rows of both kinds every score is 0.
+Without labelled rows of both kinds every score is 0. Texts are read whole. Repeated rows each keep their row (equal texts have
+equal scores, so there are no ties to break); an empty table gives an empty table; only the id and text columns take part in
+:func:`scored`, and :func:`without_toxic` passes all other columns on, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut, slices, table
 
 DECAY, LENGTH, WINDOW = 0.7, 3, 24
+#: Characters of a window in scripts without spaces.
+UNSPACED_WINDOW = 4
 #: Labelled rows of each label that training reads at most (about: rows are drawn by a hash of their id).
 TRAINING_ROWS = 4_000
 #: Sizes of the training set and of the model.
 WITNESSES, CANDIDATES, CLEAN_WORDS, LANDMARKS, STEM = 300, 300, 2_500, 36, 5
-CACHE_ENTRIES = 300_000
+#: Words that a worker remembers, and numbers of a block of a kernel.
+CACHE_WORDS, BLOCK = 400_000, 1 << 20
 _INNER = re.compile(r"[\W_]+")
 _SINGLES = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
-
-
-def words_of(text: str) -> set[str]:
-    """The distinct units of a text, of LENGTH characters at least; longer than WINDOW: overlapping windows."""
-    text = text.lower()
-    tokens = set(text.split())
-    tokens.update(run.replace(" ", "").replace("\n", "") for run in _SINGLES.findall(text))
-    found = {x if x.isalpha() else _INNER.sub("", x) for x in tokens}
-    for x in [x for x in found if len(x) > WINDOW]:
-        found.remove(x)
-        found.update(x[at : at + WINDOW] for at in range(0, len(x) - WINDOW // 2, WINDOW // 2))
-    return {x for x in found if len(x) >= LENGTH}
+#: The same for RE2, at least as wide.
+_SINGLES_SEEN = r"(?:^|\s)[^\s](?:\s[^\s]){2,}(?:\s|$)"
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]+")
+
+
+def tokens_of(texts: pa.Array) -> pa.ListArray:
+    """The words of each text in lower case, between white space, and joined runs of single characters. Null: none."""
+    low = pc.utf8_lower(pc.fill_null(texts, ""))
+    lists = pc.utf8_split_whitespace(low)
+    rows = np.flatnonzero(pc.match_substring_regex(low, _SINGLES_SEEN).to_numpy(zero_copy_only=False))
+    if len(rows):
+        more = [x.split() + [_INNER.sub("", run) for run in _SINGLES.findall(x)] for x in low.take(pa.array(rows)).to_pylist()]
+        at = np.arange(len(texts))
+        at[rows] = len(texts) + np.arange(len(rows))
+        lists = pa.concat_arrays([lists, pa.array(more, lists.type)]).take(pa.array(at))
+    return lists
+
+
+def units_of(token: str) -> list[str]:
+    """The units of a word."""
+    x = token if token.isalpha() else _INNER.sub("", token)
+    parts = [x]
+    if _UNSPACED.search(x):
+        parts = [y for y in _UNSPACED.split(x) if y]
+        for run in _UNSPACED.findall(x):
+            parts.extend(run[at : at + UNSPACED_WINDOW] for at in range(max(1, len(run) - UNSPACED_WINDOW + 1)))
+    out = []
+    for y in parts:
+        if len(y) > WINDOW:
+            out.extend(y[at : at + WINDOW] for at in range(0, len(y) - WINDOW // 2, WINDOW // 2))
+        elif y:
+            out.append(y if len(y) >= LENGTH else f" {y} ")
+    return out
 
 
 def codes(words: list[str]) -> np.ndarray:
     """Code points by place and word, -1 beyond a word's end."""
-    out = np.full((max(map(len, words), default=0), len(words)), -1, np.int32)
-    for k, x in enumerate(words):
-        own = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.int32)
-        out[: len(own), k] = own
+    size = np.array([len(x) for x in words], np.int64)
+    out = np.full((size.max(initial=0), len(words)), -1, np.int32)
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.int32)
+    word = np.repeat(np.arange(len(words)), size)
+    out[np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size), word] = points
     return out
 
 
 def _common(same: np.ndarray) -> np.ndarray:
     """Gap-weighted count of common subsequences; same[i, j, ...]: whether place i of one word equals place j of the other."""
     rows, columns, *rest = same.shape
-    prefix = np.ones((rows, columns, *rest), np.float32)
-    for step in range(LENGTH):
-        ends = prefix * same
-        if step == LENGTH - 1:
-            return ends.sum(axis=(0, 1)) * np.float32(DECAY ** (2 * LENGTH))
+    ends = same.astype(np.float32)
+    prefix, run, decay = np.zeros_like(ends), np.zeros(rest, np.float32), np.float32(DECAY)
+    for _ in range(LENGTH - 1):
         # what ended before place (i, j), each place in between costing a factor
-        np.multiply(0, prefix, out=prefix)
         for i in range(1, rows):
-            run = np.zeros(rest, np.float32)
+            run[...] = 0
             for j in range(1, columns):
-                run = run * np.float32(DECAY) + ends[i - 1, j - 1]
-                prefix[i, j] = prefix[i - 1, j] * np.float32(DECAY) + run
-    raise AssertionError
+                run *= decay
+                run += ends[i - 1, j - 1]
+                np.multiply(prefix[i - 1, j], decay, out=prefix[i, j])
+                prefix[i, j] += run
+        np.multiply(prefix, same, out=ends)
+    return ends.sum(axis=(0, 1)) * np.float32(DECAY ** (2 * LENGTH))
+
+
+def _blocks(words: list[str], marks: int, longest: int) -> Iterator[list[int]]:
+    """Places of the words, by length, as many at once as ``BLOCK`` allows for."""
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    at = 0
+    while at < len(order):
+        many = max(1, BLOCK // (max(1, len(words[order[at]]) + 1) * (longest or len(words[order[at]]) + 1) * marks))
+        part = order[at : at + many]
+        if not longest:  # equal lengths only
+            size = len(words[part[0]])
+            part = [k for k in part if len(words[k]) == size]
+        yield part
+        at += len(part)
+
+
+def norms(code: np.ndarray) -> np.ndarray:
+    """The square root of each word's kernel with itself."""
+    return np.sqrt(np.maximum(_common((code[:, None] == code[None]) & (code >= 0)[:, None]), 1e-12))
 
 
 def kernel(words: list[str], marks: list[str]) -> np.ndarray:
     """Kernel of each word with each mark, from 0 to 1."""
     out = np.zeros((len(words), len(marks)), np.float32)
     b = codes(marks)
-    mark_size = np.sqrt(np.maximum(_common((b[:, None] == b[None]) & (b >= 0)[:, None]), 1e-12))
-    order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    for at in range(0, len(order), 1024):
-        part = order[at : at + 1024]
+    mark_size = norms(b)
+    for part in _blocks(words, len(marks), len(b)):
         a = codes([words[k] for k in part])
-        size = np.sqrt(np.maximum(_common((a[:, None] == a[None]) & (a >= 0)[:, None]), 1e-12))
-        out[part] = _common(a[:, None, :, None] == np.where(b < 0, -2, b)[None, :, None, :]) / size[:, None] / mark_size
+        out[part] = _common(a[:, None, :, None] == np.where(b < 0, -2, b)[None, :, None, :]) / norms(a)[:, None] / mark_size
     return out
 
 
@@ -94,29 +143,94 @@ class Model:
     """f(word) = kernel(word, landmarks) @ weights + bias; score(text) = logistic(slope * highest f + offset)."""
 
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float):
-        self.landmarks, self.weights, self.bias = landmarks, weights.astype(np.float32), bias
+        self.landmarks, self.bias = landmarks, bias
         self.slope, self.offset = 1.0, 0.0
-        self.known: dict[str, float] = {}
+        letters = sorted({ord(c) for x in landmarks for c in x})
+        self.letters = np.array(letters, np.int32)
+        number = {chr(c): k + 1 for k, c in enumerate(letters)}
+        weight: dict[tuple[int, int, int], float] = {}
+        for x, w in zip(landmarks, (weights / norms(codes(landmarks))).tolist(), strict=True):
+            for i, j, k in combinations(range(len(x)), LENGTH):
+                key = number[x[i]], number[x[j]], number[x[k]]
+                weight[key] = weight.get(key, 0.0) + w * DECAY ** (k - i + 1)
+        pairs = {x: k + 1 for k, x in enumerate(dict.fromkeys((a, b) for a, b, _ in weight))}
+        self.pair = np.zeros((len(letters) + 1, len(letters) + 1), np.int32)  # 0: a pair of no landmark
+        self.third = np.zeros((len(pairs) + 1, len(letters) + 1), np.float32)
+        for (a, b, c), w in weight.items():
+            self.pair[a, b] = pairs[a, b]
+            self.third[pairs[a, b], c] = w
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.value = pa.array([], pa.string()), np.zeros(0, np.float32)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
-
-    def decision(self, words: list[str]) -> np.ndarray:
-        return kernel(words, self.landmarks) @ self.weights + self.bias
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "value")}
 
-    def values(self, texts: list[str]) -> np.ndarray:
-        """The highest decision value among each text's words."""
-        units = [words_of(x) for x in texts]
-        new = sorted(set().union(*units).difference(self.known))
-        self.known.update(zip(new, self.decision(new).tolist(), strict=True))
-        known, bias = self.known, self.bias
-        out = np.array([max(map(known.__getitem__, xs), default=bias) for xs in units])
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        return np.maximum(out, bias)
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.values(texts) + self.offset, -40, 40)))
+    def decision(self, words: list[str]) -> np.ndarray:
+        """f of each word."""
+        out = np.zeros(len(words), np.float32)
+        width = self.third.shape[1]
+        third = self.third.reshape(-1)
+        for part in _blocks(words, 1, 0):
+            a = codes([words[k] for k in part])
+            at = np.minimum(np.searchsorted(self.letters, a), len(self.letters) - 1)
+            own = np.where(self.letters[at] == a, at + 1, 0)
+            n = len(own)
+            total = np.zeros(len(part), np.float32)
+            for i, j in combinations(range(n - 1), 2):
+                base = self.pair[own[i], own[j]]
+                seen = np.flatnonzero(base)
+                if len(seen):
+                    fade = np.power(DECAY, np.arange(j - i + 2, n - i + 1), dtype=np.float32)
+                    total[seen] += fade @ third[base[seen] * width + own[j + 1 :, seen]]
+            out[part] = total / norms(a)
+        return out + np.float32(self.bias)
+
+    def token_values(self, tokens: pa.StringArray) -> np.ndarray:
+        """The highest value among each distinct word's units."""
+        if len(self.known) > CACHE_WORDS:
+            self._forget()
+        found = pc.index_in(tokens, value_set=self.known)
+        new = tokens.filter(pc.is_null(found))
+        if len(new):
+            units = [units_of(x) for x in new.to_pylist()]
+            distinct = list(dict.fromkeys(x for xs in units for x in xs))
+            number = {x: k for k, x in enumerate(distinct)}
+            values = self.decision(distinct)
+            many = np.array([len(xs) for xs in units])
+            best = np.full(len(units), self.bias, np.float32)
+            flat = np.array([number[x] for xs in units for x in xs], np.int64)
+            if len(flat):
+                some = np.flatnonzero(many)
+                best[some] = np.maximum(best[some], np.maximum.reduceat(values[flat], (np.cumsum(many) - many)[some]))
+            self.known, self.value = pa.concat_arrays([self.known, new]), np.concatenate([self.value, best])
+            found = pc.index_in(tokens, value_set=self.known)
+        return self.value[found.to_numpy()]
+
+    def best(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The highest value among each text's words, and the first word that has it (null without words)."""
+        lists = tokens_of(texts)
+        flat = lists.flatten().dictionary_encode()
+        values = self.token_values(flat.dictionary)[flat.indices.to_numpy()]
+        first = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        out, place = np.full(len(texts), self.bias, np.float32), np.full(len(texts), -1)
+        some = np.flatnonzero(np.diff(first))
+        if len(some):
+            out[some] = np.maximum.reduceat(values, first[some])
+            owner = np.repeat(np.arange(len(texts)), np.diff(first))
+            hit = np.flatnonzero(values == out[owner])
+            place[owner[hit][::-1]] = hit[::-1]
+        indices = pa.array(np.where(place < 0, 0, flat.indices.to_numpy()[place]) if len(values) else np.zeros(len(texts), np.int32), mask=place < 0)
+        return out.astype(float), flat.dictionary.take(indices)
+
+    def scores(self, texts: pa.Array | list[str]) -> np.ndarray:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.best(texts)[0] + self.offset, -40, 40)))
 
 
 def fit_svm(words: list[str], labels: np.ndarray, weight: np.ndarray, landmarks: list[str], penalty: float = 20.0) -> Model:
@@ -162,45 +276,60 @@ def spread_out(words: list[str], many: int) -> list[str]:
     return [words[k] for k in chosen]
 
 
-def contexts(text: str) -> set[tuple[str, str]]:
-    """(unit, word before it) of a text; a stem of STEM characters with ``~`` stands beside each longer word."""
-    tokens = ["" if not x else x if x.isalpha() else _INNER.sub("", x) for x in ["", *text.lower().split()]]
-    out = set()
-    for before, x in zip(tokens, tokens[1:], strict=False):
-        if LENGTH <= len(x) <= WINDOW:
+def contexts(tokens: list[str]) -> set[tuple[str, str]]:
+    """(unit, word before it) of a text's words; a stem of STEM characters with ``~`` stands beside each longer unit."""
+    out, before = set(), ""
+    for token in tokens:
+        units = units_of(token)
+        for x in units:
             out.add((x, before))
             if len(x) > STEM:
                 out.add((x[:STEM] + "~", before))
+        before = units[-1] if units else ""
     return out
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, label, unit, before) of each text, repeats within a text left out."""
+def _units(docs: DataFrame, text_col: str) -> DataFrame:
+    """(label, unit, before, first) of each text, repeats within a text left out; first: 1 once for each unit of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col, 1 << 20):
-                units = [sorted(contexts(x or "")) for x in part.column(text_col).to_pylist()]
-                at = pa.array(np.repeat(np.arange(len(units)), [len(x) for x in units]))
-                pairs = [pa.array([y[k] for x in units for y in x], pa.string()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(id_col).take(at), part.column("label").take(at), *pairs], [id_col, "label", "unit", "before"])
-
-    return docs.select(id_col, "label", text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, label int, unit string, before string")
-
-
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS) -> Model | None:
-    """A model of the labelled rows, or None without rows of both labels."""
-    usable = labelled.where(F.col(label_col).isin(0, 1)).select(id_col, text_col, F.col(label_col).cast("int").alias("label"))
+                rows = []
+                for label, tokens in zip(part.column("label").to_pylist(), tokens_of(part.column(text_col)).to_pylist(), strict=True):
+                    last = None
+                    for unit, before in sorted(contexts(tokens)):
+                        rows.append((label, unit, before, int(unit != last)))
+                        last = unit
+                columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+                kinds = (pa.int32(), pa.string(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["label", "unit", "before", "first"])
+
+    return docs.select("label", text_col).mapInArrow(run, "label int, unit string, before string, first int")
+
+
+def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame | None:
+    """(text, label) of at most about ``rows`` rows of each label; None without rows of both. Only ids are shuffled."""
+    usable = labels.where(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("label"))
+    usable = usable.join(docs.select(id_col), id_col, "left_semi")
     count = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(count) < 2:
         return None
-    bound = F.when(F.col("label") == 1, int(min(1, rows / count[1]) * (1 << 20))).otherwise(int(min(1, rows / count[0]) * (1 << 20)))
-    sample = cut(usable.where(F.pmod(F.xxhash64(F.lit("toxicity"), id_col), F.lit(1 << 20)) < bound))
-    seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(seen) < 2:
+    # a share of the range of 64-bit hashes, so that the sample is no emptier for larger tables
+    bound = {y: min((1 << 63) - 1, int(min(1.0, rows / n) * 2**64) - (1 << 63)) for y, n in count.items()}
+    drawn = usable.where(F.xxhash64(F.lit("toxicity"), id_col) <= F.when(F.col("label") == 1, F.lit(bound[1])).otherwise(F.lit(bound[0]))).limit(4 * rows)
+    sample = cut(docs.select(id_col, text_col).join(F.broadcast(drawn), id_col).select(F.col(text_col).alias("text"), "label"))
+    return sample if sample.select("label").distinct().count() == 2 else None
+
+
+def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS) -> Model | None:
+    """A model of the documents that ``labels`` (or a column of their own) marks, or None without rows of both labels."""
+    sample = _sampled(docs, docs if labels is None else labels, id_col, text_col, label_col, rows)
+    if sample is None:
         return None
     # neither copied passages nor one text's habits count twice: a unit counts by its texts or its contexts, whichever are fewer
-    counted = _units(sample, id_col, text_col).groupBy("unit", "label").agg(F.least(F.count_distinct(id_col), F.count_distinct("before")).alias("n"))
+    each = _units(sample, "text").groupBy("unit", "label", "before").agg(F.sum("first").alias("first"))
+    counted = each.groupBy("unit", "label").agg(F.least(F.sum("first"), F.count(F.lit(1))).alias("n"))
     by_unit = cut(counted.groupBy("unit").agg(F.sum(F.col("n") * F.col("label")).alias("toxic"), F.sum(F.col("n") * (1 - F.col("label"))).alias("clean")))
     stem = F.col("unit").endswith("~")
     sums = {r["stem"]: r for r in by_unit.groupBy(stem.alias("stem")).agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).collect()}
@@ -229,30 +358,28 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         landmarks = spread_out(witnesses, LANDMARKS * 3 // 4) + spread_out(clean[:: max(1, len(clean) // 400)], LANDMARKS // 4)
         model = fit_svm(words, labels, weight, landmarks)
         # words of clean texts that look toxic are the hardest examples
-        hard = [] if turn else _valued(sample.where("label = 0"), model, text_col).where("value > -0.5").select("unit").distinct().orderBy("unit").limit(CLEAN_WORDS).toPandas().unit
-        hard = [x for x in hard if x not in set(words)]
+        hard = [] if turn else _valued(sample.where("label = 0"), model).where("value > -0.5").select("token").distinct().orderBy("token").limit(CLEAN_WORDS).toPandas().token
+        hard = sorted({x for token in hard for x in units_of(token)}.difference(words))
         if not hard:
             break
         clean += hard
-    valued = _valued(sample, model, text_col).select("label", "value").toPandas()
+    valued = _valued(sample, model).select("label", "value").toPandas()
     model.slope, model.offset = fit_logistic(valued.value.to_numpy(float), valued.label.to_numpy(float))
     return model
 
 
-def _valued(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """(label, unit, value): the highest unit of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _valued(sample: DataFrame, model: Model) -> DataFrame:
+    """(label, token, value): the highest word of each text."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
-                texts = [x or "" for x in part.column(text_col).to_pylist()]
-                value = own.values(texts)
-                best = [max(((own.known.get(x, own.bias), x) for x in words_of(t)), default=(0, ""))[1] for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(best, pa.string()), pa.array(value)], ["label", "unit", "value"])
+            for part in slices(batch, "text", 1 << 20):
+                value, token = own.best(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("label"), token, pa.array(value)], ["label", "token", "value"])
 
-    return docs.select("label", text_col).mapInArrow(run, "label int, unit string, value double")
+    return sample.select("label", "text").mapInArrow(run, "label int, token string, value double").where("token is not null")
 
 
 def scored(docs: DataFrame, model: Model | None, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,8 +392,8 @@ def scored(docs: DataFrame, model: Model | None, held_out: Column, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
-                score = own.scores([x or "" for x in part.column(text_col).to_pylist()])
+            for part in slices(batch, text_col, 4 << 20):
+                score = own.scores(part.column(text_col))
                 yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("held_out"), pa.array(score)], [id_col, "held_out", "score"])
 
     rows = base.mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, held_out boolean, score double")
@@ -280,7 +407,7 @@ def held_out_fold(id_col: str = "doc_id") -> Column:
 def fit_on_tables(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model | None:
     """A model of the rows of docs that ``labels`` marks, without the held-out fold."""
     labels = table(spark, sf_dir, "labels").where(~held_out_fold()).select("doc_id", "toxic")
-    return train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return train(docs.select("doc_id", "text"), labels)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +424,7 @@ def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
-                yield part.filter(pa.array(own.scores([x or "" for x in part.column(text_col).to_pylist()]) < 0.5))
+            for part in slices(batch, text_col, 4 << 20):
+                yield part.filter(pa.array(own.scores(part.column(text_col)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
