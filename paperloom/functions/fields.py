@@ -34,21 +34,32 @@ def hl7_escape_text(value: Column) -> Column:
     return F.regexp_replace(value, "[\r\n]", " ")
 
 
-def hl7_escape_value(value: Column) -> Column:
+def hl7_escape_value(value: Column, delimiters: Column | None = None) -> Column:
     """A value whose components stay readable: the escape and field characters and line ends are escaped."""
-    for char, code in (("\\", "E"), ("|", "F"), ("\r", "X0D"), ("\n", "X0A")):
-        value = F.call_function("replace", value, F.lit(char), F.lit(f"\\{code}\\"))
-    return value
+    escape, field_mark = (F.lit("\\"), F.lit("|")) if delimiters is None else (delimiters["escape"], delimiters["field"])
+    hidden = F.call_function("replace", value, escape, F.lit("\x00"))
+    for char, code in ((field_mark, "F"), (F.lit("\r"), "X0D"), (F.lit("\n"), "X0A"), (F.lit("\x00"), "E")):
+        hidden = F.call_function("replace", hidden, char, F.concat(escape, F.lit(code), escape))
+    return hidden
 
 
-def hl7_unescape(value: Column) -> Column:
-    """Known escapes resolved in one pass: of a split at the escape character, the odd parts are codes."""
+def hl7_unescape(value: Column, delimiters: Column | None = None) -> Column:
+    """Known escapes resolved in one pass: of a split at the escape character, the odd parts are codes. Unknown codes and an
+    escape character without a partner stay as they are."""
+    escape = F.lit("\\") if delimiters is None else delimiters["escape"]
+    marks = {"F": ("|", "field"), "S": ("^", "component"), "R": ("~", "repeat"), "T": ("&", "subcomponent")}
 
-    def shown(part: Column, i: Column) -> Column:
-        code = F.when(part == "F", "|").when(part == "S", "^").when(part == "R", "~").when(part == "T", "&").when(part == "E", "\\")
-        return F.when(i % 2 == 1, F.coalesce(code, F.concat(F.lit("\\"), part, F.lit("\\")))).otherwise(part)
+    def resolved(parts: Column) -> Column:
+        def shown(part: Column, i: Column) -> Column:
+            code = F.when(part == "E", escape)
+            for name, (usual, own) in marks.items():
+                code = code.when(part == name, F.lit(usual) if delimiters is None else delimiters[own])
+            lone = i == F.size(parts) - 1
+            return F.when(i % 2 == 0, part).when(lone, F.concat(escape, part)).otherwise(F.coalesce(code, F.concat(escape, part, escape)))
 
-    return F.array_join(F.transform(F.split(value, r"\\", -1), shown), "")
+        return F.array_join(F.transform(parts, shown), "")
+
+    return F.when(F.contains(value, escape), F.transform(F.array(cut(value, escape)), resolved)[0]).otherwise(value)
 
 
 def edifact_release(value: Column) -> Column:
@@ -76,6 +87,18 @@ def sheet_column_index(letters: Column) -> Column:
     return F.aggregate(F.filter(F.split(F.upper(letters), ""), lambda x: x != ""), F.lit(0), lambda n, x: n * 26 + F.ascii(x) - 64)
 
 
+def is_fhir_datetime(value: Column) -> Column:
+    """A date, or a day with a time to the minute at least and, if at all, an offset of 14 hours at most."""
+    parts = F.split(value, "T", 2)
+    time = r"^([01]\d|2[0-3]):[0-5]\d(:([0-5]\d|60))?(\.\d+)?(Z|[+-](0\d|1[0-4]):[0-5]\d)?$"
+    return is_fhir_date(F.get(parts, 0)) & ((F.size(parts) == 1) | F.coalesce(F.get(parts, 1).rlike(time), F.lit(False)))
+
+
+def is_instant(value: Column) -> Column:
+    """Whether a text looks like a moment in time: a day and a time to the second, with an offset or Z."""
+    return F.coalesce(value.rlike(r"^[0-9]{4}-..-..T..:..:..(.*Z|.*[+].*|.*-.*)$"), F.lit(False))
+
+
 def is_fhir_date(value: Column) -> Column:
     """YYYY, YYYY-MM or a calendar day."""
     day = value.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(value, "yyyy-MM-dd").isNotNull()

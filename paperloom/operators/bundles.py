@@ -19,7 +19,7 @@ def _mapped(value: Column, table: dict[str, str]) -> Column:
 def _part(value: Column, m: int, d: Column) -> Column:
     """A component without its subcomponents, unescaped; blank if absent."""
     own = component(F.coalesce(value, F.lit("")), m, d["component"])
-    return F.coalesce(hl7_unescape(component(own, 1, d["subcomponent"])), F.lit(""))
+    return F.coalesce(hl7_unescape(component(own, 1, d["subcomponent"]), d), F.lit(""))
 
 
 def _identifier(value: Column, otherwise: str) -> Column:

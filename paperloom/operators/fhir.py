@@ -30,7 +30,7 @@ def _filled(value: Column) -> Column:
 
 def _own(value: Column, m: int, d: Column) -> Column:
     """A component, without its subcomponents and unescaped; blank if absent."""
-    return F.coalesce(hl7_unescape(component(component(value, m, d["component"]), 1, d["subcomponent"])), F.lit(""))
+    return F.coalesce(hl7_unescape(component(component(value, m, d["component"]), 1, d["subcomponent"]), d), F.lit(""))
 
 
 def _identifier(value: Column, otherwise: Column) -> Column:

@@ -58,29 +58,29 @@ def read_810(own: Column) -> Column:
     return F.struct(field(big, 2).alias("number"), field(big, 1).alias("date"), field(big, 4).alias("order"), field(first_segment(own, "TDS"), 1).try_cast("decimal(20,0)").alias("total_cents"), lines.alias("lines"))
 
 
+def _led(segments: Column, tag: str) -> Column:
+    """The segments in runs that each start with one of that tag; what stands before the first is left out."""
+    at = F.array_compact(F.transform(segments, lambda s, i: F.when(s["tag"] == tag, i + 1)))
+    ends = F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(segments) + 1))
+    return F.when(F.size(at) > 0, F.zip_with(at, ends, lambda low, high: F.slice(segments, low, high - low)))
+
+
 def shipped_items(messages: DataFrame, segments: Column, key: str) -> DataFrame:
     """(key, item, level, product, quantity) of a ship notice: LIN and SN1 belong to the HL before them."""
-    rows = exploded(bound(messages, __s=segments), body(F.col("__s")), key)
-    rows = rows.withColumn("item", F.sum((F.col("tag") == "HL").cast("int")).over(Window.partitionBy(key).orderBy("idx")))
-    return (
-        rows.where("item > 0")
-        .groupBy(key, "item")
-        .agg(*[F.min(F.when(F.col("tag") == tag, F.get("fields", n))).alias(x) for tag, n, x in (("HL", 2, "level"), ("LIN", 2, "product"), ("SN1", 1, "quantity"))])
-        .where("level = 'I'")
-    )
+    rows = bound(bound(messages.select(key, segments.alias("__s")), __own=body(F.col("__s"))).drop("__s"), __runs=_led(F.col("__own"), "HL"))
+    each = rows.select(key, F.posexplode("__runs").alias("n", "run"))
+    least = lambda tag, n: F.array_min(F.transform(F.filter("run", lambda s: s["tag"] == tag), lambda s: F.get(s["fields"], n)))
+    named = [least(tag, n).alias(x) for tag, n, x in (("HL", 2, "level"), ("LIN", 2, "product"), ("SN1", 1, "quantity"))]
+    return each.select(key, (F.col("n") + 1).cast("long").alias("item"), *named).where("level = 'I'")
 
 
 def edifact_lines(messages: DataFrame, segments: Column, key: str, kind: str = "21") -> DataFrame:
     """(key, line, item, quantity): a quantity belongs to the line item before it."""
-    rows = exploded(messages, segments, key)
-    rows = rows.withColumn("n", F.sum((F.col("tag") == "LIN").cast("int")).over(Window.partitionBy(key).orderBy("idx")))
-    quantity = F.when((F.col("tag") == "QTY") & (component(F.get("fields", 0), 1, ":") == kind), component(F.get("fields", 0), 2, ":"))
-    return (
-        rows.where("n > 0")
-        .groupBy(key, "n")
-        .agg(F.min(F.when(F.col("tag") == "LIN", F.get("fields", 0))).alias("line"), F.min(F.when(F.col("tag") == "LIN", component(F.get("fields", 2), 1, ":"))).alias("item"), F.max(quantity).alias("quantity"))
-        .drop("n")
-    )
+    rows = bound(messages.select(key, segments.alias("__s")), __runs=_led(F.col("__s"), "LIN")).select(key, F.explode("__runs").alias("run"))
+    line = F.get("run", 0)["fields"]
+    stated = F.filter("run", lambda s: (s["tag"] == "QTY") & (component(F.get(s["fields"], 0), 1, ":") == kind))
+    quantity = F.array_max(F.transform(stated, lambda s: component(F.get(s["fields"], 0), 2, ":")))
+    return rows.select(key, F.get(line, 0).alias("line"), component(F.get(line, 2), 1, ":").alias("item"), quantity.alias("quantity"))
 
 
 def element_issues(messages: DataFrame, segments: Column, key: str, table: str) -> DataFrame:
@@ -109,36 +109,52 @@ def missing_segments(messages: DataFrame, segments: Column, key: str) -> DataFra
 
 
 def x12_envelope_issues(messages: DataFrame, segments: Column, key: str) -> DataFrame:
-    """(key, idx, tag, rule): counts and control numbers of SE, GE and IEA against what they close.
+    """(key, idx, tag, rule): counts and control numbers of SE, GE and IEA against what they close, and headers that are
+    never closed.
 
-    A count that isn't a number is not compared; a trailer without its header is told as such.
+    A count that isn't a number is not compared; a trailer without its header is told as such. Each message is folded over its
+    envelope segments where it stands.
     """
-    own = Window.partitionBy(key).orderBy("idx")
-    rows = exploded(messages, segments, key)
-    for tag in ("ISA", "GS", "ST"):
-        at = F.when(F.col("tag") == tag, F.struct("idx", "fields"))
-        rows = rows.withColumn(tag, F.last(at, ignorenulls=True).over(own))
-    for tag in ("GS", "ST"):
-        rows = rows.withColumn(f"n_{tag}", F.sum((F.col("tag") == tag).cast("int")).over(own))
-    in_group = F.sum((F.col("tag") == "ST").cast("int")).over(Window.partitionBy(key, "n_GS").orderBy("idx"))
-    rows = rows.withColumn("in_group", in_group)
-    count = F.get("fields", 0).try_cast("long")
-    control = F.get("fields", 1)
-
-    def found(tag: str, header: str, number: Column, control_of: Column) -> list[Column]:
-        here, none = F.col("tag") == tag, F.col(header).isNull()
-        return [
-            F.when(here & none, f"{tag} without {header}"),
-            F.when(here & ~none & (count != number), f"{tag} count"),
-            F.when(here & ~none & ~control.eqNullSafe(control_of), f"{tag} control number"),
-        ]
-
-    issues = [
-        *found("SE", "ST", F.col("idx") - F.col("ST.idx") + 1, F.get("ST.fields", 1)),
-        *found("GE", "GS", F.col("in_group"), F.get("GS.fields", 5)),
-        *found("IEA", "ISA", F.col("n_GS"), F.get("ISA.fields", 12)),
-    ]
-    return rows.select(key, "idx", "tag", F.explode(F.array_compact(F.array(*issues))).alias("rule"))
+    rows = bound(messages.select(key, segments.alias("__s")), __e=F.filter("__s", lambda s: s["tag"].isin("ISA", "GS", "ST", "SE", "GE", "IEA")))
+    none = F.lit(None).cast("string")
+    issue = "struct<idx:int,tag:string,rule:string>"
+    start = F.struct(
+        *[x for h in ("isa", "gs", "st") for x in (F.lit(-1).alias(h), none.alias(f"{h}_control"), F.lit(True).alias(f"{h}_closed"))], F.lit(0).cast("long").alias("groups"), F.lit(0).cast("long").alias("sets"),
+        F.expr(f"cast(array() as array<{issue}>)").alias("issues"),
+    )
+    control_at = {"ISA": 12, "GS": 5, "ST": 1}
+
+    def step(done: Column, s: Column) -> Column:
+        tag, idx = s["tag"], s["idx"]
+        found = []
+        told = lambda rule: F.struct(idx.alias("idx"), tag.alias("tag"), F.lit(rule).alias("rule"))
+        for trailer, header, number in (("SE", "ST", idx - done["st"] + 1), ("GE", "GS", done["sets"]), ("IEA", "ISA", done["groups"])):
+            here, missing = tag == trailer, done[header.lower()] < 0
+            stated, control = F.get(s["fields"], 0).try_cast("long"), F.get(s["fields"], 1)
+            found += [
+                F.when(here & missing, told(f"{trailer} without {header}")),
+                F.when(here & ~missing & (stated != number), told(f"{trailer} count")),
+                F.when(here & ~missing & ~control.eqNullSafe(done[f"{header.lower()}_control"]), told(f"{trailer} control number")),
+            ]
+        for header in ("ISA", "GS", "ST"):
+            open_one = F.struct(done[header.lower()].alias("idx"), F.lit(header).alias("tag"), F.lit(f"{header} never closed").alias("rule"))
+            found.append(F.when((tag == header) & ~done[f"{header.lower()}_closed"], open_one))
+        state = []
+        for header, trailer in (("ISA", "IEA"), ("GS", "GE"), ("ST", "SE")):
+            h, here = header.lower(), tag == header
+            state += [
+                F.when(here, idx).otherwise(done[h]).alias(h), F.when(here, F.get(s["fields"], control_at[header])).otherwise(done[f"{h}_control"]).alias(f"{h}_control"),
+                F.when(here, False).when(tag == trailer, True).otherwise(done[f"{h}_closed"]).alias(f"{h}_closed"),
+            ]
+        sets = F.when(tag == "GS", F.lit(0).cast("long")).when(tag == "ST", done["sets"] + 1).otherwise(done["sets"])
+        groups = F.when(tag == "GS", done["groups"] + 1).otherwise(done["groups"])
+        return F.struct(*state, groups.alias("groups"), sets.alias("sets"), F.concat(done["issues"], F.array_compact(F.array(*found))).alias("issues"))
+
+    def finish(done: Column) -> Column:
+        left = [F.when(~done[f"{h}_closed"], F.struct(done[h].alias("idx"), F.lit(h.upper()).alias("tag"), F.lit(f"{h.upper()} never closed").alias("rule"))) for h in ("isa", "gs", "st")]
+        return F.concat(done["issues"], F.array_compact(F.array(*left)))
+
+    return rows.select(key, F.explode(F.aggregate("__e", start, step, finish)).alias("i")).select(key, "i.idx", "i.tag", "i.rule")
 
 
 def hl7_required_issues(messages: DataFrame, segments: Column, key: str) -> DataFrame:

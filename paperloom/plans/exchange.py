@@ -86,14 +86,14 @@ def edifact_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edifact_interchange_issues(spark: SparkSession, d: str) -> DataFrame:
-    """Interchanges of even orders: without UNH for keys that divide by 11, another UNZ count for 7, one that is no
+    """Interchanges, half of them with separators of their own: without UNH for keys that divide by 11, another UNZ count for 7, one that is no
     number (which is skipped) for 5, another UNT count for 3."""
     key, m = F.col("o_orderkey"), F.col("message")
     edited = (
-        F.when(key % 11 == 0, F.regexp_replace(m, "UNH[^']*'", "")).when(key % 7 == 0, F.regexp_replace(m, r"UNZ\+1", "UNZ+4"))
-        .when(key % 5 == 0, F.regexp_replace(m, r"UNZ\+1", "UNZ+x")).when(key % 3 == 0, F.regexp_replace(m, r"UNT\+[0-9]+", "UNT+99")).otherwise(m)
+        F.when(key % 11 == 0, F.regexp_replace(m, "UNH[^'~]*['~]", "")).when(key % 7 == 0, F.regexp_replace(m, r"(?<=UNZ[+|])1", "4"))
+        .when(key % 5 == 0, F.regexp_replace(m, r"(?<=UNZ[+|])1", "x")).when(key % 3 == 0, F.regexp_replace(m, r"(?<=UNT[+|])[0-9]+", "99")).otherwise(m)
     )
-    own = bound(make.edifact_orders(make.order_lines(spark, d)).where(key % 2 == 0), edited=edited)
+    own = bound(make.edifact_orders(make.order_lines(spark, d)), edited=edited)
     return replies.edifact_interchange_issues(own, edifact_segments(F.col("edited")), "o_orderkey").select(key.alias("order_key"), "tag", "message")
 
 
@@ -140,6 +140,19 @@ def ubl_invoice_issues(spark: SparkSession, d: str) -> DataFrame:
     return found.select("order_key", "x.rule", "x.path")
 
 
+def ubl_line_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What the lines, the tax breakdown and the payable amount of each invoice come to, read from its XML."""
+    rows, i = _read_invoices(spark, d), F.col("i")
+    whole = lambda x: x.cast("decimal(38,2)")
+    return rows.select(F.col("o_orderkey").alias("order_key"), whole(invoices.total(i["lines"], "amount")).alias("line_extension"), whole(invoices.total(i["subtotals"], "tax")).alias("tax"), whole(i["totals"]["payable"]).alias("payable"))
+
+
+def ubl_categories_without_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    """Categories that occur on lines of an invoice without a subtotal."""
+    of = lambda x: F.array_distinct(F.transform(F.col(x), lambda y: y["category"]))
+    return _read_invoices(spark, d).select(F.col("o_orderkey").alias("order_key"), F.explode(F.array_except(of("i.lines"), of("i.subtotals"))).alias("category"))
+
+
 def ubl_invoice_lines(spark: SparkSession, d: str) -> DataFrame:
     rows = _read_invoices(spark, d).select("i.id", "i.type_code", F.explode("i.lines").alias("l"))
     return rows.select("id", "type_code", F.col("l.id").cast("int").alias("line"), F.col("l.name").alias("name"), F.col("l.amount").alias("amount"))
@@ -165,7 +178,7 @@ def hl7_observations(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    hl7_acknowledgements, hl7_redacted_messages, hl7_batch_roundtrip, hl7_frames_roundtrip, x12_acknowledgements, x12_acknowledged_sets, x12_acknowledgement_errors, edifact_answers, edifact_interchange_issues, ubl_invoice_issues,
+    hl7_acknowledgements, hl7_redacted_messages, hl7_batch_roundtrip, hl7_frames_roundtrip, x12_acknowledgements, x12_acknowledged_sets, x12_acknowledgement_errors, edifact_answers, edifact_interchange_issues, ubl_line_totals, ubl_categories_without_breakdown, ubl_invoice_issues,
     ubl_invoice_lines, hl7_encounters, hl7_observations,
 )}
 
@@ -196,11 +209,16 @@ ORACLE_SQL = {
     "edifact_answers": f"""
       {_K} SELECT k AS order_key, 'UNB+UNOA:1+S+B+260102:0900+' || k || '''UNH+1+CONTRL:0:3:UN''UCI+1+B+S+' || CASE WHEN k % 4 <> 0 THEN '7' ELSE '4' END || '''UNT+3+1''UNZ+1+' || k || '''' AS answer, '1' AS reference, k % 4 <> 0 AS accepted FROM k""",
     "edifact_interchange_issues": f"""
-      {_K}, e AS (SELECT * FROM k WHERE k % 2 = 0)
+      {_K}, e AS (SELECT * FROM k)
       SELECT k AS order_key, 'UNT' AS tag, 'UNT without a matching UNH' AS message FROM e WHERE k % 11 = 0
       UNION ALL SELECT k, 'UNZ', 'UNZ count 1 does not match 0 messages' FROM e WHERE k % 11 = 0
       UNION ALL SELECT k, 'UNZ', 'UNZ count 4 does not match 1 messages' FROM e WHERE k % 7 = 0 AND k % 11 <> 0
       UNION ALL SELECT k, 'UNT', 'UNT count Some(99) does not match ' || (2 * n + 4) || ' segments' FROM e WHERE k % 3 = 0 AND k % 5 <> 0 AND k % 7 <> 0 AND k % 11 <> 0""",
+    "ubl_line_totals": """
+      WITH t AS (SELECT o_orderkey AS k, CAST(sum(CAST(round(CAST(l_quantity AS DECIMAL(18,2)) * CAST(l_extendedprice AS DECIMAL(18,2)), 2) AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS net FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
+      u AS (SELECT *, CASE WHEN k % 3 = 0 THEN CAST(0 AS DECIMAL(38,2)) ELSE CAST(round(CAST(net * 15 AS DECIMAL(38,4)) * CAST(0.01 AS DECIMAL(3,2)), 2) AS DECIMAL(38,2)) END AS tax FROM t)
+      SELECT k AS order_key, net AS line_extension, CASE WHEN k % 17 = 0 THEN CAST(0 AS DECIMAL(38,2)) ELSE tax END AS tax, CAST(net + tax + CASE WHEN k % 5 = 0 THEN CAST(0.01 AS DECIMAL(18,2)) ELSE 0 END AS DECIMAL(38,2)) AS payable FROM u""",
+    "ubl_categories_without_breakdown": "SELECT DISTINCT o_orderkey AS order_key, CASE WHEN o_orderkey % 3 = 0 THEN 'E' ELSE 'S' END AS category FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 17 = 0",
     "ubl_invoice_issues": f"""
       {_K}
       SELECT k AS order_key, 'PEPPOL-EN16931-R003' AS rule, 'cbc:BuyerReference' AS path FROM k WHERE k % 7 = 0

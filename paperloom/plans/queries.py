@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom import rules
-from paperloom.functions.fields import component, edifact_unescape, field, first_segment, hl7_escape_text, hl7_unescape, is_fhir_date, sheet_column_index, sniffed, xml_escape
+from paperloom.functions.fields import component, edifact_unescape, field, first_segment, hl7_escape_text, hl7_unescape, is_fhir_date, sheet_column_index, sniffed
+from paperloom.operators import markup
 from paperloom.operators import messages as ops
 from paperloom.plans import messages as make
-from paperloom.sources.segments import bound, cut, edifact_segments, hl7_delimiters, hl7_segments, x12_segments
+from paperloom.sources import office
+from paperloom.sources.segments import bound, edifact_segments, hl7_delimiters, hl7_segments, x12_segments
 
 def message():
     return F.col("message")
@@ -54,7 +56,7 @@ def x12_envelope_issues(spark: SparkSession, d: str) -> DataFrame:
 
 def x12_element_issues(spark: SparkSession, d: str) -> DataFrame:
     found = ops.element_issues(make.x12_810(_orders(spark, d)), x12_segments(message()), "o_orderkey", rules.X12_ELEMENTS)
-    return found.where("tag = 'N1'").select(F.col("o_orderkey").alias("order_key"), "tag", "position", "message")
+    return found.select(F.col("o_orderkey").alias("order_key"), "tag", "position", "message")
 
 
 def x12_required_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -102,8 +104,7 @@ def hl7_escape_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hl7_patients(spark: SparkSession, d: str) -> DataFrame:
-    even = make.hl7_adt(spark, d).where("c_custkey % 2 = 0")  # those with the usual delimiters
-    return bound(bound(even, s=hl7_segments(message())), p=ops.hl7_patient(F.col("s"), hl7_delimiters(message()))).select("p.*")
+    return bound(bound(make.hl7_adt(spark, d), s=hl7_segments(message())), p=ops.hl7_patient(F.col("s"), hl7_delimiters(message()))).select("p.*")
 
 
 def hl7_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +114,7 @@ def hl7_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
 
 def hl7_changes(spark: SparkSession, d: str) -> DataFrame:
     """Every admission against a corrected one: another gender for keys that divide by 4, no class for 6."""
-    left = make.hl7_adt(spark, d).where("c_custkey % 2 = 0")
+    left = make.hl7_adt(spark, d)
     right = left.withColumn("message", F.when(F.col("c_custkey") % 4 == 0, F.regexp_replace("message", r"\|F\r", "|M\r")).when(F.col("c_custkey") % 6 == 0, F.regexp_replace("message", r"PV1\|1\|[I ]\|", "PV1|1||")).otherwise(message()))
     return ops.compared(ops.hl7_paths(left, "message", "c_custkey"), ops.hl7_paths(right, "message", "c_custkey"), "c_custkey").select(F.col("c_custkey").alias("cust_key"), "path", "kind")
 
@@ -125,22 +126,6 @@ def fhir_dates(spark: SparkSession, d: str) -> DataFrame:
     return make.table(spark, d, "orders").select(F.col("o_orderkey").alias("order_key"), text.alias("text")).withColumn("is_date", is_fhir_date(F.col("text")))
 
 
-def ubl_line_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Line extensions, tax at 15 % rounded once for each invoice, and what is payable."""
-    lines = make.table(spark, d, "lineitem").select("l_orderkey", F.round(make.money("l_quantity") * make.money("l_extendedprice"), 2).alias("ext"))
-    totals = lines.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.sum("ext").cast("decimal(38,2)").alias("line_extension"))
-    tax = F.round(F.col("line_extension").cast("decimal(30,2)") * 15 / 100, 2).cast("decimal(38,2)")
-    return totals.withColumn("tax", tax).withColumn("payable", (F.col("line_extension") + F.col("tax")).cast("decimal(38,2)"))
-
-
-def ubl_categories_without_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    """Categories that occur on lines of an invoice without a subtotal; subtotals of the category R are lost for keys
-    that divide by 3."""
-    lines = make.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_returnflag").alias("category")).distinct()
-    subtotals = lines.where("not (category = 'R' and order_key % 3 = 0)")
-    return lines.join(subtotals, ["order_key", "category"], "left_anti")
-
-
 def _logs(spark: SparkSession, d: str) -> DataFrame:
     events = make.table(spark, d, "events").select("user_id", "event_id", "event_type", F.sha2(F.col("props").cast("binary"), 256).alias("payload_sha256"))
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
@@ -168,15 +153,18 @@ def sniffed_formats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def template_conversations(spark: SparkSession, d: str) -> DataFrame:
-    """One escaped list of turns for each conversation."""
-    turns = make.table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("<li>"), F.col("role"), F.lit(": "), xml_escape(F.coalesce("text", F.lit(""))), F.lit("</li>")).alias("li"))
-    return turns.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "li"))), lambda x: x["li"]), "").cast("binary")).alias("list_md5"))  # one conversation's turns
+    """One escaped list of turns for each conversation, by a template."""
+    turns = make.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))  # one conversation's turns
+    rows = bound(turns, t=markup.merged(F.lit("{{#each turns}}<li>{{role}}: {{text}}</li>{{/each}}"), F.to_json(F.struct("turns"))))
+    return rows.select("conv_id", F.md5(F.col("t.text").cast("binary")).alias("list_md5"))
 
 
 def csv_ragged_records(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of two or three values, split without a header's help."""
-    n = make.table(spark, d, "nation").select("n_nationkey", F.concat_ws(",", "n_name", "n_regionkey", F.when(F.col("n_nationkey") % 2 == 0, "x")).alias("line"))
-    return n.select("n_nationkey", F.size(cut(F.col("line"), F.lit(","))).alias("n_values"), F.get(cut(F.col("line"), F.lit(",")), 0).alias("first_value"))
+    """Records of two or three values, one of them quoted, written and read without a header's help."""
+    n = make.table(spark, d, "nation").select("n_nationkey", "n_name", F.concat(F.col("n_name"), F.lit(', "'), F.col("n_regionkey").cast("string"), F.lit('"')).alias("odd"), (F.col("n_nationkey") % 2 == 0).alias("third"))
+    line = office.csv_line(F.array_compact(F.array("n_name", "odd", F.when(F.col("third"), "x"))))
+    rows = bound(n, v=office.csv_values(line))
+    return rows.select("n_nationkey", F.size("v").alias("n_values"), F.get("v", 0).alias("first_value"), F.get("v", 1).alias("second_value"))
 
 
 def sheet_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +173,7 @@ def sheet_columns(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     x12_850_totals, x12_850_lines, x12_810_totals, x12_856_items, x12_envelope_issues, x12_element_issues, x12_required_segments, edifact_order_lines, edifact_release_roundtrip, hl7_segment_counts, hl7_fields,
-    hl7_required_fields, hl7_escape_roundtrip, hl7_patients, hl7_pseudonyms, hl7_changes, fhir_dates, ubl_line_totals, ubl_categories_without_breakdown, audit_chain_heads, audit_tampered, sniffed_formats,
+    hl7_required_fields, hl7_escape_roundtrip, hl7_patients, hl7_pseudonyms, hl7_changes, fhir_dates, audit_chain_heads, audit_tampered, sniffed_formats,
     template_conversations, csv_ragged_records, sheet_columns,
 )}
 
@@ -216,9 +204,9 @@ ORACLE_SQL = {
       UNION ALL SELECT c_custkey, 'missing mandatory field PV1-2 (Patient Class)' FROM customer WHERE c_custkey % 7 = 0""",
     "hl7_escape_roundtrip": r"SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '[\r\n]', ' ', 'g') || '|^~&') AS text_md5 FROM documents",
     "hl7_patients": """
-      SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS family, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS given, 'female' AS gender,
+      SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS family, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS given, CASE WHEN c_custkey % 2 = 0 THEN 'female' ELSE 'male' END AS gender,
              '19' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '-0' || (c_custkey % 9 + 1) || '-15' AS birth_date
-      FROM customer WHERE c_custkey % 2 = 0""",
+      FROM customer""",
     "hl7_pseudonyms": """
       WITH f AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS first FROM events)
       SELECT user_id, event_id, 'KIND-' || dense_rank() OVER (PARTITION BY user_id ORDER BY first, event_type) AS pseudonym FROM f""",
@@ -229,11 +217,6 @@ ORACLE_SQL = {
       WITH t AS (SELECT o_orderkey AS order_key, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
       u AS (SELECT order_key, CASE order_key % 5 WHEN 0 THEN day[1:4] WHEN 1 THEN day[1:7] WHEN 2 THEN day[1:8] || '31' WHEN 3 THEN day || 'T' ELSE day END AS text FROM t)
       SELECT order_key, text, regexp_matches(text, '^\d{4}$') OR regexp_matches(text, '^\d{4}-(0[1-9]|1[0-2])$') OR (regexp_matches(text, '^\d{4}-\d{2}-\d{2}$') AND try_cast(text AS DATE) IS NOT NULL) AS is_date FROM u""",
-    "ubl_line_totals": f"""
-      WITH t AS (SELECT l_orderkey AS order_key, CAST(sum(round({_Q} * {_P}, 2)) AS DECIMAL(38,2)) AS line_extension FROM lineitem GROUP BY 1),
-      u AS (SELECT *, CAST(round(CAST(line_extension * 15 AS DECIMAL(38,4)) * CAST(0.01 AS DECIMAL(3,2)), 2) AS DECIMAL(38,2)) AS tax FROM t)
-      SELECT order_key, line_extension, tax, CAST(line_extension + tax AS DECIMAL(38,2)) AS payable FROM u""",
-    "ubl_categories_without_breakdown": "SELECT DISTINCT l_orderkey AS order_key, l_returnflag AS category FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 3 = 0",
     "audit_chain_heads": f"""
       WITH RECURSIVE e AS ({_LOGS}),
       c AS (
@@ -248,8 +231,8 @@ ORACLE_SQL = {
       UNION ALL SELECT CASE WHEN c_custkey % 2 = 0 THEN 'hl7v2' END, count(*) FROM customer GROUP BY 1
       UNION ALL SELECT 'html', count(*) FROM pages UNION ALL SELECT 'fhir-json', count(*) FROM events""",
     "template_conversations": """
-      SELECT conv_id, md5(string_agg('<li>' || role || ': ' || replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</li>', '' ORDER BY turn)) AS list_md5
+      SELECT conv_id, md5(string_agg('<li>' || role || ': ' || replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') || '</li>', '' ORDER BY turn)) AS list_md5
       FROM conversations GROUP BY conv_id""",
-    "csv_ragged_records": "SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 2 END AS INTEGER) AS n_values, n_name AS first_value FROM nation",
+    "csv_ragged_records": """SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 2 END AS INTEGER) AS n_values, n_name AS first_value, n_name || ', "' || n_regionkey || '"' AS second_value FROM nation""",
     "sheet_columns": "SELECT r_name, CAST((ascii(r_name[1]) - 64) * 676 + (ascii(r_name[2]) - 64) * 26 + ascii(r_name[3]) - 64 AS INTEGER) AS column_index FROM region",
 }

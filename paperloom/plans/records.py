@@ -63,10 +63,10 @@ def edifact_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hl7_component_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Admissions of even keys against later ones: a bed gone for keys that divide by 4, no EVN for 6, a second name for 10
+    """Admissions against later ones: a bed gone for keys that divide by 4, no EVN for 6, a second name for 10
     (which adds a repetition to one that was blank)."""
     key = F.col("c_custkey")
-    left = make.hl7_adt(spark, d).where(key % 2 == 0)
+    left = make.hl7_adt(spark, d)
     m = F.when(key % 4 == 0, F.regexp_replace(MESSAGE, r"W4\^101", "W4")).otherwise(F.col(MESSAGE))
     m = F.when(key % 6 == 0, F.regexp_replace(m, r"EVN[^\r\n]*[\r\n]+", "")).otherwise(m)
     right = left.withColumn("message", F.when(key % 10 == 0, F.regexp_replace(m, r"\^MR\|\|", "^MR||A~B")).otherwise(m))
@@ -86,8 +86,7 @@ def json_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bundles(spark: SparkSession, d: str) -> DataFrame:
-    even = make.hl7_adt(spark, d).where("c_custkey % 2 = 0")
-    return fhir.bundles(even, hl7_segments(F.col(MESSAGE)), hl7_delimiters(F.col(MESSAGE)), "c_custkey")
+    return fhir.bundles(make.hl7_adt(spark, d), hl7_segments(F.col(MESSAGE)), hl7_delimiters(F.col(MESSAGE)), "c_custkey")
 
 
 def fhir_bundles(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +110,7 @@ def fhir_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fhir_patient_xml(spark: SparkSession, d: str) -> DataFrame:
-    rows = bound(make.hl7_adt(spark, d), p=fhir.patient(hl7_segments(F.col(MESSAGE)), hl7_delimiters(F.col(MESSAGE)))).where("c_custkey % 2 = 0")
+    rows = bound(make.hl7_adt(spark, d), p=fhir.patient(hl7_segments(F.col(MESSAGE)), hl7_delimiters(F.col(MESSAGE))))
     return rows.select(F.col("c_custkey").alias("cust_key"), fhir.patient_xml(F.col("p")).alias("xml"))
 
 
@@ -175,12 +174,12 @@ _LINES = """
 _ORDERS = f"SELECT k, any_value(c) AS c, any_value(day) AS day, count(*) AS n, min(n) AS first, CAST(sum(q) AS DECIMAL(18,2)) AS q, CAST(sum(CAST(round(q * x, 2) AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS due FROM ({_LINES}) GROUP BY k"
 _PATIENTS = """
   SELECT c_custkey AS k, n_name AS nation, c_name AS name, c_mktsegment AS seg, '19' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS year, '-0' || (c_custkey % 9 + 1) || '-15' AS day,
-         c_custkey % 7 <> 0 AS visit FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0"""
+         c_custkey % 7 <> 0 AS visit, CASE WHEN c_custkey % 2 = 0 THEN 'female' ELSE 'male' END AS gender FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 
 def _bundle_sql(born: str, key: str, number: str, name: str, start: str) -> str:
     """The JSON of an admission's bundle, with SQL for what redaction changes."""
-    return f"""'{{"entry":[{{"resource":{{"birthDate":"' || {born} || '","gender":"female","id":"' || {key} || '","identifier":[{{"system":"urn:hl7v2:' || nation || '","value":"' || {number} || '"}}]' || {name} || ',"resourceType":"Patient"}}}}' ||
+    return f"""'{{"entry":[{{"resource":{{"birthDate":"' || {born} || '","gender":"' || gender || '","id":"' || {key} || '","identifier":[{{"system":"urn:hl7v2:' || nation || '","value":"' || {number} || '"}}]' || {name} || ',"resourceType":"Patient"}}}}' ||
       CASE WHEN visit THEN ',{{"resource":{{"class":{{"code":"IMP","display":"inpatient encounter","system":"http://terminology.hl7.org/CodeSystem/v3-ActCode"}},"id":"M' || k || '-enc","period":{{"start":"{start}"}},"resourceType":"Encounter","status":"inprogress","subject":{{"reference":"Patient/' || {key} || '"}}}}}}' ELSE '' END ||
       '],"resourceType":"Bundle","type":"collection"}}'"""
 
@@ -202,7 +201,7 @@ ORACLE_SQL = {
       UNION ALL SELECT k, 'DTM[0]', 'removed', 'DTM+137:' || day || ':102', NULL FROM o WHERE k % 6 = 0
       UNION ALL SELECT k, 'FTX[0]', 'added', NULL, 'FTX+AAI' FROM o WHERE k % 5 = 0""",
     "hl7_component_changes": """
-      WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0)
+      WITH c AS (SELECT c_custkey AS k FROM customer)
       SELECT k AS cust_key, 'PV1[0]-3.2' AS path, 'removed' AS kind, '101' AS old, NULL AS new FROM c WHERE k % 4 = 0
       UNION ALL SELECT k, 'EVN[0]', 'removed', 'EVN|A01|20261001120000', NULL FROM c WHERE k % 6 = 0
       UNION ALL SELECT k, 'PID[0]-5~1', 'added', NULL, 'A' FROM c WHERE k % 10 = 0
@@ -220,7 +219,7 @@ ORACLE_SQL = {
       UNION ALL SELECT k, 1, 'enc-1', '/period/end', 'a `finished` encounter must have a period end' FROM p WHERE k % 4 = 0 AND k % 6 <> 0""",
     "fhir_patient_xml": f"""
       SELECT k AS cust_key, '<?xml version="1.0" encoding="UTF-8"?><Patient xmlns="http://hl7.org/fhir"><id value="' || k || '"/><identifier><system value="urn:hl7v2:' || nation || '"/><value value="' || k || '"/></identifier>'
-             || CASE WHEN k % 5 = 0 THEN '' ELSE '<name><family value="' || name || '"/><given value="' || seg || '"/></name>' END || '<gender value="female"/><birthDate value="' || year || day || '"/></Patient>' AS xml FROM ({_PATIENTS})""",
+             || CASE WHEN k % 5 = 0 THEN '' ELSE '<name><family value="' || name || '"/><given value="' || seg || '"/></name>' END || '<gender value="' || gender || '"/><birthDate value="' || year || day || '"/></Patient>' AS xml FROM ({_PATIENTS})""",
     "fhir_redacted": f"""
       SELECT k AS cust_key, {_bundle_sql("year", "'PATIENT-1'", "'ID-1'", "''", "2026")} AS bundle, CAST(3 + CAST(k % 5 <> 0 AS INTEGER) + 2 * CAST(visit AS INTEGER) AS INTEGER) AS n_changes FROM ({_PATIENTS})""",
     "merged_letters": f"""

@@ -14,10 +14,12 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
+from paperloom.sources.segments import bound
+
 #: The most bytes that a part of a file may unpack to.
 MAX_PART = 256 * 1024 * 1024
 CELLS = "path string, row long, ref string, kind string, text string, number double, error string"
@@ -33,9 +35,32 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
-def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of CSV files under the names of their first lines, all as text; short rows end in nulls."""
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+def csv_values(record: Column) -> Column:
+    """The values of a CSV record as text, however many there are; a quoted one loses its quotes."""
+    found = F.regexp_extract_all(record, F.lit(r'(?:^|,)("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), F.lit(1))
+    return F.transform(found, lambda x: F.when(x.startswith('"'), F.call_function("replace", F.substring(x, 2, F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+
+
+def csv_line(values: Column) -> Column:
+    """A CSV record of values as text: those with a comma, a quote or a line end are quoted. Null: empty."""
+    quoted = lambda x: F.when(x.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.call_function("replace", x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(x, F.lit("")))
+    return F.array_join(F.transform(values, quoted), ",")
+
+
+def csv_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The rows of CSV files under the names of their first lines, all as text; short rows end in nulls, what a row has beyond
+    its header is in the array ``_rest``. ``multi_line``: quoted values may hold line ends; files are not split then."""
+    names = spark.read.option("header", True).option("multiLine", multi_line).csv(path).columns
+    # a record of more than one value doesn't fit this schema, and so comes whole
+    raw = spark.read.schema("__one string, __raw string").option("columnNameOfCorruptRecord", "__raw").option("header", True).option("enforceSchema", True).option("multiLine", multi_line).csv(path)
+    values = bound(raw, v=F.when(F.col("__raw").isNull(), F.array("__one")).otherwise(csv_values(F.col("__raw"))))
+    extra = F.slice("v", len(names) + 1, F.greatest(F.size("v") - len(names), F.lit(0)))
+    return values.select(*[F.get("v", k).alias(name) for k, name in enumerate(names)], extra.alias("_rest"))
+
+
+def csv_files(rows: DataFrame, path: str) -> None:
+    """Writes the rows as CSV files with a header."""
+    rows.select([F.col(c).cast("string").alias(c) for c in rows.columns]).write.option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
 
 
 def _part(archive: zipfile.ZipFile, name: str):
@@ -143,6 +168,17 @@ def xlsx_cells(books: DataFrame) -> DataFrame:
     return books.select("path", "content").mapInPandas(read, CELLS)
 
 
+def flat_cells(cells: DataFrame) -> DataFrame:
+    """(file, path, value) of the cells, to be compared: a path is a place such as B7."""
+    return cells.where("ref is not null").select(F.col("path").alias("file"), F.col("ref").alias("path"), F.col("text").alias("value"))
+
+
+def flat_lines(rows: DataFrame, text: Column, key: str) -> DataFrame:
+    """(key, path, value) of a document's lines, to be compared: a path is a number such as /p/3."""
+    lines = rows.select(key, F.posexplode(F.split(text, "\n", -1)).alias("n", "value"))
+    return lines.select(key, F.concat(F.lit("/p/"), F.col("n").cast("string")).alias("path"), "value")
+
+
 def _document(content: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         out: list[str] = []

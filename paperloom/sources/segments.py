@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+WHITE = " \t\n\x0b\f\r"
+
+
 def bound(df: DataFrame, **columns: Column) -> DataFrame:
     """The rows with columns that are computed once. Catalyst copies a projected expression into every place that uses
     it, which for a parsed message means parsing it again and again; it doesn't copy through a generator."""
@@ -21,8 +24,9 @@ def bound(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def quoted(delimiter: Column) -> Column:
-    """A delimiter as a regular expression for itself."""
-    return F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
+    """A delimiter as a regular expression for itself. A backslash before a character that is no letter or digit is what
+    Java splits at without compiling an expression."""
+    return F.when(delimiter.rlike("^[^A-Za-z0-9]$"), F.concat(F.lit("\\"), delimiter)).otherwise(F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")))
 
 
 def cut(text: Column, delimiter: Column, most: int = -1) -> Column:
@@ -59,7 +63,7 @@ def hl7_error(message: Column) -> Column:
 def hl7_segments(message: Column, delimiters: Column | None = None) -> Column:
     """The segments; CR, LF and CRLF end one, empty ones are skipped, at most 256 parts each."""
     d = hl7_delimiters(message) if delimiters is None else delimiters
-    lines = F.filter(F.split(F.regexp_replace(message, "\r\n|\n", "\r"), "\r"), lambda x: x != "")
+    lines = F.filter(F.split(F.translate(message, "\n", "\r"), "\r"), lambda x: x != "")
 
     def fields(line: Column) -> Column:
         parts = cut(line, d["field"], 256)
@@ -87,7 +91,7 @@ def x12_error(message: Column) -> Column:
 def x12_segments(message: Column) -> Column:
     """The segments, each trimmed; at most 64 parts each."""
     d = x12_delimiters(message)
-    parts = F.filter(F.transform(cut(message, d["segment"]), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    parts = F.filter(F.transform(cut(message, d["segment"]), lambda x: F.btrim(x, F.lit(WHITE))), lambda x: x != "")
     return F.when(x12_error(message).isNull(), _segments(parts, lambda x: cut(x, d["element"], 64)))
 
 
@@ -102,13 +106,15 @@ def edifact_segments(message: Column) -> Column:
     """The segments. The terminator ends one even after a release character; elements keep their release characters."""
     d = edifact_delimiters(message)
     body = F.when(message.startswith("UNA") & (F.length(message) >= 9), F.substring(message, 10, 1 << 30)).otherwise(message)
-    parts = F.filter(F.transform(cut(body, d["terminator"]), lambda x: F.regexp_replace(x, r"^[\r\n]+", "")), lambda x: x != "")
+    parts = F.filter(F.transform(cut(body, d["terminator"]), lambda x: F.ltrim(x, F.lit("\r\n"))), lambda x: x != "")
     pair, mark = F.concat(quoted(d["release"]), F.lit("(.)")), "\x01"
 
     def fields(part: Column) -> Column:
+        plain = cut(part, d["element"])
         # a released separator is hidden from the split, then shown again
         hidden = F.regexp_replace(part, pair, F.lit(f"{mark}$1{mark}"))
         shielded = F.call_function("replace", hidden, F.concat(F.lit(mark), d["element"], F.lit(mark)), F.lit("\x02"))
-        return F.transform(cut(shielded, d["element"]), lambda x: F.regexp_replace(F.call_function("replace", x, F.lit("\x02"), F.concat(d["release"], d["element"])), f"{mark}(.){mark}", F.concat(F.regexp_replace(d["release"], r"([\\$])", r"\\$1"), F.lit("$1"))))
+        shown = F.transform(cut(shielded, d["element"]), lambda x: F.regexp_replace(F.call_function("replace", x, F.lit("\x02"), F.concat(d["release"], d["element"])), f"{mark}(.){mark}", F.concat(F.regexp_replace(d["release"], r"([\\$])", r"\\$1"), F.lit("$1"))))
+        return F.when(F.contains(part, d["release"]), shown).otherwise(plain)
 
     return _segments(parts, fields)
