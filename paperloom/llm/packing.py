@@ -12,17 +12,17 @@ at most ``capacity`` rows at any input size:
 Whole runs of equal sequences are treated at once. The plan says, for the k-th piece of each length, its sequence
 and its offset there; the k is counted in Spark, by bucket, so that no length's pieces meet in one task.
 
-Texts that hold one of the vocabulary's added tokens are encoded whole, as the tokenizer finds these before it cuts words.
+Ids are those of the tokenizers library: pre-tokens are merged by the vocabulary file's list of merges; texts that hold one
+of its added tokens are left to the library, which finds these before it cuts words.
 
 Null texts count as empty: a document of the end token alone. Repeated ids each keep their pieces.
 """
 
 from __future__ import annotations
 
-import os
+import json
 import re
 import zlib
-from array import array
 from bisect import insort
 from collections.abc import Iterator
 from functools import cache
@@ -31,66 +31,95 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import slices, spread, stored, table
+from .bpe import Vocabulary
+from .shared import compact, slices, spread, stored, table
 from .tokens import WordCoder
 
 VOCABULARY, CAPACITY, END = "byte_bpe_50k.json", 1024, 2
 
 
-class DocumentCoder(WordCoder):
-    """Encodes texts with an added token whole, all others word by word."""
-
-    def __init__(self, own):
-        def encode(pre_tokens: list[str]) -> Iterator[bytes]:
-            for at in range(0, len(pre_tokens), 10_000):
-                for x in own.encode_batch(pre_tokens[at : at + 10_000], add_special_tokens=False):
-                    yield array("I", x.ids).tobytes()
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary file stands for: printable ones for themselves, the others by letters from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
 
-        super().__init__(encode, b"".join)
-        self.own = own
-        added = [re.escape(x.content) for x in own.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added) or r"(?!)")
 
-    def values(self, texts: list[str]) -> list[list]:
-        whole = {k for k, x in enumerate(texts) if self.added.search(x)}
-        out = super().values(["" if k in whole else x for k, x in enumerate(texts)])
-        for k in whole:
-            out[k] = [array("I", self.own.encode(texts[k], add_special_tokens=False).ids).tobytes()]
-        return out
+def vocabulary_of(path: str) -> Vocabulary:
+    """Ids and merges of a byte-level vocabulary file. Only listed pairs merge, in the order of the list."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    letters = byte_letters()
+    known = letters.keys()
+    raw = {x: bytes(map(letters.__getitem__, x)) for x in model["vocab"] if known >= set(x)}
+    pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+    return Vocabulary({raw[x]: i for x, i in model["vocab"].items() if x in raw}, {(raw[x], raw[y]): k for k, (x, y) in enumerate(pairs)})
 
 
 @cache
-def coder(path: str) -> DocumentCoder:
-    """One for each worker process. Values are little-endian 32-bit ids."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+def library(path: str):
     from tokenizers import Tokenizer
 
-    return DocumentCoder(Tokenizer.from_file(path))
+    return Tokenizer.from_file(path)
+
+
+class DocumentCoder(WordCoder):
+    """Encodes texts with an added token by the tokenizer, all others piece by piece."""
+
+    def __init__(self, path: str):
+        super().__init__(vocabulary_of(path).merged)
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            self.added = "|".join([re.escape(x["content"]) for x in json.load(file)["added_tokens"]]) or "$^"
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own = library(self.path)
+        ids = [own.encode(x, add_special_tokens=False).ids for x in texts]
+        return np.array([x for xs in ids for x in xs], np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = compact(texts)
+        marked = pc.match_substring_regex(texts, self.added)
+        rows = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        if not len(rows):
+            return super().texts(texts)
+        ids, first = super().texts(pc.if_else(marked, "", texts))
+        own, many = self._encoded(texts.take(pa.array(rows)).to_pylist())
+        ids = np.insert(ids, np.repeat(first[rows], many), own)
+        size = np.diff(first)
+        size[rows] = many
+        return ids, np.concatenate([[0], np.cumsum(size)])
+
+
+@cache
+def coder(path: str) -> DocumentCoder:
+    """One for each worker process, so that its cache serves all its tasks."""
+    return DocumentCoder(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32) of each piece of each document."""
-    last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for batch in batches:
             for part in slices(batch, text_col):
-                rows: list[tuple] = []
-                for i, parts in enumerate(own.values([x or "" for x in part.column(text_col).to_pylist()])):
-                    raw = b"".join(parts) + last
-                    n = len(raw) // 4
-                    first = n % capacity or capacity
-                    for k, start in enumerate([0, *range(first, n, capacity)]):
-                        length = first if k == 0 else capacity
-                        rows.append((i, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
-                at, *columns = zip(*rows, strict=True)
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                ids, ends = own.texts(part.column(text_col))
+                size = np.diff(ends) + 1
+                raw = memoryview(np.insert(ids, ends[1:], end).astype("<u4")).cast("B")
+                many = -(-size // capacity)
+                at = np.repeat(np.arange(len(size)), many)
+                piece = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                first = size - (many - 1) * capacity  # the first piece may be shorter
+                start = np.where(piece == 0, 0, first[at] + (piece - 1) * capacity)
+                length = np.where(piece == 0, first[at], capacity)
+                low = 4 * ((np.cumsum(size) - size)[at] + start)
+                crc = [zlib.crc32(raw[x:y]) for x, y in zip(low.tolist(), (low + 4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col).take(pa.array(at)), *[pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)]],
+                    [part.column(id_col).take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     [id_col, "piece", "start", "length", "ids_crc32"],
                 )
 

@@ -7,8 +7,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 #: White space of the contracts, for Java's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
@@ -20,12 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Only on one machine (tests) may it be unset; a folder is made then."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        folder = context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -54,15 +56,9 @@ def or_empty(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-# --- words as hashes, for whole Arrow batches at once -------------------------------------------
+# --- words of whole Arrow batches, and their hashes -----------------------------------------------
 
-_BYTE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,35 +68,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of all texts joined by line feeds, and each text's start (one more at the end). Null: empty."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    raw = [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in texts.to_pylist()]
-    starts = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum([len(x) + 1 for x in raw], out=starts[1:])
-    return np.frombuffer(b"\n".join(raw) + b"\n", np.uint8) if raw else np.zeros(0, np.uint8), starts
-
-
-def hashed_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start byte, end byte) of each word of each text, and the number of words before each text (one more at the end)."""
-    data, starts = text_bytes(texts)
-    if lower:
-        data = _LOWER[data]
-    space = _IS_SPACE[data]
-    edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)))
-    begin, end = edge[0::2], edge[1::2]
-    n = len(data) + 1
-    power = np.full(n, _BASE, np.uint64)
-    power[:1] = 1
-    np.multiply.accumulate(power, out=power)
-    total = np.zeros(n, np.uint64)
-    np.cumsum(_BYTE[data] * power[:-1], out=total[1:])
-    back = np.full(n, _INVERSE, np.uint64)
-    back[:1] = 1
-    np.multiply.accumulate(back, out=back)
-    words = mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
-    return words, begin, end, np.searchsorted(begin, starts)
+def compact(texts: pa.Array) -> pa.Array:
+    """The texts in buffers of their own, blank for null: some Arrow functions misread arrays that start inside their buffers."""
+    return pc.fill_null(texts, "").take(pa.array(np.arange(len(texts))))
+
+
+def words_of(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and how many stand before each text (one more at the end). Null: none; lower: A-Z only."""
+    texts = pc.cast(compact(texts), pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    words = lists.flatten()
+    some = pc.not_equal(words, "")  # white space at either end leaves an empty one
+    count = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return words.filter(some), count[lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()]
+
+
+def hashed_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of each text, and the number of words before each text (one more at the end)."""
+    words, count = words_of(texts, lower)
+    distinct = pc.cast(words, pa.large_binary()).dictionary_encode()
+    known = np.fromiter(map(xxh3_64_intdigest, distinct.dictionary.to_pylist()), np.uint64, len(distinct.dictionary))
+    return known[distinct.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64), count
 
 
 def window_hash(words: np.ndarray, size: int) -> np.ndarray:
@@ -116,12 +104,10 @@ def window_hash(words: np.ndarray, size: int) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
     """Parts of the batch whose texts have about most_bytes at most (one text at least), so that memory stays bounded."""
-    sizes = np.array([0 if x is None else len(x) for x in batch.column(column).to_pylist()], np.int64)
-    at, total = 0, 0
-    for i, n in enumerate(sizes):
-        if total and total + n > most_bytes:
-            yield batch.slice(at, i - at)
-            at, total = i, 0
-        total += n
-    if at < len(sizes):
-        yield batch.slice(at)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most_bytes, "right")))
+        # a copy: some Arrow functions misread arrays that start inside their buffers
+        yield batch if end - at == len(sizes) else batch.take(pa.array(np.arange(at, end)))
+        at = end

@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from .shared import compact
+
 #: For texts in ASCII, the public pattern with its Unicode classes spelled out; the standard module is faster.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 _FULL = regex.compile(public_tokenizers.PATTERN)
@@ -74,6 +76,15 @@ def segments(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.array(out, pa.string()), np.array(owner)
 
 
+def gathered(ids: np.ndarray, first: np.ndarray, many: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the pieces of those numbers, end to end, and how many ids come up to each one's end."""
+    many = many[at]
+    ends = np.cumsum(many)
+    place = np.repeat(first[at] - (ends - many), many)
+    place += np.arange(len(place))
+    return ids[place], ends
+
+
 class WordCoder:
     """Encodes texts piece by piece; ``encode`` gives the ids of all of some pre-tokens, end to end, and how many each has."""
 
@@ -91,47 +102,39 @@ class WordCoder:
         self.many = np.concatenate([self.many, many])
         self.ids = np.concatenate([self.ids, ids])
 
-    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the pieces of those numbers, end to end, and how many ids come up to each one's end."""
-        many = self.many[at]
-        ends = np.cumsum(many)
-        place = np.repeat(self.first[at] - (ends - many), many)
-        place += np.arange(len(place))
-        return self.ids[place], ends
-
-    def _found(self, pieces: pa.StringArray) -> pa.Array:
-        """The numbers of known pieces, null for others."""
-        return pc.index_in(pieces, value_set=self.known)
-
     def _places(self, pieces: pa.StringArray) -> np.ndarray:
         """The numbers of distinct pieces, new ones among them."""
-        found = self._found(pieces)
+        found = pc.index_in(pieces, value_set=self.known)
         if not found.null_count:
             return found.to_numpy()
-        new = pieces.filter(pc.is_null(found))
+        places = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        rows = np.flatnonzero(places < 0)
+        new = pieces.take(pa.array(rows))
         single = pc.match_substring_regex(new, _SINGLE)
-        cut = [(x, pre_tokens(x)) for x in new.filter(pc.invert(single)).to_pylist()]
-        parts = pa.array(dict.fromkeys(y for _, xs in cut for y in xs), pa.string())
-        parts = parts.filter(pc.is_null(pc.index_in(parts, value_set=pa.concat_arrays([self.known, new.filter(single)]))))
-        parts = pa.concat_arrays([new.filter(single), parts])
-        if len(parts):
-            self._add(parts, *self.encode(parts))
-        cut = [(x, xs) for x, xs in cut if len(xs) != 1]
-        if cut:
-            ids, ends = self._gathered(self._found(pa.array([y for _, xs in cut for y in xs], pa.string())).to_numpy())
-            ends = np.concatenate([[0], ends])[np.cumsum([len(xs) for _, xs in cut])]
-            self._add(pa.array([x for x, _ in cut], pa.string()), ids, np.diff(ends, prepend=0))
-        return self._found(pieces).to_numpy()
+        is_single = single.to_numpy(zero_copy_only=False)
+        words, others = new.filter(single), new.filter(pc.invert(single))
+        places[rows[is_single]] = len(self.known) + np.arange(len(words))
+        places[rows[~is_single]] = len(self.known) + len(words) + np.arange(len(others))
+        if len(words):
+            self._add(words, *self.encode(words))
+        if len(others):
+            cut = [pre_tokens(x) for x in others.to_pylist()]
+            parts = {x: k for k, x in enumerate(dict.fromkeys(y for xs in cut for y in xs))}
+            ids, many = self.encode(pa.array(parts, pa.string()))
+            at = np.array([parts[y] for xs in cut for y in xs], np.int64)
+            ids, ends = gathered(ids, np.cumsum(many) - many, many, at)
+            self._add(others, ids, np.diff(np.concatenate([[0], ends])[np.cumsum([len(xs) for xs in cut])], prepend=0))
+        return places
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of text k are ids[first[k]:first[k + 1]]. Null counts as empty."""
-        parts, owner = segments(pc.fill_null(texts, ""))
+        parts, owner = segments(compact(texts))
         out, many = [], np.zeros(len(texts), np.int64)
         sizes = np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64)
         low = 0
         while low < len(parts):
             high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + 2 * SEGMENT, "right")))
-            ids, count = self._some(parts.slice(low, high - low))
+            ids, count = self._some(parts.take(pa.array(np.arange(low, high))))
             out.append(ids)
             np.add.at(many, owner[low:high], count)
             low = high
@@ -143,6 +146,7 @@ class WordCoder:
             self._empty()
         lists = pieces_of(texts)
         distinct = lists.flatten().dictionary_encode()
-        ids, ends = self._gathered(self._places(distinct.dictionary)[distinct.indices.to_numpy()])
+        places = self._places(distinct.dictionary)
+        ids, ends = gathered(self.ids, self.first, self.many, places[distinct.indices.to_numpy()])
         count = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return ids, np.diff(count)
