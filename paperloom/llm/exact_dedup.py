@@ -7,12 +7,13 @@
 3. The other digests, of which none holds more than ``support`` of the rows, go through one ordinary shuffle.
 
 Nulls count as empty texts, empty texts are equal to one another, and of equal texts the smallest id stays.
-Repeated ids each keep their row. An empty table gives an empty table. Other columns don't take part.
+Repeated ids each keep their row; rows equal in id and text all stay or all go. Long texts are read whole. An empty table gives an
+empty table. Other columns don't take part, whatever their names; :func:`exact_dedup` passes them on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut, or_empty, table
@@ -41,17 +42,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     heavy = digests.join(F.broadcast(winners), "digest")
     rest = digests.join(F.broadcast(winners), "digest", "left_anti")
-    same = Window.partitionBy("digest")
-    rest = rest.withColumns({"keep_id": F.min("id").over(same), "group_size": F.count(F.lit(1)).over(same)})
-    return heavy.unionByName(rest).select(
+    sizes = rest.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))  # counted map-side first
+    rest = rest.join(sizes, "digest").select("id", "digest", "keep_id", "group_size")
+    return heavy.select("id", "digest", "keep_id", "group_size").unionByName(rest).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
     )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__digest"))
+    own = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)  # of rows of one id, those with a text that stays
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (own == F.col("__digest")), "left_semi")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
