@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, slices, table
+from .shared import compact, cut, slices, table
 
 DECAY, LENGTH, WINDOW = 0.7, 3, 24
 #: Characters of a window in scripts without spaces.
@@ -53,7 +53,7 @@ _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3
 
 def tokens_of(texts: pa.Array) -> pa.ListArray:
     """The words of each text in lower case, between white space, and joined runs of single characters. Null: none."""
-    low = pc.utf8_lower(pc.fill_null(texts, ""))
+    low = pc.utf8_lower(compact(texts))
     lists = pc.utf8_split_whitespace(low)
     rows = np.flatnonzero(pc.match_substring_regex(low, _SINGLES_SEEN).to_numpy(zero_copy_only=False))
     if len(rows):
