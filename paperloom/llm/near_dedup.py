@@ -6,25 +6,27 @@
 2. Texts of equal sets are one class, whose smallest id stands for it from here on.
 3. Signatures are cut into bands. Classes that share a band's registers are candidates; each band bucket is told by
    one star, never by its pairs. Components of the stars are the clusters in which links can be.
-4. Each cluster's texts meet once. Clusters above a size are dealt out as pairs of blocks. In a task, pairs that are
-   not yet connected are tested on the full sets, those of the highest signature agreement first; only the links
-   that join two groups leave the task.
+4. Each cluster's texts meet once. Clusters above a size are dealt out as pairs of blocks. In a task, all pairs whose sizes
+   allow for the threshold and that share one of their rarest shingles (a pair that doesn't can't reach it) and that are not
+   yet connected are tested on the full sets; only the links that join two groups leave the task.
 5. The components of these links, over all clusters, are the result.
 
-Signature agreement below the threshold by more than six standard errors rules a pair out; bands and their rows follow from the
-threshold, so that a pair of exactly its similarity is missed with a chance of at most ``MISSED``.
+Bands and their rows follow from the threshold, so that a pair of exactly its similarity is missed with a chance of at most
+``MISSED``; that is the only way to miss one.
 
 Null and empty texts have no shingles and are linked with nothing. Repeated ids are compared like other rows, and
-share their component. An empty table gives an empty table. Other columns don't take part.
+share their component. Of equal sets the smallest id stands for all, so ties have one result. Long texts are read whole, in
+parts. An empty table gives an empty table. Other columns don't take part, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log, log1p, prod
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,9 @@ WORDS, PERCENT = 5, 85
 MISSED, MOST_REGISTERS = 5e-6, 256
 #: Texts and characters of a block; two blocks meet in a task.
 BLOCK_TEXTS, BLOCK_CHARS = 1024, 8 << 20
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Shingles whose permutations are held at once.
+PART_SHINGLES = 1 << 17
+_STEP, _NONE = np.uint64(0x9E3779B97F4A7C15), np.iinfo(np.uint64).max
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -53,7 +57,7 @@ def banding(percent: int) -> tuple[int, int]:
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): the sorted distinct shingle hashes of text k are hashes[first[k]:first[k + 1]]."""
-    hashes, _, _, count = hashed_words(texts, lower=True)
+    hashes, count = hashed_words(texts, lower=True)
     n = len(count) - 1
     length = np.diff(count)
     windows = window_hash(hashes, words)
@@ -72,11 +76,20 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
 
 
 def signatures(hashes: np.ndarray, first: np.ndarray, registers: int) -> np.ndarray:
-    """SuperMinHash of each set: round number above 32 bits of draw; all ones for an empty set."""
-    n = len(first) - 1
-    out = np.full((n, registers), np.iinfo(np.uint64).max, np.uint64)
-    owner = np.repeat(np.arange(n), np.diff(first))
-    own, place = hashes, np.tile(np.arange(registers, dtype=np.uint8 if registers <= 256 else np.int32), (len(hashes), 1))
+    """SuperMinHash of each set: round number above 32 bits of draw; all ones for an empty set. The signature of a set is the
+    least of its parts', so that large sets are read in parts."""
+    out = np.full((len(first) - 1, registers), _NONE)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for at in range(0, len(hashes), PART_SHINGLES):
+        own = owner[at : at + PART_SHINGLES]
+        rows = slice(own[0], own[-1] + 1)
+        out[rows] = np.minimum(out[rows], _signatures(hashes[at : at + PART_SHINGLES], own - own[0], registers))
+    return out
+
+
+def _signatures(own: np.ndarray, owner: np.ndarray, registers: int) -> np.ndarray:
+    out = np.full((owner[-1] + 1, registers), _NONE)
+    place = np.tile(np.arange(registers, dtype=np.uint8 if registers <= 256 else np.int32), (len(own), 1))
     for j in range(registers):
         if not len(own):
             break
@@ -86,7 +99,7 @@ def signatures(hashes: np.ndarray, first: np.ndarray, registers: int) -> np.ndar
         taken = place[row, pick]
         place[row, pick] = place[:, j]
         np.minimum.at(out.reshape(-1), owner * registers + taken, np.uint64(j << 32) | (draw & np.uint64(0xFFFFFFFF)))
-        going = (out == np.iinfo(np.uint64).max).any(axis=1)[owner]
+        going = (out == _NONE).any(axis=1)[owner]
         if not going.all():  # early stopping: later rounds can't lower a full signature
             own, owner, place = own[going], owner[going], place[going]
     return out
@@ -109,47 +122,54 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
                 key = mix(key + np.arange(many, dtype=np.uint64) * _STEP).view(np.int64)
                 size = np.diff(first)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * many), pa.array(key.reshape(-1)))
-                chars = pa.array([len(x or "") for x in texts.to_pylist()], pa.int64())
+                chars = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0)
                 set_ab = [pa.array((s[first[1:]] - s[first[:-1]]).view(np.int64)) for s in sums]
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(size.astype(np.int64)), *set_ab, chars, bands], [id_col, "n_shingles", "set_a", "set_b", "chars", "bands"])
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"{id_col} long, n_shingles long, set_a long, set_b long, chars long, bands array<long>")
 
 
+def shared_prefixes(hashes: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
+    """[i, j]: how many of the rarest shingles of set i are among those of set j. Of each set, as many count as a pair of
+    that similarity can't miss all of: without common ones, too few are left to reach the threshold."""
+    size = np.diff(first)
+    owner = np.repeat(np.arange(len(size)), size)
+    _, shingle, often = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.lexsort((shingle, often[shingle], owner))
+    place = np.arange(len(order)) - np.repeat(first[:-1], size)
+    few = size - -(-percent * size // 100) + 1
+    kept = order[(place < few[owner]) & (often[shingle[order]] > 1)]
+    kept = kept[np.argsort(shingle[kept], kind="stable")]
+    edges = np.flatnonzero(np.diff(shingle[kept])) + 1
+    out = np.zeros((len(size), len(size)), np.int32)
+    for group in np.split(owner[kept], edges):
+        if len(group) > 1:
+            out[np.ix_(group, group)] += 1
+    return out
+
+
 def linked_pairs(ids: list[int], texts: list[str], side: np.ndarray, both: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join groups of these texts; ``both``: only pairs of different sides are wanted."""
-    hashes, first = shingle_sets(pa.array(texts, pa.string()))
+    hashes, first = shingle_sets(pa.array(texts, pa.large_string()))
     sets = [hashes[first[k] : first[k + 1]] for k in range(len(ids))]
     size = np.diff(first)
-    n = len(ids)
-    registers = prod(banding(percent))
-    margin = 6 * (percent / 100 * (1 - percent / 100) / registers) ** 0.5
-    if n > 24:
-        sign = (signatures(hashes, first, registers) * _STEP >> np.uint64(48)).astype(np.uint16)
-    pairs, agree = [], []
-    for i in range(n - 1):
-        other = np.arange(i + 1, n)
-        fits = 100 * np.minimum(size[i], size[other]) >= percent * np.maximum(size[i], size[other])
-        if both:
-            fits &= side[other] != side[i]
-        other = other[fits]
-        share = (sign[other] == sign[i]).mean(axis=1) if n > 24 else np.ones(len(other))
-        near = share >= percent / 100 - margin
-        pairs.append(np.stack([np.full(near.sum(), i), other[near]], axis=1))
-        agree.append(share[near])
-    if not pairs:
-        return []
-    pairs = np.concatenate(pairs)[np.argsort(-np.concatenate(agree), kind="stable")]
+    common = np.triu(shared_prefixes(hashes, first, percent), 1)
+    if both:
+        common[side[:, None] == side[None]] = 0
+    i, j = np.nonzero(common)
+    fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+    i, j = i[fits], j[fits]
+    order = np.argsort(-common[i, j] / np.minimum(size[i], size[j]), kind="stable")  # likely links first, as pairs of one group needn't be tested
     groups, links = UnionFind(), []
-    for i, j in pairs.tolist():
-        if groups.find(i) == groups.find(j):
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if groups.find(a) == groups.find(b):
             continue
-        a, b = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
-        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-        common = int((b[at] == a).sum())
-        if 100 * common >= percent * (len(a) + len(b) - common):
-            groups.union(i, j)
-            links.append((ids[i], ids[j]))
+        small, large = (sets[a], sets[b]) if size[a] <= size[b] else (sets[b], sets[a])
+        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        same = int((large[at] == small).sum())
+        if 100 * same >= percent * (len(small) + len(large) - same):
+            groups.union(a, b)
+            links.append((ids[a], ids[b]))
     return links
 
 
@@ -213,3 +233,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM t, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0
+), n AS (
+  SELECT t.doc_id, count(shingle) AS n FROM t LEFT JOIN s USING (doc_id) GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x
+), m AS (SELECT a, min(b) AS own FROM r GROUP BY 1)
+SELECT doc_id, n AS n_shingles, own AS component_id, doc_id = own AS kept FROM n JOIN m ON a = doc_id
+"""

@@ -280,13 +280,13 @@ def test_packing_of_added_tokens(docs, spark):
 
 def test_private_data_of_whole_texts(spark):
     gap = " common words of any text" * 20
-    many = [f"Quisling wrote.{gap} to a.b@c.org first", f"Quisling said.{gap} to a.b@c.org second, Quisling", "clean Quisling text", *[f"plain filler text{gap}"] * 40]
+    many = [f"Quisling wrote.{gap} to a.b@c.org first", f"Quisling said.{gap} to a.b@c.org second, Quisling", "clean Quisling text", *[f"plain filler text to{gap}"] * 40]
     many += [f"Vidkunna and{gap} x.y@z.org here", f"Vidkunna near x.y@z.org{gap}"]
     rows = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")
 
-    terms = [re.findall(r"[^\W\d_]{4,}", t.lower()) for t in many]
+    terms = [re.findall(r"[^\W\d_]+", t.lower()) for t in many]
     mails = [set(re.findall(r"[a-z.]+@[a-z.]+", t)) for t in many]
-    free = [set(re.findall(r"[^\W\d_]{4,}", re.sub(r"[a-z.]+@[a-z.]+", " ", t.lower()))) for t in many]
+    free = [set(re.findall(r"[^\W\d_]+", re.sub(r"[a-z.]+@[a-z.]+", " ", t.lower()))) for t in many]
     flagged = set()
     for e in set().union(*mails):
         for t in set().union(*free):
