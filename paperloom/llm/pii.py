@@ -8,13 +8,17 @@ for a term t and an entity e with n(t), n(e) and n(t, e) texts of N, the term is
 * n(t, e) / n(t) >= ``POSTERIOR`` (who knows the term can guess the entity), and
 * log2(n(t, e) * N / (n(t) * n(e))) >= ``BITS`` (pointwise mutual information).
 
-Every occurrence of a flagged term outside base spans, in any text, is added as a span of the kind ``term``.
+A term is a run of letters. Every occurrence of a flagged term outside base spans, in any text, is added as a span of the kind
+``term``.
 :func:`sanitised` generalises base spans to their kind and removes flagged terms. All counts are over all texts, whole; the
 thresholds hold at every size. As n(t, e) <= n(e), entities of fewer than ``SUPPORT`` texts or of more than N / 2**``BITS`` can't have a
 flagged term, and are left out before terms and entities are paired.
 
-Null texts count as empty. Rows with the same id are told apart by their text, and equal rows have equal spans.
-The patterns don't nest repeats, so that very long runs don't exhaust the regular expression engine's stack.
+Null and empty texts have no spans. Rows with the same id are told apart by their text, and equal rows have equal spans. Spans are
+ordered by start, then kind, so ties have one order. Long texts are read whole: places are summed in runs of ``RUN``, and texts
+are cut in pieces of ``PIECE`` characters, so that the work grows with the text and not with its square. An empty table gives an
+empty table. Other columns don't take part in :func:`private_spans`; :func:`sanitised` passes them on, whatever their names, but
+for names that start with two underscores. The patterns don't nest repeats, so that very long runs don't exhaust the regular expression engine's stack.
 Offsets are code points, the end exclusive.
 """
 
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from .shared import or_empty, stored, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: The fewest letters of a term.
-LETTERS = 4
+#: Numbers that are summed up one by one, and characters of a piece of text.
+RUN, PIECE = 256, 1024
+#: Flagged terms that are broadcast at most; more are joined by shuffling words.
+BROADCAST_TERMS = 200_000
 SUPPORT, POSTERIOR, BITS = 2, 0.5, 3.0
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -41,29 +47,44 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Digits with any spaces and hyphens; cut at two of these in a row.
 DIGITS, DOUBLE = r"[0-9][0-9\x20-]++", r"[\x20-]{2,}+"
-TERM = rf"\p{{L}}{{{LETTERS},}}+"
+TERM = r"\p{L}++"
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
-def _placed(values: Column, gaps: Column, at: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
-    """Spans of the values (of those that are wanted), where each stands after its gap."""
-    start = F.struct(at.cast("int").alias("at"), F.expr(f"cast(array() as {_SPANS})").alias("out"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
 
-    def step(done: Column, x: Column) -> Column:
-        begin = done["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        span = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
-        out = F.concat(done["out"], F.array(span))
-        return F.struct(end.alias("at"), (out if wanted is None else F.when(wanted(x["value"]), out).otherwise(done["out"])).alias("out"))
 
-    pairs = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    return F.aggregate(pairs, start, step, lambda done: done["out"])
+def _running(sizes: Column, base: Column) -> Column:
+    start = F.struct(base.cast("int").alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    return F.aggregate(sizes, start, lambda done, x: F.struct((done["at"] + x).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out")), lambda done: done["out"])
 
 
-def spans_of(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
-    """(start, end, value) of each match that is wanted."""
-    return _placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), F.lit(0), wanted)
+def _before(sizes: Column) -> Column:
+    """For each size, the sum of those before it; by runs, as an array that grows is copied for each entry."""
+    last = F.floor((F.size(sizes) - 1) / RUN).cast("int")
+    runs = F.when(F.size(sizes) > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(sizes, k * RUN + 1, RUN))).otherwise(F.expr("cast(array() as array<array<int>>)"))
+    bases = lambda r: _running(F.transform(r, lambda run: F.aggregate(run, F.lit(0), lambda x, y: x + y)), F.lit(0))
+    return _let(runs, lambda r: F.flatten(F.zip_with(r, bases(r), _running)))
+
+
+def _placed(values: Column, gaps: Column, at: Column) -> Column:
+    """Spans of the values, where each stands after its gap."""
+
+    def spans(x: Column) -> Column:
+        gap = F.transform(F.slice(x["gaps"], 1, F.size(x["values"])), F.length)
+        sizes = F.zip_with(x["values"], gap, lambda v, g: F.length(v) + g)
+        starts = F.zip_with(_let(sizes, _before), gap, lambda before, g: at.cast("int") + before + g)
+        return F.zip_with(x["values"], starts, lambda v, start: F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value")))
+
+    return _let(F.struct(values.alias("values"), gaps.alias("gaps")), spans)
+
+
+def spans_of(text: Column, pattern: str) -> Column:
+    """(start, end, value) of each match."""
+    return _placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), F.lit(0))
 
 
 def _digits(value: Column) -> Column:
@@ -125,23 +146,48 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _between(text: Column, spans: Column) -> Column:
-    """The text with a blank for each base span."""
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+def _marked(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """The text with a mark for each span (start, end, ...); of spans that overlap, the first counts. Spans come by start."""
+
+    def apart(x: Column) -> Column:
+        """Those that start where all before have ended."""
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.expr("cast(array() as array<int>)").alias("out"))
+
+        def step(done: Column, y: Column) -> Column:
+            out = F.when(y["start"] < done["at"], F.concat(done["out"], F.array(done["k"]))).otherwise(done["out"])
+            return F.struct(F.greatest(done["at"], F.when(y["start"] < done["at"], done["at"]).otherwise(y["end"])).alias("at"), (done["k"] + 1).alias("k"), out.alias("out"))
+
+        within = F.aggregate(x, start, step, lambda done: done["out"])
+        return _let(within, lambda w: F.when(F.size(w) == 0, x).otherwise(F.filter(x, lambda y, k: ~F.array_contains(w, k))))
 
-    def step(done: Column, x: Column) -> Column:
-        part = F.substring(text, done["at"] + 1, x["start"] - done["at"])
-        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.concat(done["out"], F.array(part)).alias("out"))
+    def part(pieces: Column, low: Column, high: Column) -> Column:
+        first = F.floor(low / PIECE).cast("int")
+        own = F.slice(pieces, first + 1, F.floor(high / PIECE).cast("int") - first + 1)
+        return F.substring(F.array_join(own, ""), low - first * PIECE + 1, high - low)
 
-    return F.aggregate(spans, start, step, lambda done: F.concat(F.array_join(done["out"], " "), F.lit(" "), F.substring(text, done["at"] + 1, F.length(text))))
+    def written(x: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), F.transform(x["spans"], lambda y: y["end"]))
+        parts = F.zip_with(x["spans"], F.slice(ends, 1, F.size(x["spans"])), lambda y, low: F.concat(part(x["pieces"], low, y["start"]), mark(y)))
+        return F.concat(F.array_join(parts, ""), part(x["pieces"], F.element_at(ends, -1), x["size"]))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    whole = F.struct(_let(spans, apart).alias("spans"), pieces.alias("pieces"), F.length(text).alias("size"))
+    return F.when(F.size(spans) > 0, _let(whole, written)).otherwise(text)
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with a digit for each character of a span, so that no letter is left there and all else keeps its place."""
+    return _marked(text, spans, lambda x: F.repeat(F.lit("0"), x["end"] - x["start"]))
 
 
 def with_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __hash, __base, __entities) and the base spans by kind of each row; texts stay behind."""
+    """(__id, __hash, __base, __entities, __free) and the base spans by kind of each row; __free: the terms of a text that mentions
+    an entity, outside its base spans. Texts stay behind."""
     rows = base_spans(docs, text_col)
     rows = rows.withColumns({"__base": _tagged(KINDS[:4]), "__hash": F.xxhash64("__text"), "__id": F.col(id_col)})
-    entities = F.array_distinct(F.transform("__base", lambda x: F.xxhash64(F.lower(x["value"]))))
-    return rows.select("__id", "__hash", "__base", entities.alias("__entities"), *(f"__{k}" for k in KINDS[:4]))
+    rows = rows.withColumn("__entities", F.array_distinct(F.transform("__base", lambda x: F.xxhash64(F.lower(x["value"])))))
+    free = F.when(F.size("__base") > 0, _terms(_blanked(F.col("__text"), F.col("__base"))))
+    return rows.select("__id", "__hash", "__base", "__entities", free.alias("__free"), *(f"__{k}" for k in KINDS[:4]))
 
 
 def _of_text(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -153,10 +199,10 @@ def _of_text(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame
 def flagged_terms(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(term): the distinct terms that disclose an entity. ``rows`` must be stored: they are read several times."""
     total = rows.count()
-    mentions = rows.select("__id", "__hash", "__base", F.explode("__entities").alias("entity"))
+    mentions = rows.select("__id", "__hash", F.explode("__entities").alias("entity"))
     per_entity = stored(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e").between(SUPPORT, total / 2**BITS)))
-    own = mentions.join(per_entity.select("entity"), "entity").groupBy("__id", "__hash").agg(F.any_value("__base").alias("__base"), F.collect_set("entity").alias("entities"))  # one text's entities
-    pairs = _of_text(texts, stored(own)).select("entities", F.array_intersect(_terms(F.col("__text")), _terms(_between(F.col("__text"), F.col("__base")))).alias("free"))
+    own = mentions.join(per_entity.select("entity"), "entity").groupBy("__id", "__hash").agg(F.collect_set("entity").alias("entities"))  # one text's entities
+    pairs = _of_text(rows.where(F.size("__entities") > 0).select("__id", "__hash", "__free"), own).select("entities", F.col("__free").alias("free"))
     joint = pairs.select(F.explode("entities").alias("entity"), "free").select("entity", F.explode("free").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
     per_term = texts.select(F.explode(_terms(F.col("__text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= SUPPORT)
     bits = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
@@ -170,13 +216,16 @@ def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = or_empty(F.col(text_col))
     texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("__text"))
     flagged = stored(flagged_terms(rows, texts))
-    held = texts.select("__id", "__hash", F.explode(_terms(F.col("__text"))).alias("term")).join(flagged, "term")
-    held = stored(held.groupBy("__id", "__hash").agg(F.collect_set("term").alias("__flagged")))  # one text's terms
-    found = spans_of(F.col("__text"), TERM, lambda value: F.array_contains("__flagged", F.lower(value)))
-    found = _of_text(texts, held).select("__id", "__hash", found.alias("__found")).groupBy("__id", "__hash").agg(F.any_value("__found").alias("__found"))
-    free = F.filter("__found", lambda t: ~F.exists("__base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
+    some = flagged.limit(BROADCAST_TERMS + 1).count()
+    if not some:
+        return rows.withColumn("__term", F.expr(f"cast(array() as {_SPANS})")).drop("__entities", "__free")
+    # words are told by their places at once, so that texts needn't be joined with what is found in them
+    words = base_spans(docs, text_col).withColumn("__base", _tagged(KINDS[:4]))
+    words = words.select(F.col(id_col).alias("__id"), F.xxhash64("__text").alias("__hash"), F.explode(spans_of(_blanked(F.col("__text"), F.col("__base")), TERM)).alias("x"))
+    words = words.withColumn("term", F.lower("x.value")).join(F.broadcast(flagged) if some <= BROADCAST_TERMS else flagged, "term")
+    found = words.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("x")).alias("__found"))  # one text's terms
     none = F.expr(f"cast(array() as {_SPANS})")
-    return _of_text(rows, stored(found), "left").withColumn("__term", F.coalesce(free, none)).drop("__found", "__entities")
+    return _of_text(rows, stored(found), "left").withColumn("__term", F.coalesce("__found", none)).drop("__found", "__entities", "__free")
 
 
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,15 +238,7 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _rewritten(text: Column, spans: Column) -> Column:
     """The text with base spans as [KIND] and terms removed; of spans that overlap, the first counts."""
-
-    def step(done: Column, x: Column) -> Column:
-        mark = F.when(x["kind"] == "term", "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        out = F.concat(done["out"], F.substring(text, done["at"] + 1, x["start"] - done["at"]), mark)
-        fits = x["start"] >= done["at"]
-        return F.struct(F.when(fits, x["end"]).otherwise(F.greatest(done["at"], x["end"])).alias("at"), F.when(fits, out).otherwise(done["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return _marked(text, spans, lambda x: F.when(x["kind"] == "term", "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,3 +252,48 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_spans(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), f AS (
+  SELECT doc_id, 0 AS rank, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS v, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS g FROM d
+  UNION ALL SELECT doc_id, 1, regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), string_split_regex(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') FROM d
+  UNION ALL SELECT doc_id, 2, regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), string_split_regex(t, '[0-9](?:[\x20-]?[0-9])+') FROM d
+  UNION ALL SELECT doc_id, 3, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
+  UNION ALL SELECT doc_id, 4, regexp_extract_all(t, '\p{L}+'), string_split_regex(t, '\p{L}+') FROM d
+), u AS (
+  SELECT doc_id, rank, unnest(range(len(v))) AS i, unnest(v) AS v, unnest(g[1:len(v)]) AS g FROM f WHERE len(v) > 0
+), a AS (
+  SELECT doc_id, rank, v, CAST(sum(length(g) + length(v)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS BIGINT) AS e FROM u
+), c AS (
+  SELECT doc_id, rank, v, e - length(v) AS s, e, regexp_replace(v, '[^0-9]', '', 'g') AS n FROM a
+), b AS (
+  SELECT doc_id, rank, v, s, e FROM c
+  WHERE CASE rank WHEN 0 THEN true WHEN 1 THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: coalesce(try_cast(x AS HUGEINT) <= 255, false)))
+        WHEN 2 THEN length(n) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(n) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(n[-k] AS INTEGER) ELSE 2 * CAST(n[-k] AS INTEGER) - CASE WHEN n[-k] > '4' THEN 9 ELSE 0 END END)) % 10 = 0
+        WHEN 3 THEN length(n) BETWEEN 9 AND 15 ELSE false END
+), w AS (
+  SELECT doc_id, lower(v) AS term, s, e FROM c WHERE rank = 4 AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = c.doc_id AND b.s < c.e AND b.e > c.s)
+), m AS (
+  SELECT DISTINCT doc_id, lower(v) AS entity FROM b
+), n_e AS (
+  SELECT entity, count(*) AS n_e FROM m GROUP BY 1
+), n_t AS (
+  SELECT lower(v) AS term, count(DISTINCT doc_id) AS n_t FROM c WHERE rank = 4 GROUP BY 1
+), n_te AS (
+  SELECT entity, term, count(*) AS n_te FROM m JOIN (SELECT DISTINCT doc_id, term FROM w) USING (doc_id) GROUP BY 1, 2
+), flagged AS (
+  SELECT DISTINCT term FROM n_te JOIN n_e USING (entity) JOIN n_t USING (term), (SELECT count(*) AS n FROM d) AS q
+  WHERE n_e BETWEEN 2 AND q.n / 8.0 AND n_te >= 2 AND n_te >= 0.5 * n_t AND n_te * q.n >= 8 * n_t * n_e
+), x AS (
+  SELECT doc_id, rank, s, e FROM b UNION ALL SELECT doc_id, 4, s, e FROM w SEMI JOIN flagged USING (term)
+), y AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone, count(*) FILTER (rank = 4) AS n_term,
+         string_agg(['email', 'ip', 'card', 'phone', 'term'][rank + 1] || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(['email', 'ip', 'card', 'phone', 'term'][rank + 1] || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+  FROM x GROUP BY 1
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term
+FROM d LEFT JOIN y USING (doc_id)
+"""
