@@ -219,11 +219,14 @@ def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     some = flagged.limit(BROADCAST_TERMS + 1).count()
     if not some:
         return rows.withColumn("__term", F.expr(f"cast(array() as {_SPANS})")).drop("__entities", "__free")
-    # words are told by their places at once, so that texts needn't be joined with what is found in them
-    words = base_spans(docs, text_col).withColumn("__base", _tagged(KINDS[:4]))
-    words = words.select(F.col(id_col).alias("__id"), F.xxhash64("__text").alias("__hash"), F.explode(spans_of(_blanked(F.col("__text"), F.col("__base")), TERM)).alias("x"))
-    words = words.withColumn("term", F.lower("x.value")).join(F.broadcast(flagged) if some <= BROADCAST_TERMS else flagged, "term")
-    found = words.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("x")).alias("__found"))  # one text's terms
+    listed = texts.select("__id", "__hash", F.explode(_terms(F.col("__text"))).alias("term")).join(F.broadcast(flagged) if some <= BROADCAST_TERMS else flagged, "term")
+    held = listed.groupBy("__id", "__hash").agg(F.collect_set("term").alias("__flagged"))  # one text's terms
+    bases = rows.select("__id", "__hash", "__base").groupBy("__id", "__hash").agg(F.any_value("__base").alias("__base"))
+    held = stored(_of_text(held, bases))
+    # the one join that moves texts, in the same way at every size
+    blank = _of_text(texts, held.hint("merge")).select("__id", "__hash", "__flagged", _blanked(F.col("__text"), F.col("__base")).alias("__blank"))
+    found = F.filter(spans_of(F.col("__blank"), TERM), lambda x: F.array_contains("__flagged", F.lower(x["value"])))
+    found = blank.select("__id", "__hash", found.alias("__found")).groupBy("__id", "__hash").agg(F.any_value("__found").alias("__found"))
     none = F.expr(f"cast(array() as {_SPANS})")
     return _of_text(rows, stored(found), "left").withColumn("__term", F.coalesce("__found", none)).drop("__found", "__entities", "__free")
 
