@@ -26,6 +26,11 @@ def repetitions(value: Column, separator: Column | str = "~") -> Column:
     return F.filter(cut(value, F.lit(separator) if isinstance(separator, str) else separator), lambda x: x != "")
 
 
+def repetition(value: Column, r: int, separator: Column | str = "~") -> Column:
+    """Repetition r, from 1, blank ones counted; null if absent."""
+    return component(value, r, separator)
+
+
 def hl7_escape_text(value: Column) -> Column:
     """Free text as one value: the five delimiters escaped, line ends as spaces."""
     value = F.regexp_replace(value, r"\\", r"\\E\\")
@@ -78,6 +83,11 @@ def xml_escape(value: Column) -> Column:
     return value
 
 
+def xml_error(value: Column) -> Column:
+    """Why a value can't stand in XML 1.0, or null: it holds a control character or a lone surrogate."""
+    return F.when(value.rlike("[^\\x09\\x0A\\x0D\\x20-\\x{D7FF}\\x{E000}-\\x{FFFD}\\x{10000}-\\x{10FFFF}]"), "a character that XML can't hold")
+
+
 def json_pointer_escape(key: Column) -> Column:
     return F.call_function("replace", F.call_function("replace", key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
@@ -128,3 +138,10 @@ def sniffed(text: Column) -> Column:
         .when(t.startswith("<") & (head.contains("<Invoice") | head.contains("<CreditNote")), "ubl")
         .when(t.startswith("<") & F.lower(head).rlike("<html|<!doctype html|<p|<h1"), "html")
     )
+
+
+def sniffed_file(content: Column) -> Column:
+    """The format of a file's bytes: an archive by the names of its parts, any other by its text."""
+    has = lambda name: F.contains(content, F.lit(name).cast("binary"))
+    archive = F.substring(content, 1, 4) == F.lit(bytearray(b"PK\x03\x04"))
+    return F.when(archive, F.when(has("word/document.xml"), "docx").when(has("xl/workbook.xml"), "xlsx")).otherwise(sniffed(F.decode(content, "UTF-8")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.fields import component, field, first_segment, hl7_unescape, repetitions, xml_escape
-from paperloom.operators.bundles import fhir_datetime, hl7_encounter, hl7_observations
+from paperloom.operators.bundles import CLASSES, STATES, fhir_datetime, hl7_encounter, hl7_observations
 from paperloom.sources.segments import bound
 
 #: The resource types, in the order they are counted; class names; genders; the namespace.
@@ -91,6 +91,47 @@ def bundles(messages: DataFrame, segments: Column, d: Column, *keys: str) -> Dat
     return rows.select(*keys, error.alias("error"), F.when(error.isNull(), bundle).alias("bundle"))
 
 
+def conversion_notes(messages: DataFrame, segments: Column, d: Column, key: str) -> DataFrame:
+    """(key, place, note): what a conversion to FHIR leaves out or changes: identifiers and codes that are missing, genders, classes
+    and states that FHIR doesn't have, timestamps that are none or lack an offset, values that are no numbers."""
+    rows = bound(messages.select(key, segments.alias("__s"), d.alias("__d")), __kind=F.coalesce(component(field(F.get("__s", 0), 9), 1, F.col("__d.component")), F.lit("")))
+    s, own, blank = F.col("__s"), F.col("__d"), F.lit("")
+    pid, pv1 = first_segment(s, "PID"), first_segment(s, "PV1")
+    quoted = lambda x, rest: F.concat(F.lit("`"), x, F.lit(f"` {rest}"))
+    told = lambda place, note: F.struct((F.lit(place) if isinstance(place, str) else place).alias("place"), (F.lit(note) if isinstance(note, str) else note).alias("note"))
+    of = lambda seg, n: F.trim(F.coalesce(field(seg, n), blank))
+
+    def time(place, raw: Column) -> Column:
+        t = fhir_datetime(raw)
+        return F.when(raw != "", F.when(t.isNull(), told(place, quoted(raw, "is no timestamp and is left out"))).when(t["lossy"], told(place, quoted(raw, "has no offset, so only its date is kept"))))
+
+    first = F.get(F.filter(F.transform(repetitions(F.coalesce(field(pid, 3), blank), own["repeat"]), lambda x: _own(x, 1, own)), lambda x: x != ""), 0)
+    notes = [
+        F.when(pid.isNotNull() & first.isNull(), told("PID-3", "no identifier; the patient's id is made up")),
+        F.when((of(pid, 7) != "") & ~of(pid, 7).rlike("^[0-9]{4}([0-9]{2}){0,2}"), told("PID-7", quoted(of(pid, 7), "is no date and is left out"))),
+        F.when((of(pid, 8) != "") & _lookup(of(pid, 8), GENDERS).isNull(), told("PID-8", quoted(of(pid, 8), "is no gender that FHIR has and is left out"))),
+        F.when((F.col("__kind") == "ADT") & pv1.isNotNull() & _lookup(of(pv1, 2), CLASSES).isNull(), told("PV1-2", quoted(of(pv1, 2), "is no class that FHIR has; there is no encounter"))),
+        F.when((F.col("__kind") == "ADT") & _lookup(of(pv1, 2), CLASSES).isNotNull(), time("PV1-44", F.coalesce(F.nullif(of(pv1, 44), blank), of(first_segment(s, "EVN"), 2)))),
+        F.when((F.col("__kind") == "ADT") & _lookup(of(pv1, 2), CLASSES).isNotNull(), time("PV1-45", of(pv1, 45))),
+    ]
+
+    def result(x: Column) -> Column:
+        at = lambda n: F.concat(F.lit("OBX["), of(x, 1), F.lit(f"]-{n}"))
+        kind, value, state = of(x, 2), of(x, 5), of(x, 11)
+        found = [
+            F.when((state != "") & _lookup(state, STATES).isNull(), told(at(11), quoted(state, "is no known state"))),
+            F.when((kind == "NM") & (value != "") & value.try_cast("double").isNull(), told(at(5), quoted(value, "is no number and is left out"))),
+            F.when(~kind.isin("", "NM") & (value != ""), told(at(5), quoted(kind, "values are left out"))),
+            time(at(14), F.coalesce(F.nullif(of(x, 14), blank), of(first_segment(s, "OBR"), 7))),
+        ]
+        nameless = _own(F.coalesce(field(x, 3), blank), 1, own) == ""
+        return F.when(nameless, F.array(told(at(3), "no code; the result is left out"))).otherwise(F.array_compact(F.array(*found)))
+
+    results = F.flatten(F.transform(F.filter(s, lambda x: x["tag"] == "OBX"), result))
+    every = F.when(F.col("__kind") == "ORU", F.concat(F.array_compact(F.array(*notes)), results)).otherwise(F.array_compact(F.array(*notes)))
+    return rows.where(s.isNotNull()).select(key, F.explode(every).alias("x")).select(key, "x.*")
+
+
 #: What is read of a resource, whatever its type.
 RESOURCE = (
     "resourceType string, id string, status string, gender string, birthDate string, effectiveDateTime string, identifier array<struct<system string,value string>>,"

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom import rules
-from paperloom.functions.fields import component, element_kind_ok, field, first_segment, repetitions
-from paperloom.sources.segments import bound, hl7_segments
+from paperloom.functions.fields import component, element_kind_ok, field, first_segment
+from paperloom.sources.segments import bound
 
 
 def exploded(messages: DataFrame, segments: Column, *keys: str) -> DataFrame:
@@ -108,6 +108,23 @@ def missing_segments(messages: DataFrame, segments: Column, key: str) -> DataFra
     return sets.join(F.broadcast(rules.required_segments(messages.sparkSession)), "set_id").where(~F.array_contains("tags", F.col("tag"))).select(key, "set_id", "tag")
 
 
+def transaction_set_issues(messages: DataFrame, segments: Column, key: str) -> DataFrame:
+    """(key, set_id, tag, message): required segments that a transaction set lacks, and sets that don't end with SE or have no ST."""
+    own = F.col("__own")
+    rows = bound(bound(messages.select(key, segments.alias("__s")), __own=body(F.col("__s"))), __set=F.coalesce(field(first_segment(own, "ST"), 1), F.lit("")))
+    last = F.try_element_at(own, F.lit(-1))["tag"]
+    told = lambda tag, text: F.struct(F.lit(tag).alias("tag"), F.lit(text).alias("message"))
+    ends = F.array_compact(F.array(F.when(own.isNull() & F.col("__s").isNotNull(), told("ST", "no transaction set")), F.when(last != "SE", told("SE", "the set does not end with SE"))))
+    order = rows.select(key, F.col("__set").alias("set_id"), F.explode(ends).alias("x")).select(key, "set_id", "x.*")
+    lacking = missing_segments(messages, segments, key).where("tag <> 'SE'").select(key, "set_id", "tag", F.concat(F.lit("the set lacks "), F.col("tag")).alias("message"))
+    return order.unionByName(lacking)
+
+
+def order_error(p: Column) -> Column:
+    """Why a purchase order as :func:`read_850` gives it is refused: its CTT counts other lines than there are. Null if it isn't."""
+    return F.when(p["ctt"] != F.size(p["lines"]), F.concat(F.lit("CTT counts "), p["ctt"].cast("string"), F.lit(" lines, there are "), F.size(p["lines"]).cast("string")))
+
+
 def x12_envelope_issues(messages: DataFrame, segments: Column, key: str) -> DataFrame:
     """(key, idx, tag, rule): counts and control numbers of SE, GE and IEA against what they close, and headers that are
     never closed.
@@ -165,19 +182,6 @@ def hl7_required_issues(messages: DataFrame, segments: Column, key: str) -> Data
     return rows.where(blank).select(key, "idx", "tag", "field", text.alias("message"))
 
 
-def hl7_patient(segments: Column, delimiters: Column | None = None) -> Column:
-    """A FHIR patient of the first PID: id, family, given, gender, birth date; with the message's own delimiters."""
-    part, again = ("^", "~") if delimiters is None else (delimiters["component"], delimiters["repeat"])
-    pid = first_segment(segments, "PID")
-    name = F.get(repetitions(field(pid, 5), again), 0)
-    born = field(pid, 7)
-    day = F.regexp_extract(born, r"^(\d{4})(\d{2})?(\d{2})?", 0)
-    date = F.concat_ws("-", F.substring(day, 1, 4), F.nullif(F.substring(day, 5, 2), F.lit("")), F.nullif(F.substring(day, 7, 2), F.lit("")))
-    gender = F.when(field(pid, 8) == "M", "male").when(field(pid, 8) == "F", "female").when(field(pid, 8) == "O", "other").when(field(pid, 8) != "", "unknown")
-    identifier = F.regexp_replace(component(F.get(repetitions(field(pid, 3), again), 0), 1, part), "[^A-Za-z0-9.-]", "-")
-    return F.struct(F.left(identifier, F.lit(64)).alias("id"), component(name, 1, part).alias("family"), component(name, 2, part).alias("given"), gender.alias("gender"), F.when(day != "", date).alias("birth_date"))
-
-
 def pseudonyms(values: DataFrame, key: str, value: str, position: str, prefix: str) -> DataFrame:
     """The rows with ``pseudonym``: distinct values numbered by their first place within each message."""
     first = F.min(position).over(Window.partitionBy(key, value))
@@ -185,21 +189,6 @@ def pseudonyms(values: DataFrame, key: str, value: str, position: str, prefix: s
     return values.withColumn("__first", first).withColumn("pseudonym", F.concat(F.lit(prefix), rank.cast("string"))).drop("__first")
 
 
-def hl7_paths(messages: DataFrame, message_col: str, key: str) -> DataFrame:
-    """(key, path, value) of every field that isn't empty, as SEG[n]-f; MSH-1 and MSH-2 are left out."""
-    rows = exploded(messages, hl7_segments(F.col(message_col)), key)
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(key, "tag").orderBy("idx")) - 1)
-    rows = rows.select(key, "tag", "n", F.posexplode("fields").alias("f", "value")).where("value <> '' and not (tag = 'MSH' and f < 2)")
-    return rows.select(key, F.format_string("%s[%d]-%d", "tag", "n", F.col("f") + 1).alias("path"), "value")
-
-
-def compared(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(key, path, kind, left, right) of the paths that differ."""
-    both = left.withColumnRenamed("value", "left").join(right.withColumnRenamed("value", "right"), [key, "path"], "full_outer")
-    kind = F.when(F.col("left").isNull(), "added").when(F.col("right").isNull(), "removed").otherwise("changed")
-    return both.where(~F.col("left").eqNullSafe(F.col("right"))).select(key, "path", kind.alias("kind"), "left", "right")
-
-
 def _sized(value: Column) -> Column:
     return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(value)), 16, "0")), value.cast("binary"))
 

@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom import rules
-from paperloom.functions.fields import hl7_unescape, is_fhir_datetime
+from paperloom.functions.fields import hl7_unescape, is_fhir_datetime, sniffed_file
 from paperloom.operators import bundles, comparison, fhir, reports, writers
 from paperloom.operators import messages as ops
 from paperloom.plans import messages as make
-from paperloom.sources import office
+from paperloom.sources import html, office
 from paperloom.sources.segments import bound, edifact_segments, hl7_delimiters, hl7_segments, x12_segments
 
 def _message() -> Column:
@@ -170,9 +170,37 @@ def docx_changes(spark: SparkSession, d: str) -> DataFrame:
     return found.select(key.alias("supp_key"), "path", "kind", F.col("left").alias("old"), F.col("right").alias("new"))
 
 
+def fhir_conversion_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Admissions whose gender FHIR doesn't have for keys that divide by 4 and whose birth is no date for 6."""
+    key, m = F.col("c_custkey"), _message()
+    edited = F.when(key % 4 == 0, F.regexp_replace(m, r"\|F(?=[\r\n])", "|X")).otherwise(m)
+    edited = F.when(key % 6 == 0, F.regexp_replace(edited, r"\|\|19", "||x19")).otherwise(edited)
+    rows = bound(make.hl7_adt(spark, d), edited=edited)
+    found = fhir.conversion_notes(rows, hl7_segments(F.col("edited")), hl7_delimiters(F.col("edited")), "c_custkey")
+    return found.select(key.alias("cust_key"), "place", "note")
+
+
+def x12_set_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Claim payments made of purchase orders: they lack BPR and CLP, and those of keys that divide by 5 their end."""
+    key = F.col("o_orderkey")
+    m = F.regexp_replace("message", r"ST\*850", "ST*835")
+    rows = make.x12_850(make.order_lines(spark, d)).withColumn("message", F.when(key % 5 == 0, F.regexp_replace(m, r"SE\*[0-9]+\*0001~", "")).otherwise(m))
+    return ops.transaction_set_issues(rows, x12_segments(_message()), "o_orderkey").withColumnRenamed("o_orderkey", "order_key")
+
+
+def html_block_counts(spark: SparkSession, d: str) -> DataFrame:
+    blocks = html.html_blocks(make.table(spark, d, "pages"), "page_id", "html")
+    return blocks.where("kind in ('h1', 'li')").groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def docx_block_rows(spark: SparkSession, d: str) -> DataFrame:
+    files = make.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), office.docx_file(F.array(F.lit("To"), F.col("s_name"))).alias("content"))
+    return html.docx_blocks(files.where(sniffed_file(F.col("content")) == "docx")).select("path", "n", "kind", "text", "error")
+
+
 QUERIES = {f.__name__: f for f in (
     hl7_unescaped_values, hl7_written_messages, fhir_datetimes, fhir_encounter_xml, fhir_xml_resources, fhir_reading_issues, report_issues, report_first_issues, report_texts, inspected_texts, edifact_element_issues, x12_changes,
-    audit_jsonl_issues, audit_provenance, xlsx_changes, docx_changes,
+    audit_jsonl_issues, audit_provenance, xlsx_changes, docx_changes, fhir_conversion_notes, x12_set_issues, html_block_counts, docx_block_rows,
 )}
 
 _K = "k AS (SELECT o_orderkey AS k, count(*) AS n, min(l_linenumber) AS first FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)"
@@ -244,4 +272,18 @@ ORACLE_SQL = {
     "docx_changes": """
       SELECT s_suppkey AS supp_key, '/p/1' AS path, 'changed' AS kind, s_name AS old, 'nobody' AS new FROM supplier WHERE s_suppkey % 2 = 0
       UNION ALL SELECT s_suppkey, '/p/2', 'added', NULL, 'end' FROM supplier WHERE s_suppkey % 3 = 0""",
+    "fhir_conversion_notes": """
+      WITH c AS (SELECT c_custkey AS k FROM customer)
+      SELECT k AS cust_key, 'PID-8' AS place, '`X` is no gender that FHIR has and is left out' AS note FROM c WHERE k % 4 = 0
+      UNION ALL SELECT k, 'PID-7', '`x19' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') || '0' || (k % 9 + 1) || '15` is no date and is left out' FROM c WHERE k % 6 = 0
+      UNION ALL SELECT k, 'PV1-2', '`` is no class that FHIR has; there is no encounter' FROM c WHERE k % 7 = 0
+      UNION ALL SELECT k, 'PV1-44', '`20261001120000` has no offset, so only its date is kept' FROM c WHERE k % 7 <> 0""",
+    "x12_set_issues": f"""
+      WITH {_K} SELECT k AS order_key, '835' AS set_id, t AS tag, 'the set lacks ' || t AS message FROM k CROSS JOIN (VALUES ('BPR'), ('CLP')) v(t)
+      UNION ALL SELECT k, '835', 'SE', 'the set does not end with SE' FROM k WHERE k % 5 = 0""",
+    "html_block_counts": """
+      SELECT page_id, t AS kind, CAST(len(regexp_extract_all(html, '<' || t || '[ >]')) AS BIGINT) AS n FROM pages CROSS JOIN (VALUES ('h1'), ('li')) v(t) WHERE regexp_matches(html, '<' || t || '[ >]')""",
+    "docx_block_rows": """
+      SELECT CAST(s_suppkey AS VARCHAR) AS path, CAST(0 AS INTEGER) AS n, 'paragraph' AS kind, 'To' AS text, CAST(NULL AS VARCHAR) AS error FROM supplier
+      UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 1, 'paragraph', s_name, NULL FROM supplier""",
 }

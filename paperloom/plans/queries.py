@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom import rules
 from paperloom.functions.fields import component, edifact_unescape, field, first_segment, hl7_escape_text, hl7_unescape, is_fhir_date, sheet_column_index, sniffed
-from paperloom.operators import markup
+from paperloom.operators import comparison, fhir, markup
 from paperloom.operators import messages as ops
 from paperloom.plans import messages as make
 from paperloom.sources import office
@@ -104,7 +104,10 @@ def hl7_escape_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hl7_patients(spark: SparkSession, d: str) -> DataFrame:
-    return bound(bound(make.hl7_adt(spark, d), s=hl7_segments(message())), p=ops.hl7_patient(F.col("s"), hl7_delimiters(message()))).select("p.*")
+    p = F.col("p")
+    name = F.get(p["name"], 0)
+    rows = bound(bound(make.hl7_adt(spark, d), s=hl7_segments(message()), d=hl7_delimiters(message())), p=fhir.patient(F.col("s"), F.col("d")))
+    return rows.select("p.id", name["family"].alias("family"), F.get(name["given"], 0).alias("given"), "p.gender", F.col("p.birthDate").alias("birth_date"))
 
 
 def hl7_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +119,8 @@ def hl7_changes(spark: SparkSession, d: str) -> DataFrame:
     """Every admission against a corrected one: another gender for keys that divide by 4, no class for 6."""
     left = make.hl7_adt(spark, d)
     right = left.withColumn("message", F.when(F.col("c_custkey") % 4 == 0, F.regexp_replace("message", r"\|F\r", "|M\r")).when(F.col("c_custkey") % 6 == 0, F.regexp_replace("message", r"PV1\|1\|[I ]\|", "PV1|1||")).otherwise(message()))
-    return ops.compared(ops.hl7_paths(left, "message", "c_custkey"), ops.hl7_paths(right, "message", "c_custkey"), "c_custkey").select(F.col("c_custkey").alias("cust_key"), "path", "kind")
+    left, right = (x.withColumn("d", hl7_delimiters(message())) for x in (left, right))
+    return comparison.compared_segments(left, right, hl7_segments(message()), "c_custkey", F.col("d.field"), "d").select(F.col("c_custkey").alias("cust_key"), "path", "kind")
 
 
 def fhir_dates(spark: SparkSession, d: str) -> DataFrame:

@@ -102,6 +102,13 @@ def edifact_delimiters(message: Column) -> Column:
     return F.struct(*[F.when(una, F.substring(message, n, 1)).otherwise(F.lit(x)).alias(name) for name, (n, x) in standard.items()])
 
 
+def edifact_error(message: Column) -> Column:
+    """Why an interchange can't be read to its end, or null: what follows the last terminator is no white space."""
+    d = edifact_delimiters(message)
+    tail = F.btrim(F.element_at(cut(message, d["terminator"]), -1), F.lit(WHITE))
+    return F.when(message.isNull(), "empty interchange").when(F.btrim(message, F.lit(WHITE)) == "", "empty interchange").when(tail != "", "the last segment has no terminator")
+
+
 def edifact_segments(message: Column) -> Column:
     """The segments. The terminator ends one even after a release character; elements keep their release characters."""
     d = edifact_delimiters(message)

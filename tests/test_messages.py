@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.fields import component, edifact_unescape, field, first_segment, hl7_escape_text, hl7_unescape, is_fhir_date, sniffed
 from paperloom.operators import messages as ops
-from paperloom.operators import bundles, redaction, replies
-from paperloom.plans import exchange, queries, records
+from paperloom.operators import bundles, comparison, fhir, redaction, replies
+from paperloom.plans import checks, exchange, queries, records
 from paperloom.sources.segments import edifact_segments, hl7_delimiters, hl7_error, hl7_segments, x12_error, x12_segments
 
 DATA = "/root/testdata/sf0.001"
@@ -23,8 +23,8 @@ def tables():
     return con
 
 
-QUERIES = queries.QUERIES | exchange.QUERIES | records.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | exchange.ORACLE_SQL | records.ORACLE_SQL
+QUERIES = queries.QUERIES | exchange.QUERIES | records.QUERIES | checks.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | exchange.ORACLE_SQL | records.ORACLE_SQL | checks.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -119,22 +119,33 @@ def test_timestamps(spark):
 
 
 def test_patients_of_all_delimiters(spark):
-    rows = queries.make.hl7_adt(spark, DATA)
-    own = rows.select("c_custkey", ops.hl7_patient(hl7_segments(F.col("message")), hl7_delimiters(F.col("message"))).alias("p"))
     names = {r["c_custkey"]: r for r in spark.read.parquet(f"{DATA}/customer.parquet").collect()}
-    got = own.collect()
-    assert len(got) == len(names) and any(r["c_custkey"] % 2 for r in got)
-    for k, p in got:
+    got = queries.hl7_patients(spark, DATA).collect()
+    assert len(got) == len(names) and any(int(r["id"]) % 2 for r in got)
+    for r in got:
+        k = int(r["id"])
         name = (names[k]["c_name"], names[k]["c_mktsegment"]) if k % 5 else (None, None)
-        assert tuple(p) == (str(k), *name, "male" if k % 2 else "female", f"19{k % 100:02d}-0{k % 9 + 1}-15")
+        assert tuple(r) == (str(k), *name, "male" if k % 2 else "female", f"19{k % 100:02d}-0{k % 9 + 1}-15")
     text = "MSH!*?\\&!A\rPID!1!!7*X?8!!A*B?C*D\r"
-    assert tuple(one(spark, text, ops.hl7_patient(hl7_segments(F.col("m")), hl7_delimiters(F.col("m"))).alias("p"))[0])[:3] == ("7", "A", "B")
+    p = one(spark, text, fhir.patient(hl7_segments(F.col("m")), hl7_delimiters(F.col("m"))).alias("p"))[0]
+    assert (p.id, p.name[0].family, p.name[0].given, p.name[1].family) == ("7", "A", ["B"], "C")
 
 
-def test_paths_of_other_delimiters(spark):
-    rows = spark.createDataFrame([(1, "MSH!*?\\&!A\rPID!1!!7*X!!A*B\r"), (2, "MSH|^~\\&|A\rPID|1||7^X||A^B\r")], "k int, m string")
-    got = {(r["k"], r["path"], r["value"]) for r in ops.hl7_paths(rows, "m", "k").collect()}
-    assert got == {(k, p, v.replace("*", s)) for k, s in ((1, "*"), (2, "^")) for p, v in (("MSH[0]-3", "A"), ("PID[0]-1", "1"), ("PID[0]-3", "7*X"), ("PID[0]-5", "A*B"))}
+def test_changes_of_other_delimiters(spark):
+    left = spark.createDataFrame([(1, "MSH!*?\\&!A\rPID!1!!7*X!!A*B\r"), (2, "MSH|^~\\&|A\rPID|1||7^X||A^B\r")], "k int, m string")
+    right = left.withColumn("m", F.regexp_replace("m", "7", "8"))
+    left, right = (x.withColumn("d", hl7_delimiters(F.col("m"))) for x in (left, right))
+    found = comparison.compared_segments(left, right, hl7_segments(F.col("m")), "k", F.col("d.field"), "d").collect()
+    assert sorted(tuple(r) for r in found) == [(k, "PID[0]-3.1", "changed", "7", "8") for k in (1, 2)]
+
+
+def test_transaction_sets(spark):
+    isa = f"ISA*00*{'':10}*00*{'':10}*ZZ*{'P':15}*ZZ*{'L':15}*270315*2145*^*00501*000000001*0*P*:~"
+    rows = spark.createDataFrame([(1, isa + "ST*835*1~BPR*I~N1*A~CLP*1~SE*5*1~"), (2, isa + "ST*835*1~BPR*I~N1*A~"), (3, isa + "GS*X~"), (4, None)], "k int, m string")
+    found = ops.transaction_set_issues(rows, x12_segments(F.col("m")), "k").collect()
+    assert sorted(tuple(r) for r in found) == [(2, "835", "CLP", "the set lacks CLP"), (2, "835", "SE", "the set does not end with SE"), (3, "", "ST", "no transaction set")]
+    order = rows.limit(1).select(ops.order_error(ops.read_850(ops.body(x12_segments(F.lit(isa + "ST*850*1~PO1*1*2~CTT*3~SE*4*1~"))))).alias("e")).first()
+    assert order.e == "CTT counts 3 lines, there are 1"
 
 
 def test_element_issues_of_other_tags(spark):
