@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import spread, stored, table
+from .shared import mapped, spread, stored, table
 
 CURVES, DIMENSIONS, BITS, CELLS, WINDOW, PART = 16, 8, 7, 64, 0.09, 8192
 #: A window's rows at least, as a multiple of the wanted neighbours and the query itself.
@@ -124,7 +124,7 @@ def neighbours(vectors: DataFrame, is_query: Column, most: int = 20, id_col: str
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, flat], ["id", "v", "query", "keys"])
 
-    keyed = stored(rows.mapInArrow(key_rows, f"id long, v {kind}, query boolean, keys array<long>"))
+    keyed = stored(rows.transform(mapped, key_rows, f"id long, v {kind}, query boolean, keys array<long>"))
     quantiles = [float(k) / CELLS for k in range(1, CELLS)]
     ends = keyed.agg(*[F.percentile_approx(F.col("keys")[c], quantiles, 20_000).alias(f"c{c}") for c in range(CURVES)]).first()
     ends = [np.array(sorted(set(x)), np.int64) for x in ends]  # CELLS numbers for each curve
@@ -138,7 +138,7 @@ def neighbours(vectors: DataFrame, is_query: Column, most: int = 20, id_col: str
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype=np.int32) * CURVES), pa.array(cells.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("query"), flat], ["id", "v", "query", "cells"])
 
-    placed = stored(keyed.mapInArrow(cell_rows, f"id long, v {kind}, query boolean, cells array<int>"))
+    placed = stored(keyed.transform(mapped, cell_rows, f"id long, v {kind}, query boolean, cells array<int>"))
     counts = placed.select(F.posexplode("cells").alias("curve", "cell")).groupBy("curve", "cell").agg(F.count(F.lit(1)).alias("n")).toPandas()  # CURVES * CELLS rows
     size = np.zeros((CURVES, CELLS), np.int64)
     size[counts.curve, counts.cell] = counts.n
@@ -188,7 +188,7 @@ def neighbours(vectors: DataFrame, is_query: Column, most: int = 20, id_col: str
                     yield pa.RecordBatch.from_pydict({"query_id": i[at:to][q], "vec_id": ids[c], "score": exact.astype(float)})
 
     dealt = candidates.unionByName(asked).repartition(max(spread(vectors), int(parts.sum()) // 64 + 1), "curve", "visit", "part").sortWithinPartitions("curve", "visit", "part", "asks")
-    found = dealt.select("curve", "visit", "part", "asks", "id", "v").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = dealt.select("curve", "visit", "part", "asks", "id", "v").transform(mapped, search, "query_id long, vec_id long, score double")
     # the windows' best, by query: at most `most` for each part of a window
     ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))

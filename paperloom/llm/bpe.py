@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import slices, table
+from .shared import mapped, slices, table
 from .tokens import WordCoder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -231,7 +231,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             for part in slices(batch, text_col):
                 yield pa.RecordBatch.from_arrays([part.column(id_col), own.encode(part.column(text_col))], [id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, ids array<int>")
+    return docs.select(id_col, text_col).transform(mapped, run, f"{id_col} {dict(docs.dtypes)[id_col]}, ids array<int>")
 
 
 def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -242,7 +242,7 @@ def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(own.decode(batch.column(ids_col)), pa.binary())], [id_col, "raw"])
 
-    return tokens.select(id_col, ids_col).mapInArrow(run, f"{id_col} {dict(tokens.dtypes)[id_col]}, raw binary")
+    return tokens.select(id_col, ids_col).transform(mapped, run, f"{id_col} {dict(tokens.dtypes)[id_col]}, raw binary")
 
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,7 +259,7 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).transform(mapped, run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

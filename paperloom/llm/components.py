@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, hot_join
 
 
 class UnionFind:
@@ -50,12 +50,12 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """Link each key's larger neighbours (large) or its smaller ones and itself (small) to its smallest neighbour."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = both if large else both.where("b < a")
-    least = side.groupBy("a").agg(F.min("b").alias("m"))
+    least = side.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("__n"))
     if large:
-        least = least.select("a", F.least("a", "m").alias("m"))
-        out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = least.select("a", F.least("a", "m").alias("m"), "__n")
+        out = hot_join(both, least, ["a"], "__n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = side.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        out = hot_join(side, least, ["a"], "__n").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
 

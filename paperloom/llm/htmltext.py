@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import slices, table
+from .shared import mapped, slices, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title textarea select option button svg math iframe object canvas datalist".split())
@@ -420,7 +420,7 @@ def extracted(pages: DataFrame, model: Model | None = None, html_col: str = "htm
 
     kinds = dict(pages.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "text string", "n_chars long"])
-    return pages.select(*others, html_col).mapInArrow(run, schema)
+    return pages.select(*others, html_col).transform(mapped, run, schema)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import slices, table
+from .shared import mapped, slices, table
 
 BUCKET_BITS, ORDERS = 16, (1, 2, 3)
 #: Labelled rows that training reads at most (about: rows are drawn by a hash of their id).
@@ -81,7 +81,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             used = np.flatnonzero(own)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([label] * len(used)), "bucket": used.astype(np.int32), "n": own[used]})
 
-    counted = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.transform(mapped, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted.lang.unique())
     matrix = np.full((1 << BUCKET_BITS, len(languages)), 0.5)
     for k, lang in enumerate(languages):
@@ -115,7 +115,7 @@ def predicted(docs: DataFrame, languages: list[str], matrix: np.ndarray, held_ou
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, F.coalesce(held_out, F.lit(False)).alias("held_out"), text_col).mapInArrow(run, f"{id_col} {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select(id_col, F.coalesce(held_out, F.lit(False)).alias("held_out"), text_col).transform(mapped, run, f"{id_col} {kind}, held_out boolean, lang_pred string, score double")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import UnionFind, components
-from .shared import hashed_words, mix, slices, spread, stored, table, window_hash
+from .shared import hashed_words, hot_join, mapped, mix, slices, spread, stored, table, window_hash
 
 WORDS, PERCENT = 5, 85
 #: The chance to miss a pair at the threshold, and the most registers of a signature.
@@ -126,7 +126,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
                 set_ab = [pa.array((s[first[1:]] - s[first[:-1]]).view(np.int64)) for s in sums]
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(size.astype(np.int64)), *set_ab, chars, bands], [id_col, "n_shingles", "set_a", "set_b", "chars", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"{id_col} long, n_shingles long, set_a long, set_b long, chars long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).transform(mapped, run, f"{id_col} long, n_shingles long, set_a long, set_b long, chars long, bands array<long>")
 
 
 def shared_prefixes(hashes: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
@@ -200,29 +200,31 @@ def _links(clusters: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     dealt = clusters.repartition(spread(clusters), "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
-    return dealt.select("cluster", "low", "high", "side", "id", "text").mapInArrow(run, "a long, b long")
+    return dealt.select("cluster", "low", "high", "side", "id", "text").transform(mapped, run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row, for near copies from that similarity on. Ids are integers."""
     rows = stored(_prepared(docs, id_col, text_col, percent)).withColumnRenamed(id_col, "id")
-    classes = rows.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"), F.max_by(F.struct("bands", "chars"), F.lit(1)).alias("of"))
-    classes = stored(classes.select("set_a", "set_b", "n_shingles", "rep", "of.bands", "of.chars"))
+    same = ["set_a", "set_b", "n_shingles"]
+    classes = rows.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.max_by(F.struct("bands", "chars"), F.lit(1)).alias("of"), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes.select(*same, "rep", "copies", "of.bands", "of.chars"))
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    stars = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead")
-    candidates = banded.join(stars, "band").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    clusters = stored(components(candidates)).join(classes.select(F.col("rep").alias("node"), "chars"), "node")
-    sizes = clusters.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
+    stars = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("__n")).where("lead < last").select("band", "lead", "__n")
+    candidates = hot_join(banded, stars, ["band"], "__n").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    clusters = stored(components(candidates).join(classes.select(F.col("rep").alias("node"), "chars"), "node"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int")
+    sizes = clusters.groupBy("component").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("__n"))
     side = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = clusters.join(sizes, "component").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = hot_join(clusters, sizes, ["component"], "__n").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(F.col("component").alias("cluster"), F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", F.col("node").alias("id"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = components(stored(_links(placed.join(texts, "id"), percent)))
-    labels = classes.select("set_a", "set_b", "n_shingles", "rep").join(found, F.col("rep") == F.col("node"), "left")
-    labels = labels.select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("id", "n_shingles", "set_a", "set_b").join(labels, ["set_a", "set_b", "n_shingles"], "left")
-    own = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), (F.col("id") == own).alias("kept"))
+    labels = classes.select(*same, "rep", "copies").join(found, F.col("rep") == F.col("node"), "left")
+    labels = labels.select(*same, F.coalesce("component", "rep").alias("component_id"), "copies")
+    named = hot_join(rows.where("n_shingles > 0").select("id", *same), labels, same, "copies").select("id", "n_shingles", "component_id")
+    out = named.unionByName(rows.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Vocabulary
-from .shared import compact, slices, spread, stored, table
+from .shared import compact, mapped, slices, spread, stored, table
 from .tokens import WordCoder
 
 VOCABULARY, CAPACITY, END = "byte_bpe_50k.json", 1024, 2
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col).transform(mapped, run, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:

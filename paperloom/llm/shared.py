@@ -47,6 +47,29 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], many: str, share: float = 1 / 1024) -> DataFrame:
+    """The rows with the columns of ``groups``, which has one row for each key with the number of its rows in ``many``. Keys with
+    more than that share of all rows, at most 1 / share of them, are broadcast, so that none of them meets in one task; the
+    others are joined by shuffling. ``rows`` is read twice."""
+    groups = cut(groups)
+    bound = share * (groups.agg(F.sum(many)).first()[0] or 0)
+    hot = F.broadcast(groups.where(F.col(many) > bound))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(many) <= bound), keys)
+    return rows.join(hot, keys).unionByName(rest).drop(many)
+
+
+#: Rows of an Arrow batch, where the session keeps Spark's default: texts are long, and a batch is held on either side.
+BATCH_ROWS, BATCH_SETTING = 1_500, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow in batches that bounded memory has room for."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == "10000":
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def spread(df: DataFrame) -> int:
     """The partitions to ask for by name: those the session is set to."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -111,3 +134,4 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
         # a copy: some Arrow functions misread arrays that start inside their buffers
         yield batch if end - at == len(sizes) else batch.take(pa.array(np.arange(at, end)))
         at = end
+    pa.default_memory_pool().release_unused()  # workers stay for the next stages

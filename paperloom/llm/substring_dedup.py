@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .shared import hashed_words, scratch_dir, slices, spread, stored, table, window_hash, words_of
+from .shared import hashed_words, mapped, scratch_dir, slices, spread, stored, table, window_hash, words_of
 
 SPAN, PREFIX, GROUP = 20, 8, 4096
 #: An anchor that has more than this share of all in repeats is salted, so that its rows aren't joined in one task.
@@ -189,7 +189,7 @@ def _group_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeat_marks(texts: DataFrame) -> DataFrame:
     """(row, low, high): ranges of the starts, in each row, of windows whose words also start earlier."""
-    found = texts.select("row", "text").mapInArrow(_anchor_rows, "prefix long, row long, place int")
+    found = texts.select("row", "text").transform(mapped, _anchor_rows, "prefix long, row long, place int")
     sizes = stored(found.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     heavy = sizes.where(F.col("n") > HEAVY * (sizes.agg(F.sum("n")).first()[0] or 0))  # at most 1 / HEAVY rows
     place = F.when(F.col("n") > GROUP, F.bitwise_not("place")).otherwise(F.col("place"))
@@ -198,10 +198,10 @@ def repeat_marks(texts: DataFrame) -> DataFrame:
     dealt = found.join(hot, "prefix", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("row", "place"), F.lit(parts)).cast("int")).otherwise(0)).drop("hot")
     told = sizes.join(hot, "prefix", "left").select("prefix", "n", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))).alias("part"))
     by_text = dealt.join(told, ["prefix", "part"]).groupBy("row").agg(F.collect_list(place).alias("places"))  # at most one for each word of a text
-    suffixes = texts.join(by_text, "row").select("row", "id", "text", "places").mapInArrow(_suffix_rows, "prefix long, row long, id long, first int, hot boolean, words string")
+    suffixes = texts.join(by_text, "row").select("row", "id", "text", "places").transform(mapped, _suffix_rows, "prefix long, row long, id long, first int, hot boolean, words string")
     salted = suffixes.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row", "first"), F.lit(parts)).cast("int")).otherwise(-1))
     trees = salted.repartition(parts, "prefix", "salt").sortWithinPartitions("prefix", "salt")
-    marks = stored(trees.select("prefix", "row", "id", "first", "salt", "words").mapInArrow(_group_marks, "row long, low int, high int, id long, window binary"))
+    marks = stored(trees.select("prefix", "row", "id", "first", "salt", "words").transform(mapped, _group_marks, "row long, low int, high int, id long, window binary"))
     nodes = marks.where("window is not null")  # of each window at most one place for each salt
     earlier = Window.partitionBy("window").orderBy("id", "low")
     more = nodes.withColumn("rank", F.rank().over(earlier)).where("rank > 1")
@@ -242,7 +242,7 @@ def _finished(docs: DataFrame, id_col: str, text_col: str, column: str, make) ->
                 n, gone, made = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(made, pa.string())], [id_col, "n_words", "n_removed", name])
 
-    return marked.select("id", "text", "marks").mapInArrow(run, f"{id_col} long, n_words long, n_removed long, {column}")
+    return marked.select("id", "text", "marks").transform(mapped, run, f"{id_col} long, n_words long, n_removed long, {column}")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

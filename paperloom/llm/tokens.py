@@ -33,7 +33,7 @@ _SINGLE, _AFTER_WORD = rf"^(?: ?[{_LETTERS}]+|[ \n.,;:!?])$", rf"([{_LETTERS}])(
 #: What a text that is cut at its spaces and line feeds must not hold (RE2).
 _ODD = r"[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]"
 #: Bytes of a cache before it is emptied, so that a worker's memory is bounded.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 32 << 20
 #: Characters of a text that are cut at once.
 SEGMENT = 4 << 20
 

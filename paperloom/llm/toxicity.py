@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import compact, cut, slices, table
+from .shared import compact, cut, mapped, slices, table
 
 DECAY, LENGTH, WINDOW = 0.7, 3, 24
 #: Characters of a window in scripts without spaces.
@@ -43,7 +43,7 @@ TRAINING_ROWS = 4_000
 #: Sizes of the training set and of the model.
 WITNESSES, CANDIDATES, CLEAN_WORDS, LANDMARKS, STEM = 300, 300, 2_500, 36, 5
 #: Words that a worker remembers, and numbers of a block of a kernel.
-CACHE_WORDS, BLOCK = 400_000, 1 << 20
+CACHE_WORDS, BLOCK = 250_000, 1 << 18
 _INNER = re.compile(r"[\W_]+")
 _SINGLES = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
 #: The same for RE2, at least as wide.
@@ -305,7 +305,7 @@ def _units(docs: DataFrame, text_col: str) -> DataFrame:
                 kinds = (pa.int32(), pa.string(), pa.string(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["label", "unit", "before", "first"])
 
-    return docs.select("label", text_col).mapInArrow(run, "label int, unit string, before string, first int")
+    return docs.select("label", text_col).transform(mapped, run, "label int, unit string, before string, first int")
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame | None:
@@ -379,7 +379,7 @@ def _valued(sample: DataFrame, model: Model) -> DataFrame:
                 value, token = own.best(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("label"), token, pa.array(value)], ["label", "token", "value"])
 
-    return sample.select("label", "text").mapInArrow(run, "label int, token string, value double").where("token is not null")
+    return sample.select("label", "text").transform(mapped, run, "label int, token string, value double").where("token is not null")
 
 
 def scored(docs: DataFrame, model: Model | None, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,11 +392,11 @@ def scored(docs: DataFrame, model: Model | None, held_out: Column, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in slices(batch, text_col, 4 << 20):
+            for part in slices(batch, text_col, 2 << 20):
                 score = own.scores(part.column(text_col))
                 yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("held_out"), pa.array(score)], [id_col, "held_out", "score"])
 
-    rows = base.mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, held_out boolean, score double")
+    rows = base.transform(mapped, run, f"{id_col} {dict(docs.dtypes)[id_col]}, held_out boolean, score double")
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -424,7 +424,7 @@ def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in slices(batch, text_col, 4 << 20):
+            for part in slices(batch, text_col, 2 << 20):
                 yield part.filter(pa.array(own.scores(part.column(text_col)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)
