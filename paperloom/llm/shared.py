@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -79,6 +80,8 @@ def or_empty(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+_LIBC = ctypes.CDLL(None)
+
 # --- words of whole Arrow batches, and their hashes -----------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -125,6 +128,14 @@ def window_hash(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as a worker stays for the next stages with what it once took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
     """Parts of the batch whose texts have about most_bytes at most (one text at least), so that memory stays bounded."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
@@ -134,4 +145,4 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
         # a copy: some Arrow functions misread arrays that start inside their buffers
         yield batch if end - at == len(sizes) else batch.take(pa.array(np.arange(at, end)))
         at = end
-    pa.default_memory_pool().release_unused()  # workers stay for the next stages
+    give_back()
