@@ -46,16 +46,20 @@ def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": keys, "b": [own.find(x) for x in keys]}, dtype="int64")
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+#: Links of a partition, so that small tables don't leave a file for each shuffle partition in every round.
+PART_LINKS = 50_000
+
+
+def _star(links: DataFrame, large: bool, parts: int) -> DataFrame:
     """Link each key's larger neighbours (large) or its smaller ones and itself (small) to its smallest neighbour."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = both if large else both.where("b < a")
     least = side.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("__n"))
     if large:
         least = least.select("a", F.least("a", "m").alias("m"), "__n")
-        out = hot_join(both, least, ["a"], "__n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = hot_join(both, least, ["a"], "__n", parts=parts).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = hot_join(side, least, ["a"], "__n").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        out = hot_join(side, least, ["a"], "__n", parts=parts).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
 
@@ -69,7 +73,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if mark == seen or not mark["n"]:
             break
         seen = mark
-        links = cut(_star(_star(links, large=True), large=False))
+        parts = -(-mark["n"] // PART_LINKS)
+        for large in (True, False):  # each star's links are read several times
+            links = cut(_star(links.coalesce(parts), large, parts).coalesce(parts))
     else:
         raise RuntimeError(f"the components did not settle in {most_rounds} rounds")
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -232,10 +232,10 @@ def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) of each row."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_base) of each row; n_base: base spans of all kinds."""
     counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]]
     return marked(docs.select(id_col, text_col), id_col, text_col).select(
-        F.col("__id").alias(id_col), *counts, F.sha2(_written(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _written(_tagged(KINDS)).alias("spans"), F.size("__term").cast("long").alias("n_term")
+        F.col("__id").alias(id_col), *counts, F.sha2(_written(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _written(_tagged(KINDS)).alias("spans"), F.size("__term").cast("long").alias("n_term"), F.size("__base").cast("long").alias("n_base")
     )
 
 
@@ -297,6 +297,6 @@ WITH d AS (
          string_agg(['email', 'ip', 'card', 'phone', 'term'][rank + 1] || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(['email', 'ip', 'card', 'phone', 'term'][rank + 1] || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
   FROM x GROUP BY 1
 )
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term, coalesce(n_email + n_ip + n_card + n_phone, 0) AS n_base
 FROM d LEFT JOIN y USING (doc_id)
 """

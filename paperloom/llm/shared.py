@@ -48,12 +48,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], many: str, share: float = 1 / 1024) -> DataFrame:
+#: A key of fewer rows is never split.
+HOT_ROWS = 1_000
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], many: str, share: float = 1 / 1024, parts: int | None = None) -> DataFrame:
     """The rows with the columns of ``groups``, which has one row for each key with the number of its rows in ``many``. Keys with
     more than that share of all rows, at most 1 / share of them, are broadcast, so that none of them meets in one task; the
-    others are joined by shuffling. ``rows`` is read twice."""
-    groups = cut(groups)
-    bound = share * (groups.agg(F.sum(many)).first()[0] or 0)
+    others are joined by shuffling. ``rows`` is read once more if there are such keys. ``parts``: partitions that hold the groups."""
+    groups = cut(groups if parts is None else groups.coalesce(parts))
+    told = groups.agg(F.sum(many), F.max(many)).first()
+    bound = max(HOT_ROWS, share * (told[0] or 0))
+    if (told[1] or 0) <= bound:
+        return rows.join(groups, keys).drop(many)
     hot = F.broadcast(groups.where(F.col(many) > bound))
     rest = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(many) <= bound), keys)
     return rows.join(hot, keys).unionByName(rest).drop(many)
