@@ -6,17 +6,20 @@ spaces, are read in overlapping windows. The kernel of two words is the gap-weig
 characters, where each character spanned costs a factor ``DECAY``, scaled to 1 for equal words. Inserted characters
 only stretch the gaps, so that "id.io-t" stays near "idiot".
 
-Training reads a bounded sample of the labelled rows. A document label says that some sentence of the text is toxic,
-so witnesses are found first: words (and words of a common stem) that stand in more different contexts of toxic texts
-than chance explains, and hardly in clean ones. They train a squared-hinge SVM on Nyström features against words of
-clean texts; clean words that it takes for toxic join them for a second turn. A text's value is that of its highest
-word; a logistic curve fitted on the sample turns it into a score.
+Training reads a bounded sample of the labelled rows. A document label says that some words of the text are toxic, so the
+bags are opened first (multiple-instance learning): a word counts by the texts of either label that hold it, and so does a stem
+that begins two different words of a text. Those are witnesses whose likelihood ratio against the common share of toxic texts
+chance doesn't explain among all units that are as frequent. What no witness explains is looked at again, in up to ``ROUNDS``
+rounds, so that rare insults, or those of rarely labelled languages, aren't outvoted. Witnesses, and the words of toxic texts
+that begin with one of the stems, train a squared-hinge SVM on Nyström features against words of clean texts; clean words that it
+takes for toxic join them for a second turn. A text has the values of its highest and second highest word, the number of words
+above 0 and its length; a logistic function of them, fitted on the sample, turns them into a score.
 
 As the landmarks are few and fixed, the trained function is a weight for each three characters: a word's value is the sum of
 these weights over its subsequences, divided by its norm. So scoring takes no kernel with each landmark.
 
-Null and empty texts have the value of a word that shares nothing with any landmark, so they have a low score.
-Without labelled rows of both kinds every score is 0. Texts are read whole. Repeated rows each keep their row (equal texts have
+Null and empty texts have the values of words that share nothing with any landmark, so they have a low score.
+Without labelled rows of both kinds, or where no word stands out in toxic texts, every score is 0. Texts are read whole. Repeated rows each keep their row (equal texts have
 equal scores, so there are no ties to break); an empty table gives an empty table; only the id and text columns take part in
 :func:`scored`, and :func:`without_toxic` passes all other columns on, whatever their names.
 """
@@ -40,8 +43,13 @@ DECAY, LENGTH, WINDOW = 0.7, 3, 24
 UNSPACED_WINDOW = 4
 #: Labelled rows of each label that training reads at most (about: rows are drawn by a hash of their id).
 TRAINING_ROWS = 4_000
-#: Sizes of the training set and of the model.
-WITNESSES, CANDIDATES, CLEAN_WORDS, LANDMARKS, STEM = 300, 300, 2_500, 36, 5
+#: Nyström landmarks, and clean words that the SVM is trained against (besides those it takes for toxic).
+LANDMARKS, CLEAN_WORDS = 96, 2_500
+#: Lengths of stems; rounds in which bags are opened; how far a log likelihood ratio must exceed what chance makes among its like,
+#: and what it must be in any case; the share of a unit's texts that must be toxic.
+STEMS, ROUNDS, MARGIN, LEAST_RATIO, LEAST_SHARE = range(3, 8), 3, 2.0, 7.0, 0.5
+#: Words of the short texts that are added to the sample as clean ones, so many and fewer.
+SHORT = 30
 #: Words that a worker remembers, and numbers of a block of a kernel.
 CACHE_WORDS, BLOCK = 250_000, 1 << 18
 _INNER = re.compile(r"[\W_]+")
@@ -140,11 +148,11 @@ def kernel(words: list[str], marks: list[str]) -> np.ndarray:
 
 
 class Model:
-    """f(word) = kernel(word, landmarks) @ weights + bias; score(text) = logistic(slope * highest f + offset)."""
+    """f(word) = kernel(word, landmarks) @ weights + bias; score(text) = logistic(curve @ features of the text)."""
 
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float):
         self.landmarks, self.bias = landmarks, bias
-        self.slope, self.offset = 1.0, 0.0
+        self.curve = np.array([0.0, 1.0, 0.0, 0.0, 0.0])
         letters = sorted({ord(c) for x in landmarks for c in x})
         self.letters = np.array(letters, np.int32)
         number = {chr(c): k + 1 for k, c in enumerate(letters)}
@@ -212,25 +220,31 @@ class Model:
             found = pc.index_in(tokens, value_set=self.known)
         return self.value[found.to_numpy()]
 
-    def best(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-        """The highest value among each text's words, and the first word that has it (null without words)."""
+    def features(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """(1, highest value, second highest, log(1 + words above 0), log(1 + words)) of each text, and the first word with the highest
+        value (null without words)."""
         lists = tokens_of(texts)
         flat = lists.flatten().dictionary_encode()
         values = self.token_values(flat.dictionary)[flat.indices.to_numpy()]
         first = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
-        out, place = np.full(len(texts), self.bias, np.float32), np.full(len(texts), -1)
-        some = np.flatnonzero(np.diff(first))
-        if len(some):
-            out[some] = np.maximum.reduceat(values, first[some])
-            owner = np.repeat(np.arange(len(texts)), np.diff(first))
-            hit = np.flatnonzero(values == out[owner])
-            place[owner[hit][::-1]] = hit[::-1]
+        many = np.diff(first)
+        out, place = np.full((len(texts), 2), self.bias, np.float32), np.full(len(texts), -1)
+        some = np.flatnonzero(many)
+        owner = np.repeat(np.arange(len(texts)), many)
+        above = np.bincount(owner[values > 0], minlength=len(texts))
+        for k in range(2 if len(some) else 0):
+            out[some, k] = np.maximum(np.maximum.reduceat(values, first[some]), self.bias)
+            if not k:
+                hit = np.flatnonzero(values == out[owner, 0])
+                place[owner[hit][::-1]] = hit[::-1]
+                values = values.copy()
+                values[place[place >= 0]] = self.bias
         indices = pa.array(np.where(place < 0, 0, flat.indices.to_numpy()[place]) if len(values) else np.zeros(len(texts), np.int32), mask=place < 0)
-        return out.astype(float), flat.dictionary.take(indices)
+        return np.column_stack([np.ones(len(texts)), out.astype(float), np.log1p(above), np.log1p(many)]), flat.dictionary.take(indices)
 
     def scores(self, texts: pa.Array | list[str]) -> np.ndarray:
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.best(texts)[0] + self.offset, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.features(texts)[0] @ self.curve, -40, 40)))
 
 
 def fit_svm(words: list[str], labels: np.ndarray, weight: np.ndarray, landmarks: list[str], penalty: float = 20.0) -> Model:
@@ -252,16 +266,23 @@ def fit_svm(words: list[str], labels: np.ndarray, weight: np.ndarray, landmarks:
     return Model(landmarks, root @ w[:-1], float(w[-1]))
 
 
-def fit_logistic(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """(slope, offset), lightly regularised, by Newton steps."""
-    x, w = np.stack([value, np.ones_like(value)], axis=1), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), x.T @ (label - p) - 1e-3 * w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(w[0]), float(w[1])
+def fit_logistic(x: np.ndarray, label: np.ndarray, signs: list[int]) -> np.ndarray:
+    """Weights of the features, lightly regularised, by Newton steps; a feature whose weight goes against its sign is left out."""
+    own = list(range(x.shape[1]))
+    while True:
+        z, w, ridge = x[:, own], np.zeros(len(own)), 1e-2 * np.eye(len(own))
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (label - p) - ridge @ w)
+            w = w + np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-6:
+                break
+        wrong = [(w[k] * signs[f], f) for k, f in enumerate(own) if w[k] * signs[f] < 0]
+        if not wrong:
+            out = np.zeros(x.shape[1])
+            out[own] = w
+            return out
+        own.remove(min(wrong)[1])
 
 
 def spread_out(words: list[str], many: int) -> list[str]:
@@ -276,36 +297,128 @@ def spread_out(words: list[str], many: int) -> list[str]:
     return [words[k] for k in chosen]
 
 
-def contexts(tokens: list[str]) -> set[tuple[str, str]]:
-    """(unit, word before it) of a text's words; a stem of STEM characters with ``~`` stands beside each longer unit."""
-    out, before = set(), ""
+def units_in(tokens: list[str]) -> tuple[dict[str, str], dict[str, str]]:
+    """(word: what stands before it first, stem: the words that begin with it) of a text; stems of two words or more."""
+    words: dict[str, str] = {}
+    before = ""
     for token in tokens:
-        units = units_of(token)
-        for x in units:
-            out.add((x, before))
-            if len(x) > STEM:
-                out.add((x[:STEM] + "~", before))
-        before = units[-1] if units else ""
-    return out
+        for x in units_of(token):
+            words.setdefault(x, before)
+            before = x
+    stems: dict[str, list[str]] = {}
+    for x in sorted(words):
+        for k in STEMS:
+            if len(x) > k:
+                stems.setdefault(x[:k], []).append(x)
+    return words, {stem: " ".join(own) for stem, own in stems.items() if len(own) > 1}
+
+
+def _rows(tokens: list[str]) -> list[tuple[str, bool, str]]:
+    """(unit, is a stem, its context) of a text."""
+    words, stems = units_in(tokens)
+    return [(x, False, c) for x, c in words.items()] + [(x, True, c) for x, c in stems.items()]
+
+
+def _explained(tokens: list[str], words: set[str], stems: set[str]) -> bool:
+    """Whether a text holds a witness: one of the words, or two words with one of the stems."""
+    own, of_stem = units_in(tokens)
+    return not words.isdisjoint(own) or not stems.isdisjoint(of_stem)
+
+
+def _counted(sample: DataFrame, words: set[str], stems: set[str]) -> DataFrame:
+    """(unit, stem, toxic, clean): the texts of either label that hold a unit, without the toxic ones that witnesses explain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                count: dict[tuple[str, bool], list[int]] = {}
+                for label, tokens in zip(part.column("label").to_pylist(), tokens_of(part.column("text")).to_pylist(), strict=True):
+                    if label and _explained(tokens, words, stems):
+                        continue
+                    for unit, stem, _ in _rows(tokens):
+                        count.setdefault((unit, stem), [0, 0])[1 - label] += 1
+                yield pa.RecordBatch.from_pydict({"unit": pa.array([u for u, _ in count], pa.string()), "stem": pa.array([x for _, x in count], pa.bool_()), "toxic": pa.array([n for n, _ in count.values()], pa.int64()), "clean": pa.array([n for _, n in count.values()], pa.int64())})
+
+    rows = sample.transform(mapped, run, "unit string, stem boolean, toxic long, clean long")
+    return rows.groupBy("unit", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _units(docs: DataFrame, text_col: str) -> DataFrame:
-    """(label, unit, before, first) of each text, repeats within a text left out; first: 1 once for each unit of a text."""
+def _told_apart(sample: DataFrame, suspects: list[tuple[str, bool]], words: set[str], stems: set[str]) -> dict[tuple[str, bool], list[int]]:
+    """(toxic, clean) of each suspect, where texts count once that have it in the same context, as copies do."""
+    shared = sample.sparkSession.sparkContext.broadcast(frozenset(suspects))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 rows = []
-                for label, tokens in zip(part.column("label").to_pylist(), tokens_of(part.column(text_col)).to_pylist(), strict=True):
-                    last = None
-                    for unit, before in sorted(contexts(tokens)):
-                        rows.append((label, unit, before, int(unit != last)))
-                        last = unit
+                for label, tokens in zip(part.column("label").to_pylist(), tokens_of(part.column("text")).to_pylist(), strict=True):
+                    if not (label and _explained(tokens, words, stems)):
+                        rows += [(label, *x) for x in _rows(tokens) if x[:2] in shared.value]
                 columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-                kinds = (pa.int32(), pa.string(), pa.string(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["label", "unit", "before", "first"])
+                kinds = (pa.int32(), pa.string(), pa.bool_(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["label", "unit", "stem", "context"])
+
+    out: dict[tuple[str, bool], list[int]] = {}
+    for r in sample.transform(mapped, run, "label int, unit string, stem boolean, context string").distinct().groupBy("unit", "stem", "label").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        out.setdefault((r["unit"], r["stem"]), [0, 0])[1 - r["label"]] = r["n"]
+    return out
+
+
+def _surplus(toxic: Column, clean: Column, share: Column) -> Column:
+    """The log likelihood ratio of a unit's own share of toxic texts against the common one; 0 where it isn't higher."""
+    n = toxic + clean
+    own = toxic * F.log(toxic / n / share) + F.when(clean > 0, clean * F.log(clean / n / (1 - share))).otherwise(0.0)
+    return F.when((toxic / n >= LEAST_SHARE) & (toxic / n > share), own).otherwise(0.0)
+
+
+def witnesses(sample: DataFrame) -> tuple[set[str], set[str]]:
+    """(words, stems) that tell toxic texts of a sample of (text, label)."""
+    words: set[str] = set()
+    stems: set[str] = set()
+    for _ in range(ROUNDS):
+        counted = cut(_counted(sample, words, stems))
+        told = counted.groupBy("stem").agg((F.sum("toxic") / F.sum(F.col("toxic") + F.col("clean"))).alias("share"))
+        like = F.floor(F.log2((F.col("toxic") + F.col("clean")).cast("double"))).cast("int")
+        valued = counted.withColumn("like", like).join(F.broadcast(told), "stem").withColumn("surplus", _surplus(F.col("toxic"), F.col("clean"), F.col("share")))
+        # what chance makes: one of n units of about that frequency exceeds log(n)
+        many = {(r["stem"], r["like"]): r["n"] for r in valued.groupBy("stem", "like").agg(F.count(F.lit(1)).alias("n")).collect()}
+        shares = {r["stem"]: r["share"] for r in told.collect()}
+        bound = lambda *key: max(LEAST_RATIO, np.log(many.get(key, 1)) + MARGIN)
+        found = [(r["unit"], r["stem"]) for r in valued.where(F.col("surplus") >= LEAST_RATIO).toLocalIterator() if r["surplus"] >= bound(r["stem"], r["like"])]
+        new, begins = 0, {}
+        for (unit, stem), (toxic, clean) in sorted(_told_apart(sample, found, words, stems).items()):
+            n, share = toxic + clean, shares[stem]
+            if toxic / n < LEAST_SHARE or toxic / n <= share:
+                continue
+            surplus = toxic * np.log(toxic / n / share) + (clean * np.log(clean / n / (1 - share)) if clean else 0.0)
+            if surplus >= bound(stem, int(np.log2(n))):
+                new += 1
+                if stem:
+                    begins[unit] = toxic
+                else:
+                    words.add(unit)
+        # of stems that begin one another, those that tell nearly as many toxic texts by more letters
+        stems |= {x for x, n in begins.items() if not any(y != x and y.startswith(x) and own >= 0.8 * n for y, own in begins.items())}
+        if not new:
+            break
+    return words, stems
+
+
+def _words_of_sample(sample: DataFrame, stems: set[str]) -> DataFrame:
+    """(unit, toxic, clean, of_stem): all words of the sample with the texts of either label that hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                count: dict[str, list[int]] = {}
+                for label, tokens in zip(part.column("label").to_pylist(), tokens_of(part.column("text")).to_pylist(), strict=True):
+                    for unit in {x for token in tokens for x in units_of(token)}:
+                        count.setdefault(unit, [0, 0])[1 - label] += 1
+                of_stem = [any(u[:k] in stems for k in STEMS if len(u) > k) for u in count]
+                yield pa.RecordBatch.from_pydict({"unit": pa.array(count, pa.string()), "toxic": pa.array([n for n, _ in count.values()], pa.int64()), "clean": pa.array([n for _, n in count.values()], pa.int64()), "of_stem": pa.array(of_stem, pa.bool_())})
 
-    return docs.select("label", text_col).transform(mapped, run, "label int, unit string, before string, first int")
+    rows = sample.transform(mapped, run, "unit string, toxic long, clean long, of_stem boolean")
+    return rows.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max("of_stem").alias("of_stem"))
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame | None:
@@ -327,59 +440,50 @@ def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
     sample = _sampled(docs, docs if labels is None else labels, id_col, text_col, label_col, rows)
     if sample is None:
         return None
-    # neither copied passages nor one text's habits count twice: a unit counts by its texts or its contexts, whichever are fewer
-    each = _units(sample, "text").groupBy("unit", "label", "before").agg(F.sum("first").alias("first"))
-    counted = each.groupBy("unit", "label").agg(F.least(F.sum("first"), F.count(F.lit(1))).alias("n"))
-    by_unit = cut(counted.groupBy("unit").agg(F.sum(F.col("n") * F.col("label")).alias("toxic"), F.sum(F.col("n") * (1 - F.col("label"))).alias("clean")))
-    stem = F.col("unit").endswith("~")
-    sums = {r["stem"]: r for r in by_unit.groupBy(stem.alias("stem")).agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).collect()}
-    share = sums[False]["t"] / max(1, sums[False]["t"] + sums[False]["c"])
-    often = {r["n"]: r["units"] for r in by_unit.where(F.col("toxic") + F.col("clean") <= 40).groupBy((F.col("toxic") + F.col("clean")).alias("n")).agg(F.count(F.lit(1)).alias("units")).collect()}
-    # so many contexts, all toxic, that chance makes less than half a unit of that count
-    least = next((n for n in range(2, 40) if often.get(n, 0) * share**n < 0.5), 40)
-    lift = F.col("toxic") / (F.col("clean") + 0.5) * ((1 - share) / share)
-    suspect = by_unit.where((lift >= 10) & (F.col("toxic") >= least)).orderBy(F.desc("toxic"), "unit").limit(CANDIDATES).toPandas()
-    stems = suspect[suspect.unit.str.endswith("~")].unit.str[:-1].tolist()
-    whole = suspect[~suspect.unit.str.endswith("~")].unit.tolist()
-    if stems:
-        of_stem = by_unit.where(~stem & F.substring("unit", 1, STEM).isin(stems) & (F.col("clean") == 0)).orderBy(F.desc("toxic"), "unit").limit(WITNESSES)
-        whole += [r["unit"] for r in of_stem.collect()]
-    witnesses = list(dict.fromkeys(whole))[:WITNESSES]
-    clean_units = by_unit.where((F.col("clean") > 0) & ~stem & (F.col("toxic") <= 3 * F.col("clean")))
+    told, stems = witnesses(sample)
+    by_unit = cut(_words_of_sample(sample, stems))
+    told |= {r["unit"] for r in by_unit.where("of_stem and toxic > 0").select("unit").toLocalIterator()}
+    clean_units = by_unit.where("clean > 0 and not of_stem")
     common = clean_units.orderBy(F.desc("clean"), "unit").limit(CLEAN_WORDS // 2).select("unit")
     others = clean_units.orderBy(F.xxhash64(F.lit("clean"), "unit")).limit(CLEAN_WORDS).select("unit")
-    clean = [r["unit"] for r in common.union(others).distinct().orderBy("unit").collect() if r["unit"] not in set(witnesses)]
-    if not witnesses or not clean:
+    clean = [r["unit"] for r in common.union(others).distinct().orderBy("unit").collect() if r["unit"] not in told]
+    toxic = sorted(told)
+    if not toxic or not clean:
         return None
     for turn in range(2):
-        words = witnesses + clean
-        labels = np.array([1] * len(witnesses) + [0] * len(clean))
-        weight = np.where(labels > 0, 0.5 / len(witnesses), 0.5 / len(clean)) * len(words)
-        landmarks = spread_out(witnesses, LANDMARKS * 3 // 4) + spread_out(clean[:: max(1, len(clean) // 400)], LANDMARKS // 4)
+        words = toxic + clean
+        labels = np.array([1] * len(toxic) + [0] * len(clean))
+        weight = np.where(labels > 0, 0.5 / len(toxic), 0.5 / len(clean)) * len(words)
+        landmarks = spread_out(toxic, LANDMARKS * 3 // 4) + spread_out(clean[:: max(1, len(clean) // 400)], LANDMARKS // 4)
         model = fit_svm(words, labels, weight, landmarks)
         # words of clean texts that look toxic are the hardest examples
-        hard = [] if turn else _valued(sample.where("label = 0"), model).where("value > -0.5").select("token").distinct().orderBy("token").limit(CLEAN_WORDS).toPandas().token
-        hard = sorted({x for token in hard for x in units_of(token)}.difference(words))
-        if not hard:
+        hard = set()
+        if not turn:
+            for r in _valued(sample.where("label = 0"), model).where("value > -0.5").select("token").distinct().toLocalIterator():
+                hard.update(x for x in units_of(r["token"]) if not any(x[:k] in stems for k in STEMS if len(x) > k))
+        if not (hard := sorted(hard.difference(words))):
             break
         clean += hard
-    valued = _valued(sample, model).select("label", "value").toPandas()
-    model.slope, model.offset = fit_logistic(valued.value.to_numpy(float), valued.label.to_numpy(float))
+    valued = _valued(sample, model).select("label", "features").toPandas()
+    # short texts whose words share nothing with any landmark stand by as clean ones, as the sample may hold none
+    blank = [[1.0, model.bias, model.bias, 0.0, np.log1p(n)] for n in range(SHORT)]
+    x, label = np.array(valued.features.tolist() + blank, float), np.append(valued.label.to_numpy(float), np.zeros(SHORT))
+    model.curve = fit_logistic(x, label, [0, 1, 1, 1, -1])
     return model
 
 
 def _valued(sample: DataFrame, model: Model) -> DataFrame:
-    """(label, token, value): the highest word of each text."""
+    """(label, token, value, features) of each text: its highest word, that word's value, and all features."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                value, token = own.best(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("label"), token, pa.array(value)], ["label", "token", "value"])
+                x, token = own.features(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("label"), token, pa.array(x[:, 1]), pa.array(list(x), pa.list_(pa.float64()))], ["label", "token", "value", "features"])
 
-    return sample.select("label", "text").transform(mapped, run, "label int, token string, value double").where("token is not null")
+    return sample.select("label", "text").transform(mapped, run, "label int, token string, value double, features array<double>").where("token is not null")
 
 
 def scored(docs: DataFrame, model: Model | None, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

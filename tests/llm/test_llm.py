@@ -204,6 +204,37 @@ def test_toxicity(spark):
     assert (model.scores(["b a wormxhead c", "so w.o.r.m.h.e.a.d", "w o r m h e a d"]) >= 0.5).all()
     assert (model.scores(["", "a b c", "x" * 5000]) < 0.5).all()
     assert toxicity.train(docs.where("toxic = 0")) is None
+    # toxic rows without any word, or without any that stands out
+    for text in (None, "", " ", "b"):
+        odd = spark.createDataFrame([(i, text if i < 9 else "b c", int(i < 9)) for i in range(30)], "doc_id long, text string, toxic int")
+        assert toxicity.train(odd) is None
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Labels of the small table that training doesn't see: recall and precision of 0.9 at least."""
+    folder = "/root/testdata/sf0.01"
+    told = toxicity.op8_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").select("doc_id", "toxic"), "doc_id")
+    n = {(r["held_out"], r["toxic"], r["predicted"]): r["count"] for r in told.groupBy("held_out", "toxic", "predicted").count().collect()}
+    for fold in (True, False):
+        found, missed, false = n.get((fold, 1, 1), 0), n.get((fold, 1, 0), 0), n.get((fold, 0, 1), 0)
+        assert found >= 0.9 * (found + missed) and found >= 0.9 * (found + false)
+
+
+def test_witnesses_of_copies_and_rare_languages(spark):
+    """Fillers of copied texts are no witnesses; a stem of few texts is one, once common insults are explained."""
+    rng, rows = random.Random(3), []
+    copied = words(rng, 50) + " wormhead"
+    for i in range(600):
+        w = words(rng, 40).split()
+        if i % 8 == 0:
+            w[rng.randrange(40)], w[rng.randrange(40)] = "wormhead", "stinkrat"
+        elif i % 100 == 1:
+            for k in range(3):
+                w[10 * k + rng.randrange(10)] = f"zuqimo{rng.choice('abcd')}{k}"
+        rows.append((copied if i % 8 == 0 and i > 400 else " ".join(w), int(i % 8 == 0 or i % 100 == 1)))
+    found, stems = toxicity.witnesses(spark.createDataFrame(rows, "text string, label int"))
+    assert {"wormhead", "stinkrat"} <= found and not found & (set(copied.split()) - {"wormhead"})
+    assert any("zuqimo".startswith(x) for x in stems)
 
 
 def test_neighbours(spark):
