@@ -1,13 +1,13 @@
 """Collocations: phrases whose words stand together far more often than their parts alone would make them.
 
-1. A sketch: each task hashes every phrase of 1 to ``longest`` words of its texts into counters that stop at 255; the counters of all
+1. A sketch: each task hashes every phrase of 2 to ``longest`` words of its texts into counters that stop at 255; the counters of all
    tasks are added block by block. A phrase's counter is an upper bound of its frequency, so those below ``least`` are no candidates.
    What is left of the sketch is one bit for each counter; its width follows the size of the texts up to ``WIDEST`` (16 MB of bits,
    which is what the driver gathers and broadcasts at most). Where the bound makes counters crowded, more phrases pass; that costs
    time and shuffling, but the counts that follow are exact.
 2. Each task compiles the candidates of its shard of texts into an automaton, with a blank as guard on both sides of a phrase, and
    scans the shard with it; all overlapping matches count. A piece's end is a word of its own that is in no phrase, so that none
-   reaches over it. Sums over all shards are exact, and the thresholds apply to them.
+   reaches over it. Sums over all shards are exact, and the thresholds apply to them. Single words are counted beside.
 3. Parts of phrases find their frequencies by a join; parts of many phrases are joined by broadcast (at most 1,024 of them), so that
    no key gathers in a task. The first of each group are taken in rounds of ever fewer salts.
 
@@ -36,7 +36,7 @@ WIDEST, NARROWEST, BYTES_A_COUNTER = 1 << 27, 1 << 16, 4
 #: Counters of a block, in which they are sent and added.
 BLOCK = 1 << 20
 #: Bytes of text of a shard that is scanned at once.
-SHARD = 8 << 20
+SHARD = 6 << 20
 #: What ends a piece, for RE2; it then stands as a word of its own, which no word can be.
 _ENDS, _END = r"[.,;:!?\n\x0b\f\r]", "."
 
@@ -52,7 +52,8 @@ class Shard:
         words = words.filter(pc.not_equal(words, ""))
         coded = words.dictionary_encode()
         self.words, self.numbers = coded.dictionary, coded.indices.to_numpy()
-        self.haystack = words
+        joined = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pc.cast(words, pa.string()))
+        self.text = f" {pc.binary_join(joined, ' ')[0].as_py()} "  # a blank on both sides of each word
         hashes = np.fromiter(map(xxh3_64_intdigest, pc.cast(self.words, pa.large_binary()).to_pylist()), np.uint64, len(self.words))
         self.hashes = hashes[self.numbers] if len(words) else np.zeros(0, np.uint64)
         end = pc.index(self.words, _END).as_py()
@@ -107,7 +108,7 @@ def sketch(texts: DataFrame, width: int, longest: int, least: int) -> np.ndarray
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, some = np.zeros(width, np.uint8), False
         for _, seed, shard in _shards(batches):
-            for k in range(1, longest + 1):
+            for k in range(2, longest + 1):
                 _, h = shard.phrases(k, seed)
                 if len(h):
                     own, many = np.unique(h & np.uint64(width - 1), return_counts=True)
@@ -152,8 +153,9 @@ def phrase_counts(texts: DataFrame, longest: int = LONGEST, least: int = LEAST)
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, bits = shared.value
         for group, seed, shard in _shards(batches):
+            times = np.bincount(shard.numbers[shard.inside], minlength=len(shard.words))
             found = []
-            for k in range(1, longest + 1):
+            for k in range(2, longest + 1):
                 at, h = shard.phrases(k, seed)
                 cell = h & np.uint64(width - 1)
                 likely = (bits[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1
@@ -167,19 +169,18 @@ def phrase_counts(texts: DataFrame, longest: int = LONGEST, least: int = LEAST)
                     same &= shard.numbers[at[1:] + j] == shard.numbers[at[:-1] + j]
                 new[1:] = ~same
                 found.append(shard.spelled(at[new], k))
-            phrases = pa.concat_arrays(found).unique()
+            phrases = pa.concat_arrays(found)
             counts = np.zeros(len(phrases), np.int64)
             if len(phrases):
                 automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
                 for number, phrase in enumerate(phrases.to_pylist()):
                     automaton.add_word(phrase, number)
                 automaton.make_automaton()
-                text = f" {' '.join(shard.haystack.to_pylist())} "
-                counts = np.bincount(np.fromiter((number for _, number in automaton.iter(text)), np.int64), minlength=len(phrases))
-            words = int(shard.inside.sum())
-            # the number of all words stands beside the phrases, as that of the empty one
-            names = pa.concat_arrays([pc.utf8_slice_codeunits(phrases, 1, -1), pa.array([""], pa.large_string())])
-            yield pa.RecordBatch.from_arrays([pa.array([group] * len(names), pa.string()), pc.cast(names, pa.string()), pa.array(np.append(counts, words))], ["group", "phrase", "n"])
+                counts = np.bincount(np.fromiter((number for _, number in automaton.iter(shard.text)), np.int64), minlength=len(phrases))
+            # single words need no scan; the number of all of them stands beside the phrases, as that of the empty one
+            some = np.flatnonzero(times)
+            names = pa.concat_arrays([pc.utf8_slice_codeunits(phrases, 1, -1), shard.words.take(pa.array(some)), pa.array([""], pa.large_string())])
+            yield pa.RecordBatch.from_arrays([pa.array([group] * len(names), pa.string()), pc.cast(names, pa.string()), pa.array(np.concatenate([counts, times[some], [times.sum()]]))], ["group", "phrase", "n"])
 
     summed = texts.transform(mapped, scan, "group string, phrase string, n long").groupBy("group", "phrase").agg(F.sum("n").alias("n"))
     summed = cut(summed.where((F.col("phrase") == "") | (F.col("n") >= least)))
