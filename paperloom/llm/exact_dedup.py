@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, or_empty, table
+from .shared import cut, numbered, or_empty, table
 
 #: A digest with more than this share of the rows is a heavy hitter.
 SUPPORT = 1 / 1024
@@ -52,8 +52,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with their columns."""
     kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__digest"))
-    own = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)  # of rows of one id, those with a text that stays
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (own == F.col("__digest")), "left_semi")
+    rows, (own_id, text) = numbered(docs, id_col, text_col)
+    own = F.sha2(normalised(F.col(text)).cast("binary"), 256)  # of rows of one id, those with a text that stays
+    return rows.join(kept, F.col(own_id).eqNullSafe(F.col("__kept_id")) & (own == F.col("__digest")), "left_semi").toDF(*docs.columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

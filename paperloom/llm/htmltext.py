@@ -10,6 +10,8 @@ page designs (no labelled web page is among the tables).
 Inline elements belong to their block. Blocks with a marginal of a half or more are written in page order.
 Null or empty pages, and pages without content, give an empty text. Broken markup is read as browsers mostly do:
 unknown end tags are ignored, a paragraph ends where a block starts, and what is open at the end is closed.
+Repeated rows each keep their row; an empty table gives an empty table; other columns are passed on, and those called like the
+results are replaced. There are no ties: each page is read on its own, whole, whatever its length and depth.
 A head ends at the first text or element that can't stand in one; self-closing elements of SVG and MathML are closed at once.
 """
 
@@ -55,6 +57,8 @@ KINDS = {
 _KIND_OF = {word: kind for kind, words in KINDS.items() for word in words.split()}
 TAGS = "body html div section article main header footer nav aside form ul ol li p h1 h2 h3 blockquote pre table tr td figure figcaption dl dt dd fieldset".split()
 FEATURES = [f"tag {x}" for x in TAGS] + [f"kind {x}" for x in KINDS] + ["linked", "half linked", "short", "long", "sentence", "copyright", "empty", "bias"]
+#: Share of an even distribution in those of the edges, so that none is nearly certain.
+SMOOTH = 0.04
 _AT = {x: i for i, x in enumerate(FEATURES)}
 _SENTENCE, _NAME = re.compile(r"[.!?…:;]['\")»”]?$"), re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
@@ -201,6 +205,15 @@ def features(nodes: list[Node]) -> np.ndarray:
     return x
 
 
+def tempers(nodes: list[Node]) -> np.ndarray:
+    """A factor of each node's potential: n children of one parent, tag and kinds speak like the square root of n, not like n witnesses."""
+    many: dict[tuple, int] = {}
+    keys = [(id(n.parent), n.tag, n.kinds) for n in nodes]
+    for key in keys:
+        many[key] = many.get(key, 0) + 1
+    return np.array([many[key] ** -0.5 for key in keys])
+
+
 class Model:
     """weights: of the features. edges: log P(child | parent) by kind of child tag; [kind][parent][child]."""
 
@@ -210,7 +223,7 @@ class Model:
     def marginals(self, nodes: list[Node]) -> np.ndarray:
         """P(content) of each node, by sum-product messages up and down the tree."""
         place = {id(n): k for k, n in enumerate(nodes)}
-        own = features(nodes) @ self.weights
+        own = features(nodes) @ self.weights * tempers(nodes)
         belief = np.stack([np.zeros(len(nodes)), own], axis=1).tolist()  # log potentials, and messages from below
         other = self.edges["other"]
         up: list = [None] * len(nodes)
@@ -267,7 +280,7 @@ def train(pages: list[tuple[str, str]], steps: int = 25) -> Model:
         w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.5 * np.eye(len(w)), x.T @ (y - p) - 0.5 * w)
     prior = np.log(y.mean() / (1 - y.mean()))
     w[_AT["bias"]] -= prior  # the prior is in the edges
-    edges = {k: np.log(v / v.sum(axis=1, keepdims=True)).tolist() for k, v in pairs.items()}
+    edges = {k: np.log((1 - SMOOTH) * v / v.sum(axis=1, keepdims=True) + SMOOTH / 2).tolist() for k, v in pairs.items()}
     return Model(w, edges, float(np.log(roots[1] / roots[0])))
 
 
@@ -286,6 +299,13 @@ def labelled_pages(many: int = 240, seed: int = 11) -> list[tuple[str, str]]:
     def sentences(low: int, high: int) -> str:
         return " ".join(words(4, 16).capitalize() + rng.choice(".....?!") for _ in range(rng.randint(low, high)))
 
+    def short() -> str:
+        return words(1, 4).capitalize() + rng.choice(["", ".", ".", "!"])
+
+    def notes(low: int, high: int) -> str:  # of clutter, which ends like a sentence or not
+        text = sentences(low, high)
+        return text[:-1] if rng.random() < 0.4 else text
+
     def tag(name: str, inner: str, *names: str) -> str:
         given = [x for x in names if x]
         return f"<{name}{f' {rng.choice(("class", "class", "id"))}="{rng.choice(given)}"' if given else ''}>{inner}</{name}>"
@@ -294,7 +314,7 @@ def labelled_pages(many: int = 240, seed: int = 11) -> list[tuple[str, str]]:
         return tag("ul", "".join(tag("li", f'<a href="/x">{words(1, 3)}</a>') for _ in range(n)), *rng.choice([[], ["menu"]]))
 
     def clutter(text: str) -> str:
-        return rng.choice([lambda: tag("p", text), lambda: text, lambda: tag("p", text) + tag("p", sentences(1, 3)), lambda: tag("h3", words(1, 4)) + tag("p", text)])()
+        return rng.choice([lambda: tag("p", text), lambda: text, lambda: tag("p", text) + tag("p", notes(1, 3)), lambda: "".join(tag("p", short()) for _ in range(rng.randint(1, 4))), lambda: tag("h3", words(1, 4)) + tag("p", text)])()
 
     def paragraph() -> str:
         text = sentences(1, 6)
@@ -302,22 +322,23 @@ def labelled_pages(many: int = 240, seed: int = 11) -> list[tuple[str, str]]:
             text += f' <a href="/y">{words(1, 3)}</a> {sentences(1, 1)}'
         if rng.random() < 0.2:
             text = f"<b>{text}"
-        if rng.random() < 0.15:
-            text = words(1, 6)
+        if rng.random() < 0.25:
+            text = rng.choice([words(1, 6), short(), short()])
         return f"<p>{_MARK}{text}</p>"
 
     def content() -> str:
         blocks = [f"<h1>{_MARK}{words(3, 10)}</h1>"] if rng.random() < 0.85 else []
         if rng.random() < 0.15:
             blocks = [tag("header", blocks[0], *rng.choice([[], ["entry-header", "article-header"]]))] if blocks else []
+        terse = rng.random() < 0.25  # an article of short sentences
         for _ in range(rng.randint(1, 12)):
             kind = rng.random()
             if kind < 0.72:
-                blocks.append(paragraph())
+                blocks.append(f"<p>{_MARK}{short()}</p>" * rng.choice([1, 1, 1, 4]) if terse else paragraph())
             elif kind < 0.8:
                 blocks.append(f"<h{rng.choice('23')}>{_MARK}{words(2, 7)}</h2>")
             elif kind < 0.86:
-                blocks.append(tag(rng.choice(["ul", "ol"]), "".join(f"<li>{_MARK}{rng.choice([words(2, 9), sentences(1, 2)])}</li>" for _ in range(rng.randint(2, 6)))))
+                blocks.append(tag(rng.choice(["ul", "ol"]), "".join(f"<li>{_MARK}{rng.choice([words(2, 9), sentences(1, 2)])}</li>" for _ in range(rng.choice([2, 3, 4, 6, 20])))))
             elif kind < 0.9:
                 blocks.append(f"<blockquote>{_MARK}{sentences(1, 3)}</blockquote>")
             elif kind < 0.93:
@@ -327,7 +348,7 @@ def labelled_pages(many: int = 240, seed: int = 11) -> list[tuple[str, str]]:
             elif kind < 0.97:
                 blocks.append(f"<figure><img src='x'><figcaption>{_MARK}{sentences(1, 1)}</figcaption></figure>")
             else:
-                blocks.append(tag("div", clutter(sentences(1, 2)), "ad", "ads", "advert", "promo", "sponsored", "ad-slot"))
+                blocks.append(tag("div", clutter(notes(1, 2)), "ad", "ads", "advert", "promo", "sponsored", "ad-slot"))
         inner = "".join(blocks)
         if rng.random() < 0.2:
             inner = f"<div>{inner}</div>"
@@ -340,22 +361,22 @@ def labelled_pages(many: int = 240, seed: int = 11) -> list[tuple[str, str]]:
             before.append(rng.choice([lambda: tag("nav", links(rng.randint(2, 8))), lambda: tag("div", links(rng.randint(2, 8)), "nav", "menu", "navbar", "breadcrumb"), lambda: tag("header", tag("div", words(1, 3), "logo", "brand") + links(rng.randint(2, 6)))])())
         for chance, make in (
             (0.3, lambda: tag("header", rng.choice([words(1, 4), tag("p", words(2, 8)), tag("h2", words(1, 4))]), "", "site-header", "masthead", "banner")),
-            (0.6, lambda: tag("div", clutter(sentences(1, 3)), "ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "ad-banner")),
-            (0.35, lambda: tag(rng.choice(["div", "section"]), clutter(sentences(1, 3)), "cookie", "notice", "consent", "cookie-notice", "alert", "newsletter", "popup")),
-            (0.3, lambda: tag("form", rng.choice([words(1, 4), tag("p", sentences(1, 2)), f"<label>{words(1, 2)}</label><input>"]), "", "search", "login")),
+            (0.6, lambda: tag("div", clutter(notes(1, 3)), "ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "ad-banner")),
+            (0.35, lambda: tag(rng.choice(["div", "section"]), clutter(notes(1, 3)), "cookie", "notice", "consent", "cookie-notice", "alert", "newsletter", "popup")),
+            (0.3, lambda: tag("form", rng.choice([words(1, 4), tag("p", notes(1, 2)), f"<label>{words(1, 2)}</label><input>"]), "", "search", "login")),
         ):
             if rng.random() < chance:
                 (before if rng.random() < 0.65 else after).append(make())
         if rng.random() < 0.4:
-            side = rng.choice([lambda: tag("aside", links(4) + clutter(sentences(1, 3))), lambda: tag("aside", clutter(sentences(1, 4))), lambda: tag("div", tag("h3", words(1, 3)) + rng.choice([links(5), clutter(sentences(1, 3))]), "sidebar", "related", "widget", "recommended")])()
+            side = rng.choice([lambda: tag("aside", links(4) + clutter(notes(1, 3))), lambda: tag("aside", clutter(notes(1, 4))), lambda: tag("div", tag("h3", words(1, 3)) + rng.choice([links(5), clutter(notes(1, 3))]), "sidebar", "related", "widget", "recommended")])()
             (before if rng.random() < 0.3 else after).append(side)
         if rng.random() < 0.4:
-            one = lambda: tag(rng.choice(["div", "li", "article", "p"]), rng.choice([sentences(1, 4), tag("p", sentences(1, 4))]), "", "comment", "reply")
+            one = lambda: tag(rng.choice(["div", "li", "article", "p"]), rng.choice([sentences(1, 4), tag("p", notes(1, 4))]), "", "comment", "reply")
             after.append(tag(rng.choice(["div", "section", "section"]), tag("h3", words(1, 3)) + "".join(one() for _ in range(rng.randint(1, 5))), "comments", "comment-list", "discussion", "replies", "responses comments"))
         if rng.random() < 0.3:
             after.append(tag("div", words(1, 5), "share", "social", "tags"))
         if rng.random() < 0.9:
-            foot = rng.choice([f"&copy; {words(1, 3)}", f"&copy; {words(1, 2)} &middot; {sentences(1, 2)}", tag("p", sentences(1, 3)), links(4) + tag("p", f"&copy; {words(2, 5)}")])
+            foot = rng.choice([f"&copy; {words(1, 3)}", f"&copy; {words(1, 2)} &middot; {notes(1, 2)}", tag("p", notes(1, 3)), links(4) + tag("p", f"&copy; {words(2, 5)}")])
             after.append(rng.choice([lambda: tag("footer", foot), lambda: tag("footer", foot), lambda: tag("div", foot, "footer", "site-footer", "copyright", "legal")])())
         rng.shuffle(before)
         middle = "".join(before) + content() + "".join(after)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import UnionFind, components
-from .shared import hashed_words, hot_join, mapped, mix, slices, spread, stored, table, window_hash
+from .shared import hashed_words, hot_join, mapped, mix, numbered, slices, spread, stored, table, window_hash
 
 WORDS, PERCENT = 5, 85
 #: The chance to miss a pair at the threshold, and the most registers of a signature.
@@ -230,7 +230,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows that stay: one document of each group, with its columns."""
     gone = near_groups(docs, id_col, text_col, percent).where(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    rows, (own_id,) = numbered(docs, id_col)
+    return rows.join(gone, F.col(own_id) == F.col("__gone"), "left_anti").toDF(*docs.columns)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ flagged term, and are left out before terms and entities are paired.
 Null and empty texts have no spans. Rows with the same id are told apart by their text, and equal rows have equal spans. Spans are
 ordered by start, then kind, so ties have one order. Long texts are read whole: places are summed in runs of ``RUN``, and texts
 are cut in pieces of ``PIECE`` characters, so that the work grows with the text and not with its square. An empty table gives an
-empty table. Other columns don't take part in :func:`private_spans`; :func:`sanitised` passes them on, whatever their names, but
-for names that start with two underscores. The patterns don't nest repeats, so that very long runs don't exhaust the regular expression engine's stack.
+empty table. Other columns don't take part in :func:`private_spans`; :func:`sanitised` passes them on, whatever their names.
+The patterns don't nest repeats, so that very long runs don't exhaust the regular expression engine's stack.
 Offsets are code points, the end exclusive.
 """
 
@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import or_empty, stored, table
+from .shared import numbered, or_empty, stored, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Numbers that are summed up one by one, and characters of a piece of text.
@@ -246,11 +246,13 @@ def _rewritten(text: Column, spans: Column) -> Column:
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with their texts sanitised. Texts without personal data and flagged terms stay as they are."""
-    spans = marked(docs, id_col, text_col).select("__id", "__hash", _tagged(KINDS).alias("__spans")).where(F.size("__spans") > 0)
+    spans = marked(docs.select(id_col, text_col), id_col, text_col).select("__id", "__hash", _tagged(KINDS).alias("__spans")).where(F.size("__spans") > 0)
     spans = stored(spans.groupBy("__id", "__hash").agg(F.any_value("__spans").alias("__spans")))
-    rows = _of_text(docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(or_empty(F.col(text_col)))}), spans, "left")
-    new = _rewritten(F.col(text_col), F.col("__spans"))
-    return rows.withColumn(text_col, F.when(F.col("__spans").isNotNull(), new).otherwise(F.col(text_col))).select(*docs.columns)
+    rows, (own_id, text) = numbered(docs, id_col, text_col)
+    names = rows.columns
+    rows = _of_text(rows.withColumns({"__id": F.col(own_id), "__hash": F.xxhash64(or_empty(F.col(text)))}), spans, "left")
+    new = _rewritten(F.col(text), F.col("__spans"))
+    return rows.withColumn(text, F.when(F.col("__spans").isNotNull(), new).otherwise(F.col(text))).select(*names).toDF(*docs.columns)
 
 
 def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:

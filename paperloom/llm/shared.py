@@ -83,6 +83,12 @@ def spread(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """The rows with their columns named by place, which no name of an operator's own clashes with, and the new names of some."""
+    names = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), [names[df.columns.index(c)] for c in columns]
+
+
 def or_empty(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 

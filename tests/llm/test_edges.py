@@ -67,6 +67,65 @@ def test_filters_keep_columns(odd):
         assert out.columns == odd.columns and out.count() > 0
 
 
+def test_filters_with_columns_of_their_own_names(odd):
+    names = ["__kept_id", "__digest", "__gone", "__id", "__hash", "__id2", "__spans", "__text", "__base", "__free", "id", "c0", "c1"]
+    docs = odd.select("doc_id", "text", *[F.lit(k).alias(x) for k, x in enumerate(names)])
+    for out in (exact_dedup.exact_dedup(docs), near_dedup.near_dedup(docs), pii.sanitised(docs), toxicity.without_toxic(docs, None)):
+        assert out.columns == docs.columns and out.count() > 0
+        assert {tuple(r)[2:] for r in out.collect()} == {tuple(range(len(names)))}
+
+
+def test_marginals_against_enumeration():
+    """Sum-product messages give what summing over all states of small trees gives."""
+    rng, model = random.Random(12), htmltext.default_model()
+
+    def page(depth):
+        inner = "".join(page(depth - 1) for _ in range(rng.randrange(3))) if depth else ""
+        tag = rng.choice(["div", "p", "li", "section", "article", "h1", "td"])
+        return f"<{tag} class='{rng.choice(['nav', 'post', 'x'])}'>{rng.choice(['', 'Some words here.', 'Menu'])}{inner}</{tag}>"
+
+    seen = 0
+    while seen < 25:
+        nodes = htmltext.in_order(htmltext.parse(page(3)))
+        if not 2 <= len(nodes) <= 11:
+            continue
+        seen += 1
+        own = htmltext.features(nodes) @ model.weights * htmltext.tempers(nodes)
+        place = {id(n): k for k, n in enumerate(nodes)}
+        total, on = 0.0, np.zeros(len(nodes))
+        for bits in range(1 << len(nodes)):
+            state = [bits >> k & 1 for k in range(len(nodes))]
+            log = model.root * state[0] + sum(own[k] for k in range(len(nodes)) if state[k])
+            log += sum(model.edges.get(n.tag, model.edges["other"])[state[place[id(n.parent)]]][state[k]] for k, n in enumerate(nodes) if k)
+            total += math.exp(log)
+            on += np.array(state) * math.exp(log)
+        assert np.abs(model.marginals(nodes) - on / total).max() < 1e-9
+
+
+def test_articles_of_short_sentences():
+    model, menu = htmltext.default_model(), "<nav><a href='/x'>Home</a></nav>"
+    for frame in ("article", "main"):
+        for many in (1, 2, 5, 40):
+            for text in ("Short one.", "Short one"):
+                got = htmltext.main_text(f"{menu}<{frame}><h1>Some heading of it</h1>{f'<p>{text}</p>' * many}</{frame}>", model)
+                assert got == "\n\n".join(["Some heading of it", *[text] * many])
+
+
+def test_no_page_loses_its_article(spark):
+    """On pages with an article element, its own blocks come out, none lost and none added."""
+    model = htmltext.default_model()
+
+    class Frame:
+        def marginals(self, nodes):
+            inside = {}
+            for n in nodes:
+                inside[id(n)] = n.tag == "article" or n.parent is not None and inside[id(n.parent)]
+            return np.array([float(inside[id(n)]) for n in nodes])
+
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect() if r["html"] and "<article" in r["html"]]
+    assert pages and not [x for x in pages if htmltext.main_text(x, model) != htmltext.main_text(x, Frame())]
+
+
 def test_empty_tables(none):
     for name, out in forms(none):
         assert out.count() == 0, name
