@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.exact_json import digits, exact_json, json_text
 from paperloom.functions.fields import component, field, first_segment, hl7_unescape, repetitions, xml_escape
 from paperloom.operators.bundles import CLASSES, STATES, fhir_datetime, hl7_encounter, hl7_observations
 from paperloom.sources.segments import bound
@@ -135,18 +136,65 @@ def conversion_notes(messages: DataFrame, segments: Column, d: Column, key: str)
 #: What is read of a resource, whatever its type.
 RESOURCE = (
     "resourceType string, id string, status string, gender string, birthDate string, effectiveDateTime string, identifier array<struct<system string,value string>>,"
-    "code struct<coding array<struct<system string,code string,display string>>,text string>, subject struct<reference string,display string>, valueQuantity struct<value double,unit string,system string,code string>,"
+    "code struct<coding array<struct<system string,code string,display string>>,text string>, subject struct<reference string,display string>, valueQuantity struct<value string,unit string,system string,code string>,"
     "period struct<start string,end string>"
 )
 
 
+#: Members of a resource that are read into columns; all others are its remainder.
+MODELLED = {
+    "Patient": ["birthDate", "gender", "id", "identifier", "name", "resourceType"], "Observation": ["code", "effectiveDateTime", "id", "resourceType", "status", "subject", "valueQuantity"],
+    "Encounter": ["class", "id", "period", "resourceType", "status", "subject"], "Organization": ["id", "identifier", "name", "resourceType"],
+}
+
+
 def resources(texts: DataFrame, text: Column, *keys: str) -> DataFrame:
-    """(keys, n, r): every resource of bundles or single resources, numbered from 0. A text that isn't JSON gives none."""
-    whole = F.from_json("__t", f"resourceType string, entry array<struct<resource struct<{RESOURCE}>>>")
-    rows = bound(texts.select(*keys, text.alias("__t")), __b=whole.alias("b"))
-    alone = F.when(F.col("__b.resourceType").isNotNull(), F.array(F.from_json("__t", RESOURCE)))
-    listed = F.when(F.col("__b.resourceType") == "Bundle", F.transform("__b.entry", lambda e: e["resource"])).otherwise(alone)
-    return rows.select(*keys, F.posexplode(F.filter(listed, lambda r: r.isNotNull())).alias("n", "r"))
+    """(keys, n, r, whole): every resource of bundles or single resources, numbered from 0: what is modelled as columns (a quantity's
+    value with its digits), and the whole as VARIANT with exact numbers. A text that isn't JSON gives none."""
+    rows = bound(texts.select(*keys, text.alias("__t")), __v=exact_json(F.col("__t")))
+    v = F.col("__v")
+    kind = F.try_variant_get(v, "$.resourceType", "string")
+    inside = F.transform(F.try_variant_get(v, "$.entry", "array<variant>"), lambda e: F.try_variant_get(e, "$.resource", "variant"))
+    listed = F.when(kind == "Bundle", inside).when(kind.isNotNull(), F.array(v))
+    found = rows.select(*keys, F.posexplode(F.filter(listed, lambda r: r.isNotNull())).alias("n", "whole"))
+    r = F.from_json(F.to_json("whole"), RESOURCE)
+    quantity = r["valueQuantity"].withField("value", digits(r["valueQuantity"]["value"]))
+    return found.select(*keys, "n", r.withField("valueQuantity", F.when(r["valueQuantity"].isNotNull(), quantity)).alias("r"), "whole")
+
+
+def unmodelled(whole: Column) -> Column:
+    """The members of a resource that no column has, as JSON, names in order; null if there are none."""
+    members = F.from_json(F.to_json(whole), "map<string, variant>")
+    kind = F.try_variant_get(whole, "$.resourceType", "string")
+    known = F.create_map(*[x for k, names in MODELLED.items() for x in (F.lit(k), F.array(*map(F.lit, names)))])
+    rest = F.map_filter(members, lambda name, _: ~F.coalesce(F.array_contains(F.try_element_at(known, kind), name), F.lit(False)))
+    return F.when(F.size(rest) > 0, json_text(F.to_variant_object(rest)))
+
+
+def resource_json(whole: Column) -> Column:
+    """A resource written again, nothing lost: names in order, unmodelled members and the digits of numbers as they were read."""
+    return json_text(whole)
+
+
+def bundle_errors(texts: DataFrame, text: Column, *keys: str) -> DataFrame:
+    """(keys, error): why a text is refused as a whole, or null: it isn't JSON, has no resourceType, or is a bundle of which an entry's
+    resource, the first one that does so, has none or one that isn't known, or is a result without a status."""
+    rows = bound(texts.select(*keys, text.alias("__t")), __v=exact_json(F.col("__t")))
+    v = F.col("__v")
+    of = lambda x, name: F.try_variant_get(x, f"$.{name}", "string")
+    quoted = lambda x: F.concat(F.lit("unsupported resource type `"), x, F.lit("`"))
+
+    def wrong(x: Column) -> Column:
+        kind = of(x, "resourceType")
+        return (
+            F.when(kind.isNull(), "missing `resourceType`").when(~kind.isin(TYPES), quoted(kind))
+            .when((kind == "Observation") & of(x, "status").isNull(), "missing mandatory element `status`")
+        )
+
+    inside = F.transform(F.try_variant_get(v, "$.entry", "array<variant>"), lambda e: F.try_variant_get(e, "$.resource", "variant"))
+    first = F.get(F.array_compact(F.transform(F.filter(inside, lambda x: x.isNotNull()), wrong)), 0)
+    error = F.when(v.isNull(), "not JSON").when(of(v, "resourceType") == "Bundle", first).otherwise(wrong(v))
+    return rows.select(*keys, error.alias("error"))
 
 
 def counts(found: DataFrame, *keys: str) -> DataFrame:
