@@ -152,14 +152,21 @@ def resources(texts: DataFrame, text: Column, *keys: str) -> DataFrame:
     """(keys, n, r, whole): every resource of bundles or single resources, numbered from 0: what is modelled as columns (a quantity's
     value with its digits), and the whole as VARIANT with exact numbers. A text that isn't JSON gives none."""
     rows = bound(texts.select(*keys, text.alias("__t")), __v=exact_json(F.col("__t")))
-    v = F.col("__v")
+    return rows.select(*keys, F.posexplode(wholes(F.col("__v"))).alias("n", "whole")).select(*keys, "n", modelled(F.col("whole")).alias("r"), "whole")
+
+
+def wholes(v: Column) -> Column:
+    """The resources of a bundle, or the single one of another text, as VARIANTs."""
     kind = F.try_variant_get(v, "$.resourceType", "string")
     inside = F.transform(F.try_variant_get(v, "$.entry", "array<variant>"), lambda e: F.try_variant_get(e, "$.resource", "variant"))
-    listed = F.when(kind == "Bundle", inside).when(kind.isNotNull(), F.array(v))
-    found = rows.select(*keys, F.posexplode(F.filter(listed, lambda r: r.isNotNull())).alias("n", "whole"))
-    r = F.from_json(F.to_json("whole"), RESOURCE)
+    return F.filter(F.when(kind == "Bundle", inside).when(kind.isNotNull(), F.array(v)), lambda r: r.isNotNull())
+
+
+def modelled(whole: Column) -> Column:
+    """What is modelled of a resource, as columns."""
+    r = F.from_json(F.to_json(whole), RESOURCE)
     quantity = r["valueQuantity"].withField("value", digits(r["valueQuantity"]["value"]))
-    return found.select(*keys, "n", r.withField("valueQuantity", F.when(r["valueQuantity"].isNotNull(), quantity)).alias("r"), "whole")
+    return r.withField("valueQuantity", F.when(r["valueQuantity"].isNotNull(), quantity))
 
 
 def unmodelled(whole: Column) -> Column:
@@ -206,7 +213,11 @@ def counts(found: DataFrame, *keys: str) -> DataFrame:
 def issues(found: DataFrame, *keys: str) -> DataFrame:
     """(keys, n, rule, path, message): a verified result needs a value or a time; a period can't end before it starts
     (days only are compared), and one that is finished needs its end."""
-    r = F.col("r")
+    return found.select(*keys, "n", F.explode(issues_found(F.col("r"))).alias("i")).select(*keys, "n", "i.*")
+
+
+def issues_found(r: Column) -> Column:
+    """The issues (rule, path, message) of a resource, as one array."""
     start, end = (F.when(r["period"][x].rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(r["period"][x], "yyyy-MM-dd")) for x in ("start", "end"))
     issue = lambda rule, path, message: F.struct(F.lit(rule).alias("rule"), F.lit(path).alias("path"), message.alias("message"))
     result = (r["resourceType"] == "Observation") & r["status"].isin("final", "amended", "corrected") & r["valueQuantity"].isNull() & r["effectiveDateTime"].isNull()
@@ -217,7 +228,7 @@ def issues(found: DataFrame, *keys: str) -> DataFrame:
         F.when(visit & (end < start), issue("enc-3", "/period/end", backward)),
         F.when(visit & (r["status"] == "finished") & r["period"]["end"].isNull(), issue("enc-1", "/period/end", F.lit("a `finished` encounter must have a period end"))),
     ]
-    return found.select(*keys, "n", F.explode(F.array_compact(F.array(*rules))).alias("i")).select(*keys, "n", "i.*")
+    return F.array_compact(F.array(*rules))
 
 
 def _xml_value(name: str, value: Column) -> Column:

@@ -83,21 +83,49 @@ def edifact_lines(messages: DataFrame, segments: Column, key: str, kind: str = "
     return rows.select(key, F.get(line, 0).alias("line"), component(F.get(line, 2), 1, ":").alias("item"), quantity.alias("quantity"))
 
 
+def element_message(fields: Column, tag: Column, position: Column, kind: Column, least: Column, most: Column, mandatory: Column) -> Column:
+    """What is wrong with a segment's element by its rule, or null."""
+    value = F.get(fields, position - 1)
+    size = F.octet_length(value)
+    where = F.concat(F.lit("element "), position.cast("string"), F.lit(" of "), tag)
+    blank = F.regexp_replace(value, r"^\s+|\s+$", "") == ""
+    return (
+        F.when(value.isNull(), F.when(mandatory, F.concat(F.lit("missing mandatory "), where)))
+        .when(blank, F.when(mandatory, F.concat(F.lit("empty mandatory "), where)))
+        .when(size < least, F.concat(where, F.lit(" shorter than "), least.cast("string"), F.lit(": `"), value, F.lit("`")))
+        .when(size > most, F.concat(where, F.lit(" longer than "), most.cast("string"), F.lit(": `"), value, F.lit("`")))
+        .when(~element_kind_ok(kind, value), F.concat(where, F.lit(" violates type `"), F.initcap(kind), F.lit("`: `"), value, F.lit("`")))
+    )
+
+
+def elements_found(segments: Column, table: str) -> Column:
+    """The issues (idx, tag, position, message) of a message's elements, in order, as one array; the rules are literals of the plan."""
+
+    def one(s: Column) -> Column:
+        own = F.try_element_at(rules.element_map(table), s["tag"])
+        told = F.transform(own, lambda r: F.struct(s["idx"].alias("idx"), s["tag"].alias("tag"), r["position"].alias("position"), element_message(s["fields"], s["tag"], *[r[c] for c in ("position", "kind", "least", "most", "mandatory")]).alias("message")))
+        return F.filter(told, lambda x: x["message"].isNotNull())
+
+    return F.flatten(F.filter(F.transform(segments, one), lambda x: F.size(x) > 0))
+
+
+def required_found(segments: Column) -> Column:
+    """The issues (idx, tag, position, message) of mandatory HL7 fields that are missing or blank, in order, as one array."""
+
+    def one(s: Column) -> Column:
+        own = F.try_element_at(rules.hl7_required_map(), s["tag"])
+        text = lambda r: F.concat(F.lit("missing mandatory field "), s["tag"], F.lit("-"), r["field"].cast("string"), F.lit(" ("), r["name"], F.lit(")"))
+        missing = F.filter(own, lambda r: F.regexp_replace(F.coalesce(F.get(s["fields"], r["field"] - 1), F.lit("")), r"^\s+|\s+$", "") == "")
+        return F.transform(missing, lambda r: F.struct(s["idx"].alias("idx"), s["tag"].alias("tag"), r["field"].alias("position"), text(r).alias("message")))
+
+    return F.flatten(F.filter(F.transform(segments, one), lambda x: F.size(x) > 0))
+
+
 def element_issues(messages: DataFrame, segments: Column, key: str, table: str) -> DataFrame:
     """(key, idx, tag, position, message): the first failure of each rule. The rules are a fixed, small table."""
     spark: SparkSession = messages.sparkSession
     rows = exploded(messages, segments, key).join(F.broadcast(rules.elements(spark, table)), "tag")
-    value = F.get("fields", F.col("position") - 1)
-    size = F.octet_length(value)
-    where = F.concat(F.lit("element "), F.col("position").cast("string"), F.lit(" of "), F.col("tag"))
-    blank = F.regexp_replace(value, r"^\s+|\s+$", "") == ""
-    message = (
-        F.when(value.isNull(), F.when(F.col("mandatory"), F.concat(F.lit("missing mandatory "), where)))
-        .when(blank, F.when(F.col("mandatory"), F.concat(F.lit("empty mandatory "), where)))
-        .when(size < F.col("least"), F.concat(where, F.lit(" shorter than "), F.col("least").cast("string"), F.lit(": `"), value, F.lit("`")))
-        .when(size > F.col("most"), F.concat(where, F.lit(" longer than "), F.col("most").cast("string"), F.lit(": `"), value, F.lit("`")))
-        .when(~element_kind_ok(F.col("kind"), value), F.concat(where, F.lit(" violates type `"), F.initcap("kind"), F.lit("`: `"), value, F.lit("`")))
-    )
+    message = element_message(F.col("fields"), F.col("tag"), *[F.col(c) for c in ("position", "kind", "least", "most", "mandatory")])
     return rows.withColumn("message", message).where("message is not null").select(key, "idx", "tag", "position", "message")
 
 
@@ -132,7 +160,16 @@ def x12_envelope_issues(messages: DataFrame, segments: Column, key: str) -> Data
     A count that isn't a number is not compared; a trailer without its header is told as such. Each message is folded over its
     envelope segments where it stands.
     """
-    rows = bound(messages.select(key, segments.alias("__s")), __e=F.filter("__s", lambda s: s["tag"].isin("ISA", "GS", "ST", "SE", "GE", "IEA")))
+    rows = bound(messages.select(key, segments.alias("__s")), __e=envelope_part(F.col("__s")))
+    return rows.select(key, F.explode(envelope_found(F.col("__e"))).alias("i")).select(key, "i.idx", "i.tag", "i.rule")
+
+
+def envelope_part(segments: Column) -> Column:
+    return F.filter(segments, lambda s: s["tag"].isin("ISA", "GS", "ST", "SE", "GE", "IEA"))
+
+
+def envelope_found(own: Column) -> Column:
+    """The issues (idx, tag, rule) of a message's envelope segments, as one array."""
     none = F.lit(None).cast("string")
     issue = "struct<idx:int,tag:string,rule:string>"
     start = F.struct(
@@ -171,7 +208,7 @@ def x12_envelope_issues(messages: DataFrame, segments: Column, key: str) -> Data
         left = [F.when(~done[f"{h}_closed"], F.struct(done[h].alias("idx"), F.lit(h.upper()).alias("tag"), F.lit(f"{h.upper()} never closed").alias("rule"))) for h in ("isa", "gs", "st")]
         return F.concat(done["issues"], F.array_compact(F.array(*left)))
 
-    return rows.select(key, F.explode(F.aggregate("__e", start, step, finish)).alias("i")).select(key, "i.idx", "i.tag", "i.rule")
+    return F.aggregate(own, start, step, finish)
 
 
 def hl7_required_issues(messages: DataFrame, segments: Column, key: str) -> DataFrame:

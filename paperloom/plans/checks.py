@@ -10,6 +10,7 @@ from paperloom import rules
 from paperloom.functions.fields import hl7_unescape, is_fhir_datetime, sniffed_file
 from paperloom.operators import bundles, comparison, fhir, reports, writers
 from paperloom.operators import messages as ops
+from paperloom.plans import exchange
 from paperloom.plans import messages as make
 from paperloom.sources import html, office
 from paperloom.sources.segments import bound, edifact_segments, hl7_delimiters, hl7_segments, x12_segments
@@ -88,7 +89,20 @@ def report_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_first_issues(spark: SparkSession, d: str) -> DataFrame:
-    return reports.first_issues(reports.report(_texts(spark, d), _message(), "key"), "key")
+    return reports.first_issues(_texts(spark, d), _message(), "key")
+
+
+def report_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Issues of EDIFACT orders that lack their last terminator for keys that divide by 5, of UBL invoices, and of FHIR results without
+    a value for 4 and of another type for 6."""
+    key = lambda kind, name="o_orderkey": F.concat(F.lit(kind), F.col(name).cast("string")).alias("key")
+    n = F.col("o_orderkey")
+    orders = make.edifact_orders(make.order_lines(spark, d)).select(key("e"), F.when(n % 5 == 0, F.regexp_replace("message", r".\s*$", "")).otherwise(F.col("message")).alias("message"))
+    bills = exchange._invoices(spark, d).select(key("u"), F.col("xml").alias("message"))
+    value = F.when(n % 4 == 0, "").otherwise(F.concat(F.lit(',"valueQuantity":{"value":'), F.col("o_totalprice").cast("string"), F.lit("}")))
+    result = F.concat(F.lit('{"resourceType":"Bundle","entry":[{"resource":{"resourceType":"Patient"}},{"resource":{"resourceType":"'), F.when(n % 6 == 0, "Device").otherwise("Observation"), F.lit('","status":"final"'), value, F.lit("}}]}"))
+    results = make.table(spark, d, "orders").select(key("f"), result.alias("message"))
+    return reports.report(orders.unionByName(bills).unionByName(results), _message(), "key")
 
 
 def report_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -199,7 +213,7 @@ def docx_block_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    hl7_unescaped_values, hl7_written_messages, fhir_datetimes, fhir_encounter_xml, fhir_xml_resources, fhir_reading_issues, report_issues, report_first_issues, report_texts, inspected_texts, edifact_element_issues, x12_changes,
+    hl7_unescaped_values, hl7_written_messages, fhir_datetimes, fhir_encounter_xml, fhir_xml_resources, fhir_reading_issues, report_issues, report_first_issues, report_documents, report_texts, inspected_texts, edifact_element_issues, x12_changes,
     audit_jsonl_issues, audit_provenance, xlsx_changes, docx_changes, fhir_conversion_notes, x12_set_issues, html_block_counts, docx_block_rows,
 )}
 
@@ -237,7 +251,13 @@ ORACLE_SQL = {
       UNION ALL SELECT k, 0, '/birthDate', '`2026-02-30` is no date' FROM c WHERE k % 6 = 0
       UNION ALL SELECT k, 0, '/birthDate', '`2026-02-03T10:00` is no date' FROM c WHERE k % 10 = 0 AND k % 6 <> 0""",
     "report_issues": f"WITH {_ISSUES} SELECT * FROM r",
-    "report_first_issues": f"WITH {_ISSUES} SELECT key, format, place, rule, message FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY place, rule, message) AS i FROM r) WHERE i = 1",
+    "report_first_issues": f"WITH {_ISSUES} SELECT key, format, idx, place, rule, message FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx, place, rule, message) AS i FROM (SELECT *, coalesce(TRY_CAST(regexp_extract(place, '\\[([0-9]+)', 1) AS INTEGER), 0) AS idx FROM r)) WHERE i = 1",
+    "report_documents": f"""
+      {_K.strip() if _K.strip().upper().startswith("WITH") else "WITH " + _K}
+      SELECT 'e' || k AS key, 'edifact' AS format, '' AS place, 'unreadable' AS rule, 'the last segment has no terminator' AS message FROM k WHERE k % 5 = 0
+      UNION ALL SELECT 'u' || order_key, 'ubl', path, rule, 'the rule is broken' FROM ({exchange.ORACLE_SQL["ubl_invoice_issues"]}) u
+      UNION ALL SELECT 'f' || o_orderkey, 'fhir-json', '/1/valueQuantity', 'obs-7', 'a `final` observation must have a value or an effective time' FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 6 <> 0
+      UNION ALL SELECT 'f' || o_orderkey, 'fhir-json', '/1/resourceType', 'value', '`Device` is no known resource type' FROM orders WHERE o_orderkey % 6 = 0""",
     "report_texts": """
       WITH c AS (SELECT c_custkey AS k, c_custkey % 2 = 0 AND c_custkey % 5 = 0 AS name, c_custkey % 2 = 0 AND c_custkey % 7 = 0 AS class, c_custkey % 2 = 1 AS odd FROM customer),
       t AS (SELECT *, CASE WHEN odd THEN '' ELSE 'hl7v2' END AS format, CAST(name AS INTEGER) + CAST(class AS INTEGER) + CAST(odd AS INTEGER) AS n FROM c)

@@ -6,7 +6,8 @@ EDI tables is position, type (an, n, r, dt, id), least and greatest length, and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 HL7_REQUIRED = """
 MSH 9 Message Type
@@ -70,6 +71,23 @@ def elements(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([(t, int(p), k, int(a), int(b), need == "M") for t, p, k, a, b, need in rules], "tag string, position int, kind string, least int, most int, mandatory boolean")
 
 
+def element_map(table: str) -> Column:
+    """The element rules of each tag, as a literal."""
+    by_tag: dict[str, list[Column]] = {}
+    for t, p, k, a, b, need in (x.split() for line in table.strip().splitlines() for x in line.split(";")):
+        rule = F.struct(F.lit(int(p)).alias("position"), F.lit(k).alias("kind"), F.lit(int(a)).alias("least"), F.lit(int(b)).alias("most"), F.lit(need == "M").alias("mandatory"))
+        by_tag.setdefault(t, []).append(rule)
+    return F.create_map(*[x for t, own in by_tag.items() for x in (F.lit(t), F.array(*own))])
+
+
+def hl7_required_map() -> Column:
+    """The mandatory fields of each segment, as a literal."""
+    by_tag: dict[str, list[Column]] = {}
+    for tag, n, name in (line.split(" ", 2) for line in HL7_REQUIRED.strip().splitlines()):
+        by_tag.setdefault(tag, []).append(F.struct(F.lit(int(n)).alias("field"), F.lit(name).alias("name")))
+    return F.create_map(*[x for t, own in by_tag.items() for x in (F.lit(t), F.array(*own))])
+
+
 def required_segments(spark: SparkSession) -> DataFrame:
     rows = [line.split() for line in TRANSACTION_SETS.strip().splitlines()]
     return spark.createDataFrame([(s, tag) for s, *tags in rows for tag in tags], "set_id string, tag string")
