@@ -297,9 +297,30 @@ def chained(entries: DataFrame, key: str) -> DataFrame:
     return chain_entries(entries, key).groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("entries"))
 
 
+#: Entries of a log that are checked together; a longer log is dealt out in runs of so many numbers.
+RUN = 4096
+
+
+def in_runs(entries: DataFrame, key: str) -> DataFrame:
+    """The entries (key, seq, hash, ...) with ``n``, their place in their log by seq, and ``before``, the hash before theirs (null at the
+    start). A log is dealt out by the run its numbers fall into; runs exchange a row each, their size and last hash, so that no task
+    holds a whole log. Entries of one number stay together."""
+    runs = entries.withColumn("__run", F.floor(F.col("seq") / RUN))
+    ends = runs.groupBy(key, "__run").agg(F.count(F.lit(1)).alias("__many"), F.max_by("hash", F.struct("seq", "hash")).alias("__last"))
+    log = Window.partitionBy(key).orderBy("__run")
+    starts = ends.select(F.col(key).alias("__key"), F.col("__run").alias("__of"), F.coalesce(F.sum("__many").over(log.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"), F.lag("__last").over(log).alias("__before"))
+    rows = runs.join(starts, F.col(key).eqNullSafe(F.col("__key")) & F.col("__run").eqNullSafe(F.col("__of")))
+    own = Window.partitionBy(key, "__run").orderBy("seq", "hash")
+    return rows.withColumns({"n": F.col("__start") + F.row_number().over(own) - 1, "before": F.coalesce(F.lag("hash").over(own), F.col("__before"))}).drop("__run", "__key", "__of", "__start", "__before")
+
+
+def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows with ``seq``, their place in their log by a number; long logs are numbered by many tasks."""
+    return in_runs(rows.withColumns({"seq": F.col(order), "hash": F.lit("")}), key).drop("seq", "hash", "before").withColumnRenamed("n", "seq")
+
+
 def broken(entries: DataFrame, key: str) -> DataFrame:
-    """(key, seq): the first entry of each log whose number, link or hash is wrong; all entries are checked at once."""
-    own = Window.partitionBy(key).orderBy("seq")
-    rows = entries.withColumns({"n": F.row_number().over(own) - 1, "before": F.coalesce(F.lag("hash").over(own), F.lit(GENESIS))})
+    """(key, seq): the first entry of each log whose number, link or hash is wrong; all entries are checked at once, long logs by many tasks."""
+    rows = in_runs(entries, key).withColumn("before", F.coalesce("before", F.lit(GENESIS)))
     good = (F.col("seq") == F.col("n")) & (F.col("prev") == F.col("before")) & (F.col("hash") == entry_hash(F.col("seq"), F.col("at"), F.col("event"), F.col("payload_sha256"), F.col("prev")))
     return rows.where(~good).groupBy(key).agg(F.min("seq").alias("seq"))

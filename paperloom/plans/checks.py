@@ -149,6 +149,26 @@ def audit_jsonl_issues(spark: SparkSession, d: str) -> DataFrame:
     return writers.jsonl_issues(lines.withColumn("line", line), "user_id")
 
 
+def _one_large_log(spark: SparkSession, d: str) -> DataFrame:
+    """Chained entries of the events: every second one stands in log 0, the others in their user's."""
+    log = F.when(F.col("event_id") % 2 == 0, F.lit(0)).otherwise(F.col("user_id") + 1).cast("long")
+    events = make.table(spark, d, "events").select(log.alias("log"), "event_id", "event_type", F.sha2(F.col("props").cast("binary"), 256).alias("payload_sha256"))
+    rows = ops.numbered(events, "log", "event_id")
+    return ops.chain_entries(rows.select("log", "seq", F.col("event_id").cast("string").alias("at"), F.col("event_type").alias("event"), "payload_sha256"), "log")
+
+
+def audit_large_log(spark: SparkSession, d: str) -> DataFrame:
+    """Log 0, with half of all events, has an entry in its middle edited, one behind it taken out; logs that divide by 3 have their last
+    hash edited, which nothing after it shows."""
+    rows = _one_large_log(spark, d)
+    log, seq, last = F.col("log"), F.col("seq"), F.col("last")
+    rows = rows.join(rows.groupBy("log").agg(F.max("seq").alias("last")), "log")
+    middle = F.floor((last + 1) / 2)
+    told = rows.where((log != 0) | (seq != middle + 7)).withColumn("event", F.when((log == 0) & (seq == middle), "edited").otherwise(F.col("event")))
+    edited = told.withColumn("hash", F.when((log > 0) & (log % 3 == 0) & (seq == last), F.lit(ops.GENESIS)).otherwise(F.col("hash")))
+    return ops.broken(edited.drop("last"), "log").select("log", F.col("seq").alias("first_bad"))
+
+
 def audit_provenance(spark: SparkSession, d: str) -> DataFrame:
     rows = writers.provenance(_entries(spark, d), "user_id", F.concat(F.lit("Patient/"), F.col("user_id").cast("string")))
     part = lambda path: F.get_json_object("resource", path)
@@ -214,7 +234,7 @@ def docx_block_rows(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     hl7_unescaped_values, hl7_written_messages, fhir_datetimes, fhir_encounter_xml, fhir_xml_resources, fhir_reading_issues, report_issues, report_first_issues, report_documents, report_texts, inspected_texts, edifact_element_issues, x12_changes,
-    audit_jsonl_issues, audit_provenance, xlsx_changes, docx_changes, fhir_conversion_notes, x12_set_issues, html_block_counts, docx_block_rows,
+    audit_jsonl_issues, audit_large_log, audit_provenance, xlsx_changes, docx_changes, fhir_conversion_notes, x12_set_issues, html_block_counts, docx_block_rows,
 )}
 
 _K = "k AS (SELECT o_orderkey AS k, count(*) AS n, min(l_linenumber) AS first FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)"
@@ -279,6 +299,9 @@ ORACLE_SQL = {
       WITH {_K}, o AS (SELECT k.*, o_custkey AS c FROM k JOIN orders ON o_orderkey = k)
       SELECT k AS order_key, 'N1[0]-2' AS path, 'changed' AS kind, 'C' || c AS old, 'D' || c AS new FROM o WHERE k % 4 = 0
       UNION ALL SELECT k, 'CTT[0]', 'removed', 'CTT*' || n, NULL FROM o WHERE k % 6 = 0""",
+    "audit_large_log": """
+      WITH e AS (SELECT CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id + 1 END AS log, count(*) AS n FROM events GROUP BY 1)
+      SELECT CAST(log AS BIGINT) AS log, CAST(CASE WHEN log = 0 THEN n // 2 ELSE n - 1 END AS BIGINT) AS first_bad FROM e WHERE log % 3 = 0""",
     "audit_jsonl_issues": f"""
       WITH e AS (SELECT DISTINCT user_id, n FROM ({_USERS}))
       SELECT user_id, CASE WHEN user_id % 5 = 0 AND n > 2 THEN 'line 3 is no entry' ELSE 'the chain is broken at entry 1' END AS error FROM e WHERE (user_id % 5 = 0 AND n > 2) OR (user_id % 3 = 0 AND n > 1)""",
