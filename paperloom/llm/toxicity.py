@@ -394,11 +394,11 @@ def witnesses(sample: DataFrame) -> tuple[set[str], set[str]]:
             if surplus >= bound(stem, int(np.log2(n))):
                 new += 1
                 if stem:
-                    begins[unit] = toxic
+                    begins[unit] = surplus
                 else:
                     words.add(unit)
-        # of stems that begin one another, those that tell nearly as many toxic texts by more letters
-        stems |= {x for x, n in begins.items() if not any(y != x and y.startswith(x) and own >= 0.8 * n for y, own in begins.items())}
+        # of stems that begin one another, the shorter ones only where they tell more
+        stems |= {x for x, n in begins.items() if not any(y != x and y.startswith(x) and own >= n for y, own in begins.items())}
         if not new:
             break
     return words, stems
@@ -442,8 +442,9 @@ def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
         return None
     told, stems = witnesses(sample)
     by_unit = cut(_words_of_sample(sample, stems))
-    told |= {r["unit"] for r in by_unit.where("of_stem and toxic > 0").select("unit").toLocalIterator()}
-    clean_units = by_unit.where("clean > 0 and not of_stem")
+    # a stem's words are toxic unless they stand in clean texts more often, and clean ones where they do so by far
+    told |= {r["unit"] for r in by_unit.where("of_stem and toxic > 0 and toxic >= clean").select("unit").toLocalIterator()}
+    clean_units = by_unit.where("clean > 0 and (not of_stem or clean > 3 * toxic + 3)")
     common = clean_units.orderBy(F.desc("clean"), "unit").limit(CLEAN_WORDS // 2).select("unit")
     others = clean_units.orderBy(F.xxhash64(F.lit("clean"), "unit")).limit(CLEAN_WORDS).select("unit")
     clean = [r["unit"] for r in common.union(others).distinct().orderBy("unit").collect() if r["unit"] not in told]
@@ -459,8 +460,9 @@ def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
         # words of clean texts that look toxic are the hardest examples
         hard = set()
         if not turn:
+            clear = {r["unit"] for r in clean_units.where("of_stem").select("unit").toLocalIterator()}
             for r in _valued(sample.where("label = 0"), model).where("value > -0.5").select("token").distinct().toLocalIterator():
-                hard.update(x for x in units_of(r["token"]) if not any(x[:k] in stems for k in STEMS if len(x) > k))
+                hard.update(x for x in units_of(r["token"]) if x in clear or not any(x[:k] in stems for k in STEMS if len(x) > k))
         if not (hard := sorted(hard.difference(words))):
             break
         clean += hard
