@@ -1,6 +1,7 @@
 """Comparison of two versions of a document: segments, JSON, cells and lines.
 
-Every comparison matches the versions by key and place in one shuffle; what is compared within a place is nested.
+Every comparison matches the versions by key and place in one join; segments are numbered where their message stands, and what is
+compared within a place is nested.
 A change is (path, kind, left, right), kind being added, removed or changed.
 """
 
@@ -10,11 +11,10 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from paperloom.operators.messages import exploded
 from paperloom.sources.segments import bound, cut
 
 CHANGES = "array<struct<path:string,kind:string,left:string,right:string>>"
@@ -78,11 +78,12 @@ def compared_flats(left: DataFrame, right: DataFrame, key: str, ignore: list[str
     return _kept(_compared(both), key, ignore or [])
 
 
-def _numbered(messages: DataFrame, segments: Column, key: str, keep: list[str]) -> DataFrame:
-    """(key, seg, tag, fields, keep): each segment under its tag and its number among those of the tag."""
-    rows = exploded(messages, segments, key, *keep)
-    n = F.row_number().over(Window.partitionBy(key, "tag").orderBy("idx")) - 1
-    return rows.select(key, F.concat("tag", F.lit("["), n.cast("string"), F.lit("]")).alias("__seg"), "tag", "fields", *keep)
+def _places(segments: Column) -> Column:
+    """(seg, idx, tag, fields) of each segment: under its tag and its number among those of the tag, told where the message stands."""
+    tags = F.transform(segments, lambda s: s["tag"])
+    listed = F.array_distinct(tags)
+    ranks = F.flatten(F.transform(listed, lambda t: F.transform(F.filter(segments, lambda s: s["tag"] == t), lambda s, k: F.struct(s["idx"].alias("idx"), F.concat(t, F.lit("["), k.cast("string"), F.lit("]")).alias("seg"), t.alias("tag"), s["fields"].alias("fields")))))
+    return F.array_sort(ranks)
 
 
 def _flat(place: Column, tag: Column, fields: Column, separators: Column | None) -> Column:
@@ -104,27 +105,39 @@ def _flat(place: Column, tag: Column, fields: Column, separators: Column | None)
     return F.filter(F.flatten(F.filter(F.transform(fields, parts), lambda x: x.isNotNull())), lambda x: x["value"] != "")
 
 
-def compared_segments(left: DataFrame, right: DataFrame, segments: Column, key: str, separator: Column, separators: str | None = None, ignore: list[str] | None = None) -> DataFrame:
+def compared_segments(left: DataFrame, right: DataFrame, segments: Column, key: str, separator: Column, separators: str | None = None, ignore: list[str] | None = None, numbered: bool = False) -> DataFrame:
     """(key, path, kind, left, right) of two tables of messages, one a key.
 
     ``separator`` joins the text of a segment that is added or removed whole; ``separators`` names the column of HL7
-    delimiters by which fields are taken apart (each side by its own), none for formats that compare by element.
+    delimiters by which fields are taken apart (each side by its own), none for formats that compare by element. Paths that start with
+    one of ``ignore`` are left out. ``numbered`` adds ``n``, the change's place in its message: values as the left message has them,
+    values that only the right one has, segments that are gone, then segments that are new.
     """
     keep = [] if separators is None else [separators]
     found = []
-    for df in (left, right):
-        rows = _numbered(df, segments, key, keep)
-        raw = F.concat("tag", separator, F.call_function("array_join", F.col("fields"), separator))
-        flat = _flat(F.col("__seg"), F.col("tag"), F.col("fields"), None if separators is None else F.col(separators))
-        found.append(rows.select(key, "__seg", F.struct(raw.alias("raw"), flat.alias("flat")).alias("x")))
-    both = found[0].withColumnRenamed("x", "__a").join(found[1].withColumnRenamed("x", "__b"), [key, "__seg"], "full_outer")
+    for df, name in ((left, "__a"), (right, "__b")):
+        rows = bound(df.select(key, *keep, segments.alias("__s")), __p=_places(F.col("__s")))
+        own = None if separators is None else F.col(separators)
+        flat = F.transform("__p", lambda s: F.struct(s["seg"].alias("seg"), s["idx"].alias("idx"), F.concat(s["tag"], separator, F.call_function("array_join", s["fields"], separator)).alias("raw"), _flat(s["seg"], s["tag"], s["fields"], own).alias("flat")))
+        found.append(rows.select(key, F.explode(flat).alias("x")).select(key, F.col("x.seg").alias("__seg"), F.struct("x.idx", "x.raw", "x.flat").alias(name)))
+    both = found[0].join(found[1], [key, "__seg"], "full_outer")
     none = F.lit(None).cast("string")
     whole = F.array(F.struct(F.col("__seg").alias("path"), F.when(F.col("__b").isNull(), "removed").otherwise("added").alias("kind"), F.coalesce("__a.raw", none).alias("left"), F.coalesce("__b.raw", none).alias("right")))
     empty = F.expr(f"cast(array() as {FLAT})")
     paired = F.col("__a").isNotNull() & F.col("__b").isNotNull()
     both = bound(both, __l=F.when(paired, F.col("__a.flat")).otherwise(empty), __r=F.when(paired, F.col("__b.flat")).otherwise(empty))
-    done = _compared(both)
-    return _kept(done.withColumn("__changes", F.when(paired, F.col("__changes")).otherwise(whole.cast(CHANGES))), key, ignore or [])
+    done = _compared(both).withColumn("__changes", F.when(paired, F.col("__changes")).otherwise(whole.cast(CHANGES)))
+    if not numbered:
+        return _kept(done, key, ignore or [])
+    # in which of the four parts a change stands, the segment's place in its message, and the change's place in its segment
+    at = done.select(key, paired.alias("__both"), F.coalesce("__a.idx", "__b.idx").alias("__left"), F.coalesce("__b.idx", "__a.idx").alias("__right"), F.posexplode("__changes").alias("__k", "c"))
+    added = F.col("c.kind") == "added"
+    part = F.when(F.col("__both"), added.cast("int")).otherwise(2 + added.cast("int"))
+    at = at.select(key, F.struct(part.alias("part"), F.when(added, F.col("__right")).otherwise(F.col("__left")).alias("idx"), F.col("__k").alias("k")).alias("__at"), "c.*")
+    for prefix in ignore or []:
+        at = at.where(~F.col("path").startswith(prefix))
+    changes = at.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__at", "path", "kind", "left", "right"))).alias("__all"))  # of one message
+    return changes.select(key, F.posexplode("__all").alias("n", "c")).select(key, "n", "c.path", "c.kind", "c.left", "c.right")
 
 
 def _walk(path: str, left, right) -> Iterator[tuple]:

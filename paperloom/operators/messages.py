@@ -10,7 +10,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom import rules
@@ -121,19 +121,21 @@ def required_found(segments: Column) -> Column:
     return F.flatten(F.filter(F.transform(segments, one), lambda x: F.size(x) > 0))
 
 
-def element_issues(messages: DataFrame, segments: Column, key: str, table: str) -> DataFrame:
-    """(key, idx, tag, position, message): the first failure of each rule. The rules are a fixed, small table."""
-    spark: SparkSession = messages.sparkSession
-    rows = exploded(messages, segments, key).join(F.broadcast(rules.elements(spark, table)), "tag")
+def element_issues(messages: DataFrame, segments: Column, key: str, table: str | DataFrame) -> DataFrame:
+    """(key, idx, tag, position, message): the first failure of each rule. The rules are one of the fixed, small tables, or a table of
+    the caller's (tag, position, kind, least, most, mandatory), as :func:`rules.loaded` gives it."""
+    own = rules.elements(messages.sparkSession, table) if isinstance(table, str) else table.select("tag", "position", "kind", "least", "most", "mandatory")
+    rows = rules.beside(exploded(messages, segments, key), own, "tag")
     message = element_message(F.col("fields"), F.col("tag"), *[F.col(c) for c in ("position", "kind", "least", "most", "mandatory")])
     return rows.withColumn("message", message).where("message is not null").select(key, "idx", "tag", "position", "message")
 
 
-def missing_segments(messages: DataFrame, segments: Column, key: str) -> DataFrame:
-    """(key, set_id, tag): required segments that a transaction set lacks."""
+def missing_segments(messages: DataFrame, segments: Column, key: str, table: DataFrame | None = None) -> DataFrame:
+    """(key, set_id, tag): required segments that a transaction set lacks, by the fixed table or by a loaded one."""
+    needed = rules.required_segments(messages.sparkSession) if table is None else table.where("mandatory").select("set_id", "tag")
     own = F.col("__own")
     sets = bound(bound(messages, __s=segments), __own=body(F.col("__s"))).select(key, field(first_segment(own, "ST"), 1).alias("set_id"), F.transform(own, lambda s: s["tag"]).alias("tags"))
-    return sets.join(F.broadcast(rules.required_segments(messages.sparkSession)), "set_id").where(~F.array_contains("tags", F.col("tag"))).select(key, "set_id", "tag")
+    return rules.beside(sets, needed, "set_id").where(~F.array_contains("tags", F.col("tag"))).select(key, "set_id", "tag")
 
 
 def transaction_set_issues(messages: DataFrame, segments: Column, key: str) -> DataFrame:
@@ -211,9 +213,10 @@ def envelope_found(own: Column) -> Column:
     return F.aggregate(own, start, step, finish)
 
 
-def hl7_required_issues(messages: DataFrame, segments: Column, key: str) -> DataFrame:
-    """(key, idx, tag, field, message): mandatory fields that are missing or blank."""
-    rows = exploded(messages, segments, key).join(F.broadcast(rules.hl7_required(messages.sparkSession)), "tag")
+def hl7_required_issues(messages: DataFrame, segments: Column, key: str, table: DataFrame | None = None) -> DataFrame:
+    """(key, idx, tag, field, message): mandatory fields that are missing or blank, by the fixed table or by a loaded one."""
+    own = rules.hl7_required(messages.sparkSession) if table is None else table.where("mandatory").select("tag", "field", "name")
+    rows = rules.beside(exploded(messages, segments, key), own, "tag")
     blank = F.regexp_replace(F.coalesce(F.get("fields", F.col("field") - 1), F.lit("")), r"^\s+|\s+$", "") == ""
     text = F.concat(F.lit("missing mandatory field "), F.col("tag"), F.lit("-"), F.col("field").cast("string"), F.lit(" ("), F.col("name"), F.lit(")"))
     return rows.where(blank).select(key, "idx", "tag", "field", text.alias("message"))

@@ -1,13 +1,16 @@
-"""Queries over FHIR that loses nothing and over its refusals, and the SQL that computes the same from the tables."""
+"""Queries over FHIR that loses nothing and over its refusals, rule tables that are loaded at run time and changes in order, and the SQL
+that computes the same from the tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators import fhir, writers
+from paperloom import rules
+from paperloom.operators import comparison, fhir, writers
+from paperloom.operators import messages as ops
 from paperloom.plans import messages as make
-from paperloom.sources.segments import bound
+from paperloom.sources.segments import bound, hl7_delimiters, hl7_segments, x12_segments
 
 
 def _price() -> Column:
@@ -57,12 +60,73 @@ def fhir_exact_xml(spark: SparkSession, d: str) -> DataFrame:
     return read.select(key.alias("order_key"), error.alias("error"), F.when(error.isNull(), writers.observation_again(F.col("r"))).alias("xml"))
 
 
-QUERIES = {f.__name__: f for f in (fhir_exact_resources, fhir_refused_bundles, fhir_exact_xml)}
+def _rule_lines(spark: SparkSession, d: str, odd: bool) -> DataFrame:
+    """(n, line): element rules made of the parts: part p asks that element 2 of a PO1 is p % 3 + 2 to 4 long; with ``odd``, every third
+    line has another fault."""
+    n, p = F.col("p_partkey") + 1, F.col("p_partkey")
+    line = F.concat_ws("\t", F.concat(F.lit("PO"), (p % 2).cast("string")), F.lit("2"), F.lit("r"), (p % 3 + 2).cast("string"), F.lit("4"), F.when(p % 2 == 0, "M").otherwise("O"))
+    if odd:
+        faults = F.when(p % 9 == 0, F.regexp_replace(line, "\tr\t", "\tq\t")).when(p % 9 == 3, F.regexp_replace(line, "[MO]$", "X")).otherwise(F.regexp_replace(line, "\t2\tr", "\tfour\tr"))
+        line = F.when(p % 3 == 0, faults).otherwise(line)
+    return make.table(spark, d, "part").select(n.cast("long").alias("n"), F.when(p % 10 == 9, F.lit("# a comment")).otherwise(line).alias("line"))
+
+
+def rule_line_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Every line at fault of a table of rules, with why."""
+    return rules.loaded(_rule_lines(spark, d, True), "elements").where("error is not null").select("n", "error")
+
+
+def rule_table_refused(spark: SparkSession, d: str) -> DataFrame:
+    """The first line for which a table of rules is refused."""
+    return rules.refused(rules.loaded(_rule_lines(spark, d, True), "elements"))
+
+
+def x12_issues_by_loaded_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Purchase orders against distinct rules that were loaded from lines: how often each message stands in an order."""
+    table = rules.loaded(_rule_lines(spark, d, False), "elements").drop("n", "error").distinct()
+    found = ops.element_issues(make.x12_850(make.order_lines(spark, d)), x12_segments(F.col("message")), "o_orderkey", table)
+    told = F.regexp_extract("message", "(missing mandatory|shorter than [0-9]|longer than [0-9]|violates type)", 1)
+    return found.groupBy(F.col("o_orderkey").alias("order_key"), told.alias("issue")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hl7_ordered_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Admissions against corrected ones, in the order a reader would meet the changes: another gender for keys that divide by 2, no
+    class for 3, an NTE that is gone for 5, another one that is new for 7; EVN is left out."""
+    m, key, bar = F.col("message"), F.col("c_custkey"), F.substring("message", 4, 1)
+    left = make.hl7_adt(spark, d)
+    left = left.withColumn("message", F.when(key % 5 == 0, F.concat(m, F.lit("ZZ1"), bar, F.lit("gone\r"))).otherwise(m))
+    right = F.when(key % 5 == 0, F.regexp_replace("message", "ZZ1.gone\r", "")).otherwise(m)
+    right = F.when(key % 2 == 0, F.regexp_replace(right, r"\|F\r", "|M\r")).otherwise(right)
+    right = F.when(key % 3 == 0, F.regexp_replace(right, r"PV1(.)1.[I ](?=[|!])", "PV1$11$1")).otherwise(right)
+    right = F.when(key % 7 == 0, F.regexp_replace(right, "EVN(?=[|!])", F.concat(F.lit("ZZ2"), bar, F.lit("new\rEVN")))).otherwise(right)
+    right = left.withColumn("message", F.regexp_replace(right, "EVN(.)A01", "EVN$1A08"))
+    left, right = (x.withColumn("d", hl7_delimiters(m)) for x in (left, right))
+    found = comparison.compared_segments(left, right, hl7_segments(m), "c_custkey", F.col("d.field"), "d", ignore=["EVN", "MSH"], numbered=True)
+    return found.select(key.alias("cust_key"), "n", "path", "kind", F.col("left").alias("old"), F.col("right").alias("new"))
+
+
+QUERIES = {f.__name__: f for f in (fhir_exact_resources, fhir_refused_bundles, fhir_exact_xml, rule_line_errors, rule_table_refused, x12_issues_by_loaded_rules, hl7_ordered_changes)}
 
 _PRICE = "CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) || '0'"
 _NOTE = r'"note":[{"n":[1.0,-0.50,2e3],"text":"took 5.40, \"twice\" \\ 1.0"}]'
 
+_FAULTS = """SELECT p_partkey + 1 AS n, CASE WHEN p_partkey % 9 = 0 THEN 'unknown element type `q`' WHEN p_partkey % 9 = 3 THEN 'requirement must be M, C or O, found `X`'
+        ELSE 'position must be a number, found `four`' END AS error FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 10 <> 9"""
+
 ORACLE_SQL = {
+    "rule_line_errors": _FAULTS,
+    "x12_issues_by_loaded_rules": """
+      SELECT o_orderkey AS order_key, 'longer than 4' AS issue, 3 * count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+      WHERE length(CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR)) > 4 GROUP BY 1""",
+    "hl7_ordered_changes": """
+      WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN '|' ELSE '!' END AS bar FROM customer),
+      x AS (
+        SELECT k, 0 AS part, 'PID[0]-8' AS path, 'changed' AS kind, 'F' AS old, 'M' AS new FROM c WHERE k % 2 = 0
+        UNION ALL SELECT k, 1, 'PV1[0]-2', 'removed', CASE WHEN k % 7 = 0 THEN ' ' ELSE 'I' END, NULL FROM c WHERE k % 3 = 0
+        UNION ALL SELECT k, 2, 'ZZ1[0]', 'removed', 'ZZ1' || bar || 'gone', NULL FROM c WHERE k % 5 = 0
+        UNION ALL SELECT k, 3, 'ZZ2[0]', 'added', NULL, 'ZZ2' || bar || 'new' FROM c WHERE k % 7 = 0)
+      SELECT k AS cust_key, CAST(row_number() OVER (PARTITION BY k ORDER BY part) - 1 AS INTEGER) AS n, path, kind, old, new FROM x""",
+    "rule_table_refused": f"SELECT min(n) AS n, arg_min(error, n) AS error FROM ({_FAULTS}) f",
     "fhir_exact_resources": f"""
       SELECT o_orderkey AS order_key, 0 AS n, 'o' || o_orderkey AS id, {_PRICE} AS value, '{{"meta":{{"versionId":"3"}},{_NOTE}}}' AS rest,
         '{{"id":"o' || o_orderkey || '","meta":{{"versionId":"3"}},{_NOTE},"resourceType":"Observation","status":"final","valueQuantity":{{"extension":[{{"url":"urn:x","valueDecimal":1.10}}],"unit":"mg","value":' || {_PRICE} || '}}}}' AS json

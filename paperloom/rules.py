@@ -61,6 +61,48 @@ TRANSACTION_SETS = """
 """
 
 
+#: Kinds of rule tables: their columns (name, type) in a file of tab-separated values, and what the requirement may be.
+TABLES = {
+    "elements": ([("tag", "string"), ("position", "int"), ("kind", "string"), ("least", "int"), ("most", "int"), ("need", "string")], ["M", "C", "O"]),
+    "hl7": ([("tag", "string"), ("field", "int"), ("need", "string"), ("name", "string")], ["M", "O"]),
+    "sets": ([("set_id", "string"), ("tag", "string"), ("need", "string")], ["M", "O"]),
+}
+KINDS = ["an", "n", "r", "dt", "id"]
+
+
+def loaded(lines: DataFrame, kind: str) -> DataFrame:
+    """The rules of a table's lines (n, line), n from 1, with ``error``: why a line is refused, or null. Blank lines and those that start
+    with # are left out. A table is taken whole or not at all: see :func:`refused`."""
+    columns, needs = TABLES[kind]
+    own = lines.where((F.trim("line") != "") & ~F.col("line").startswith("#")).withColumn("c", F.split(F.regexp_replace("line", "\r$", ""), "\t"))
+    text = {name: F.get("c", k) for k, (name, _) in enumerate(columns)}
+    checks = [F.when(F.size("c") != len(columns), F.concat(F.lit(f"expected {len(columns)} columns, found "), F.size("c").cast("string")))]
+    for name, of in columns:
+        if of == "int":
+            checks.append(F.when(~text[name].rlike("^[0-9]{1,5}$") | (text[name].try_cast("int") > 65535), F.concat(F.lit(f"{name} must be a number, found `"), text[name], F.lit("`"))))
+    if "kind" in text:
+        checks.append(F.when(~text["kind"].isin(KINDS), F.concat(F.lit("unknown element type `"), text["kind"], F.lit("`"))))
+    told = f"requirement must be {', '.join(needs[:-1])} or {needs[-1]}, found `"
+    checks.append(F.when(~text["need"].isin(needs), F.concat(F.lit(told), text["need"], F.lit("`"))))
+    values = [text[name].try_cast(of).alias(name) for name, of in columns if name != "need"]
+    return own.select("n", *values, (text["need"] == "M").alias("mandatory"), F.coalesce(*checks).alias("error"))
+
+
+def refused(rules_: DataFrame) -> DataFrame:
+    """(n, error): the first line at fault of a loaded table; no row where it is good."""
+    return rules_.where("error is not null").agg(F.min_by("error", "n").alias("error"), F.min("n").alias("n")).where("n is not null").select("n", "error")
+
+
+#: Rules up to which a table is broadcast; a larger one is joined by shuffling.
+BROADCAST_RULES = 20_000
+
+
+def beside(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """The rows with their rules, by a broadcast of a table whose size was counted, or else by shuffling."""
+    small = table.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    return rows.join(F.broadcast(table) if small else table.hint("shuffle_hash"), on)
+
+
 def hl7_required(spark: SparkSession) -> DataFrame:
     rows = [line.split(" ", 2) for line in HL7_REQUIRED.strip().splitlines()]
     return spark.createDataFrame([(tag, int(n), name) for tag, n, name in rows], "tag string, field int, name string")
