@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom import rules
+from paperloom.functions import sql
 from paperloom.operators import comparison, fhir, writers
 from paperloom.operators import messages as ops
 from paperloom.plans import messages as make
@@ -105,7 +106,42 @@ def hl7_ordered_changes(spark: SparkSession, d: str) -> DataFrame:
     return found.select(key.alias("cust_key"), "n", "path", "kind", F.col("left").alias("old"), F.col("right").alias("new"))
 
 
-QUERIES = {f.__name__: f for f in (fhir_exact_resources, fhir_refused_bundles, fhir_exact_xml, rule_line_errors, rule_table_refused, x12_issues_by_loaded_rules, hl7_ordered_changes)}
+def _in_sql(spark: SparkSession, d: str) -> None:
+    """The views and functions that the queries in SQL use."""
+    sql.register(spark)
+    make.hl7_adt(spark, d).createOrReplaceTempView("admissions")
+    make.x12_850(make.order_lines(spark, d)).createOrReplaceTempView("purchase_orders")
+
+
+def sql_message_formats(spark: SparkSession, d: str) -> DataFrame:
+    _in_sql(spark, d)
+    make.table(spark, d, "pages").createOrReplaceTempView("web_pages")
+    return spark.sql("""
+      SELECT format, count(*) AS n FROM (SELECT sniff_format(message) AS format FROM (
+        SELECT message FROM admissions UNION ALL SELECT message FROM purchase_orders UNION ALL SELECT html FROM web_pages)) GROUP BY format""")
+
+
+def sql_patient_fields(spark: SparkSession, d: str) -> DataFrame:
+    _in_sql(spark, d)
+    return spark.sql("SELECT c_custkey AS cust_key, hl7_component(message, 'PID', 3, 1) AS number, hl7_component(message, 'PID', 3, 4) AS authority, hl7_field(message, 'MSH', 10) AS control FROM admissions")
+
+
+def sql_missing_fields(spark: SparkSession, d: str) -> DataFrame:
+    _in_sql(spark, d)
+    return spark.sql("SELECT c_custkey AS cust_key, x.tag, x.field, x.message FROM admissions, LATERAL hl7_missing(message) x")
+
+
+def sql_redacted_messages(spark: SparkSession, d: str) -> DataFrame:
+    _in_sql(spark, d)
+    return spark.sql("SELECT c_custkey AS cust_key, hl7_field(safe, 'PID', 5) AS name, hl7_field(safe, 'PID', 7) AS born, hl7_field(safe, 'PID', 8) AS gender FROM (SELECT c_custkey, hl7_redact(message) AS safe FROM admissions)")
+
+
+def sql_purchase_orders(spark: SparkSession, d: str) -> DataFrame:
+    _in_sql(spark, d)
+    return spark.sql("SELECT o_orderkey AS order_key, x12_element(message, 'BEG', 5) AS date, x12_element(message, 'N1', 2) AS buyer, size(filter(x12_segments(message), s -> s.tag = 'PO1')) AS n_lines FROM purchase_orders")
+
+
+QUERIES = {f.__name__: f for f in (fhir_exact_resources, fhir_refused_bundles, fhir_exact_xml, rule_line_errors, rule_table_refused, x12_issues_by_loaded_rules, hl7_ordered_changes, sql_message_formats, sql_patient_fields, sql_missing_fields, sql_redacted_messages, sql_purchase_orders)}
 
 _PRICE = "CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) || '0'"
 _NOTE = r'"note":[{"n":[1.0,-0.50,2e3],"text":"took 5.40, \"twice\" \\ 1.0"}]'
@@ -126,6 +162,17 @@ ORACLE_SQL = {
         UNION ALL SELECT k, 2, 'ZZ1[0]', 'removed', 'ZZ1' || bar || 'gone', NULL FROM c WHERE k % 5 = 0
         UNION ALL SELECT k, 3, 'ZZ2[0]', 'added', NULL, 'ZZ2' || bar || 'new' FROM c WHERE k % 7 = 0)
       SELECT k AS cust_key, CAST(row_number() OVER (PARTITION BY k ORDER BY part) - 1 AS INTEGER) AS n, path, kind, old, new FROM x""",
+    "sql_message_formats": """
+      SELECT CASE WHEN c_custkey % 2 = 0 THEN 'hl7v2' END AS format, count(*) AS n FROM customer GROUP BY 1
+      UNION ALL SELECT 'x12', count(DISTINCT o_orderkey) FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION ALL SELECT 'html', count(*) FROM pages""",
+    "sql_patient_fields": "SELECT c_custkey AS cust_key, CAST(c_custkey AS VARCHAR) AS number, n_name AS authority, 'M' || c_custkey AS control FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "sql_missing_fields": """
+      SELECT c_custkey AS cust_key, 'PID' AS tag, 5 AS field, 'missing mandatory field PID-5 (Patient Name)' AS message FROM customer WHERE c_custkey % 5 = 0
+      UNION ALL SELECT c_custkey, 'PV1', 2, 'missing mandatory field PV1-2 (Patient Class)' FROM customer WHERE c_custkey % 7 = 0""",
+    "sql_redacted_messages": "SELECT c_custkey AS cust_key, '' AS name, '19' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS born, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender FROM customer",
+    "sql_purchase_orders": """
+      SELECT o_orderkey AS order_key, strftime(o_orderdate, '%Y%m%d') AS date, 'C' || o_custkey AS buyer, CAST(count(*) AS INTEGER) AS n_lines
+      FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""",
     "rule_table_refused": f"SELECT min(n) AS n, arg_min(error, n) AS error FROM ({_FAULTS}) f",
     "fhir_exact_resources": f"""
       SELECT o_orderkey AS order_key, 0 AS n, 'o' || o_orderkey AS id, {_PRICE} AS value, '{{"meta":{{"versionId":"3"}},{_NOTE}}}' AS rest,
