@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.fields import component, edifact_unescape, field, first_segment, hl7_escape_text, hl7_unescape, is_fhir_date, sniffed
 from paperloom.operators import messages as ops
 from paperloom.operators import bundles, comparison, fhir, redaction, replies
-from paperloom.plans import checks, exchange, queries, records
+from paperloom.plans import checks, clinical, exchange, queries, records
 from paperloom.sources.segments import edifact_segments, hl7_delimiters, hl7_error, hl7_segments, x12_error, x12_segments
 
 DATA = "/root/testdata/sf0.001"
@@ -23,8 +23,8 @@ def tables():
     return con
 
 
-QUERIES = queries.QUERIES | exchange.QUERIES | records.QUERIES | checks.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | exchange.ORACLE_SQL | records.ORACLE_SQL | checks.ORACLE_SQL
+QUERIES = queries.QUERIES | exchange.QUERIES | records.QUERIES | checks.QUERIES | clinical.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | exchange.ORACLE_SQL | records.ORACLE_SQL | checks.ORACLE_SQL | clinical.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
