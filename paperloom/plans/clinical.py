@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from paperloom import rules
 from paperloom.functions import sql
-from paperloom.operators import comparison, fhir, writers
+from paperloom.functions.fields import component, field, first_segment, json_pointer_escape, repetition
+from paperloom.operators import comparison, fhir, invoices, markup, writers
 from paperloom.operators import messages as ops
+from paperloom.plans import exchange
 from paperloom.plans import messages as make
+from paperloom.sources import html
 from paperloom.sources.segments import bound, hl7_delimiters, hl7_segments, x12_segments
 
 
@@ -106,6 +109,44 @@ def hl7_ordered_changes(spark: SparkSession, d: str) -> DataFrame:
     return found.select(key.alias("cust_key"), "n", "path", "kind", F.col("left").alias("old"), F.col("right").alias("new"))
 
 
+def hl7_given_delimiters(spark: SparkSession, d: str) -> DataFrame:
+    """Segments without a header, scanned by delimiters that the caller gives: the second repetition, blank for keys that divide by 3,
+    absent for 5, and its second component."""
+    key = F.col("p_partkey")
+    own = F.struct(*[F.lit(x).alias(n) for n, x in (("field", ";"), ("component", "*"), ("repeat", "+"), ("escape", "!"), ("subcomponent", "%"))])
+    second = F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("+"), F.when(key % 3 == 0, "").otherwise(F.concat("p_brand", F.lit("*"), "p_type"))))
+    text = F.concat(F.lit("ZPT;"), key.cast("string"), F.lit(";"), "p_name", second, F.lit("\nZPX;|^~\\&\n"))
+    rows = bound(make.table(spark, d, "part").select("p_partkey", "p_brand", "p_type", text.alias("text")), s=hl7_segments(F.col("text"), own))
+    value = field(first_segment(F.col("s"), "ZPT"), 2)
+    return rows.select(key.alias("part_key"), F.size("s").alias("segments"), repetition(value, 2, "+").alias("second"), component(repetition(value, 2, "+"), 2, "*").alias("part"), field(first_segment(F.col("s"), "ZPX"), 1).alias("plain"))
+
+
+def escaped_paths(spark: SparkSession, d: str) -> DataFrame:
+    """JSON pointers of names with slashes and tildes, and titles with runs of white space."""
+    name = F.concat("p_name", F.lit("/"), "p_brand", F.lit("~"), F.lit("1"))
+    title = F.concat(F.lit(" \t"), "p_name", F.lit("\u00a0\n "), "p_brand", F.lit("\r\n"))
+    return make.table(spark, d, "part").select(F.col("p_partkey").alias("part_key"), json_pointer_escape(name).alias("pointer"), markup.collapsed(title).alias("title"))
+
+
+def html_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes of start tags: quoted in either way, without quotes, in capitals, absent, of a like name."""
+    key = F.col("s_suppkey")
+    told = F.when(key % 5 == 0, F.concat(F.lit("HREF='/s/"), key.cast("string"), F.lit("'"))).when(key % 5 == 1, F.concat(F.lit('href = "/s/'), key.cast("string"), F.lit('"'))).when(key % 5 == 2, F.concat(F.lit("href=/s/"), key.cast("string"))).when(key % 5 == 3, "data-href='/x'").otherwise("")
+    return make.table(spark, d, "supplier").select(key.alias("supp_key"), html.html_attribute(F.concat(F.lit("<a class='x' "), told, F.lit(">")), "href").alias("href"))
+
+
+def ubl_party_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Invoices whose supplier has no name for keys that divide by 3, no country for 4, no address for 5, no endpoint for 7 and an
+    endpoint without its scheme for 11."""
+    i, key = F.col("i"), F.col("o_orderkey")
+    s = i["supplier"]
+    own = s.withField("name", F.when(key % 3 != 0, s["name"])).withField("has_address", key % 5 != 0).withField("country", F.when(key % 4 != 0, s["country"]))
+    own = own.withField("endpoint_id", F.when(key % 7 != 0, F.lit("E1"))).withField("endpoint_scheme", F.when(key % 11 != 0, F.lit("0088")))
+    found = exchange._read_invoices(spark, d).select(key, F.explode(invoices.ubl_issues(i.withField("supplier", own))).alias("x"))
+    named = ["BR-06", "BR-08", "BR-09", "PEPPOL-EN16931-R020", "BR-62"]  # the rules of the supplier
+    return found.where(F.col("x.rule").isin(named)).select(key.alias("order_key"), "x.rule", "x.path")
+
+
 def _in_sql(spark: SparkSession, d: str) -> None:
     """The views and functions that the queries in SQL use."""
     sql.register(spark)
@@ -141,7 +182,7 @@ def sql_purchase_orders(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT o_orderkey AS order_key, x12_element(message, 'BEG', 5) AS date, x12_element(message, 'N1', 2) AS buyer, size(filter(x12_segments(message), s -> s.tag = 'PO1')) AS n_lines FROM purchase_orders")
 
 
-QUERIES = {f.__name__: f for f in (fhir_exact_resources, fhir_refused_bundles, fhir_exact_xml, rule_line_errors, rule_table_refused, x12_issues_by_loaded_rules, hl7_ordered_changes, sql_message_formats, sql_patient_fields, sql_missing_fields, sql_redacted_messages, sql_purchase_orders)}
+QUERIES = {f.__name__: f for f in (fhir_exact_resources, fhir_refused_bundles, fhir_exact_xml, rule_line_errors, rule_table_refused, x12_issues_by_loaded_rules, hl7_ordered_changes, hl7_given_delimiters, escaped_paths, html_attributes, ubl_party_issues, sql_message_formats, sql_patient_fields, sql_missing_fields, sql_redacted_messages, sql_purchase_orders)}
 
 _PRICE = "CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) || '0'"
 _NOTE = r'"note":[{"n":[1.0,-0.50,2e3],"text":"took 5.40, \"twice\" \\ 1.0"}]'
@@ -173,6 +214,18 @@ ORACLE_SQL = {
     "sql_purchase_orders": """
       SELECT o_orderkey AS order_key, strftime(o_orderdate, '%Y%m%d') AS date, 'C' || o_custkey AS buyer, CAST(count(*) AS INTEGER) AS n_lines
       FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""",
+    "hl7_given_delimiters": r"""
+      SELECT p_partkey AS part_key, 2 AS segments, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand || '*' || p_type END AS second,
+        CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 THEN p_type END AS part, '|^~\&' AS plain FROM part""",
+    "escaped_paths": "SELECT p_partkey AS part_key, p_name || '~1' || p_brand || '~01' AS pointer, p_name || ' ' || p_brand AS title FROM part",
+    "html_attributes": "SELECT s_suppkey AS supp_key, CASE WHEN s_suppkey % 5 < 3 THEN '/s/' || s_suppkey END AS href FROM supplier",
+    "ubl_party_issues": """
+      WITH k AS (SELECT DISTINCT o_orderkey AS k FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+      SELECT k AS order_key, 'BR-06' AS rule, 'cac:PartyName/cbc:Name' AS path FROM k WHERE k % 3 = 0
+      UNION ALL SELECT k, 'BR-08', 'cac:PostalAddress' FROM k WHERE k % 5 = 0
+      UNION ALL SELECT k, 'BR-09', 'cac:PostalAddress/cac:Country/cbc:IdentificationCode' FROM k WHERE k % 4 = 0 AND k % 5 <> 0
+      UNION ALL SELECT k, 'PEPPOL-EN16931-R020', 'cbc:EndpointID' FROM k WHERE k % 7 = 0
+      UNION ALL SELECT k, 'BR-62', 'cbc:EndpointID/@schemeID' FROM k WHERE k % 11 = 0 AND k % 7 <> 0""",
     "rule_table_refused": f"SELECT min(n) AS n, arg_min(error, n) AS error FROM ({_FAULTS}) f",
     "fhir_exact_resources": f"""
       SELECT o_orderkey AS order_key, 0 AS n, 'o' || o_orderkey AS id, {_PRICE} AS value, '{{"meta":{{"versionId":"3"}},{_NOTE}}}' AS rest,
