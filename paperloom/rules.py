@@ -28,29 +28,60 @@ DG1 3 Diagnosis Code
 """
 
 X12_ELEMENTS = """
-ISA 1 id 2 2 M; ISA 2 an 10 10 C; ISA 3 id 2 2 M; ISA 4 an 10 10 C; ISA 5 id 2 2 M; ISA 6 an 15 15 M; ISA 15 id 1 1 M; ISA 16 an 1 1 M
-GS 1 id 1 12 M; GS 2 an 2 15 M; GS 3 an 1 9 M; GS 6 an 1 9 M
-ST 1 id 3 9 M; ST 2 an 4 9 M
-BPR 1 id 1 2 M; BPR 2 r 1 18 M
-N1 1 id 2 3 M; N1 2 an 1 60 C
-CLP 1 an 1 38 M; CLP 2 id 1 2 M; CLP 3 r 1 18 M
-SVC 1 an 1 48 M; SVC 2 r 1 18 M
-SE 1 n 1 10 M; SE 2 an 4 9 M
-GE 1 n 1 6 M; GE 2 an 1 9 M
-IEA 1 n 1 5 M; IEA 2 n 5 13 M
+ISA 1 id 2 2 M
+ISA 2 an 10 10 C
+ISA 3 id 2 2 M
+ISA 4 an 10 10 C
+ISA 5 id 2 2 M
+ISA 6 an 15 15 M
+ISA 15 id 1 1 M
+ISA 16 an 1 1 M
+GS 1 id 1 12 M
+GS 2 an 2 15 M
+GS 3 an 1 9 M
+GS 6 an 1 9 M
+ST 1 id 3 9 M
+ST 2 an 4 9 M
+BPR 1 id 1 2 M
+BPR 2 r 1 18 M
+N1 1 id 2 3 M
+N1 2 an 1 60 C
+CLP 1 an 1 38 M
+CLP 2 id 1 2 M
+CLP 3 r 1 18 M
+SVC 1 an 1 48 M
+SVC 2 r 1 18 M
+SE 1 n 1 10 M
+SE 2 an 4 9 M
+GE 1 n 1 6 M
+GE 2 an 1 9 M
+IEA 1 n 1 5 M
+IEA 2 n 5 13 M
 """
 
 EDIFACT_ELEMENTS = """
-UNB 1 an 1 35 M; UNB 2 an 1 35 M; UNB 3 an 1 35 M; UNB 4 an 1 35 M; UNB 5 an 1 35 M; UNB 6 an 1 35 C
-UNH 1 an 1 14 M; UNH 2 an 1 64 M; UNH 3 an 1 35 C
-BGM 1 an 1 35 M; BGM 2 an 1 35 M
+UNB 1 an 1 35 M
+UNB 2 an 1 35 M
+UNB 3 an 1 35 M
+UNB 4 an 1 35 M
+UNB 5 an 1 35 M
+UNB 6 an 1 35 C
+UNH 1 an 1 14 M
+UNH 2 an 1 64 M
+UNH 3 an 1 35 C
+BGM 1 an 1 35 M
+BGM 2 an 1 35 M
 DTM 1 an 1 35 M
-NAD 1 an 1 3 M; NAD 2 an 1 35 C
-LIN 1 an 1 6 M; LIN 2 an 1 35 C
+NAD 1 an 1 3 M
+NAD 2 an 1 35 C
+LIN 1 an 1 6 M
+LIN 2 an 1 35 C
 QTY 1 an 1 35 M
 MOA 1 an 1 35 M
-UNT 1 n 1 6 M; UNT 2 an 1 14 M
-UNZ 1 n 1 6 M; UNZ 2 an 1 14 M
+UNT 1 n 1 6 M
+UNT 2 an 1 14 M
+UNZ 1 n 1 6 M
+UNZ 2 an 1 14 M
 """
 
 TRANSACTION_SETS = """
@@ -109,14 +140,14 @@ def hl7_required(spark: SparkSession) -> DataFrame:
 
 
 def elements(spark: SparkSession, table: str) -> DataFrame:
-    rules = [x.split() for line in table.strip().splitlines() for x in line.split(";")]
+    rules = [line.split() for line in table.strip().splitlines()]
     return spark.createDataFrame([(t, int(p), k, int(a), int(b), need == "M") for t, p, k, a, b, need in rules], "tag string, position int, kind string, least int, most int, mandatory boolean")
 
 
 def element_map(table: str) -> Column:
     """The element rules of each tag, as a literal."""
     by_tag: dict[str, list[Column]] = {}
-    for t, p, k, a, b, need in (x.split() for line in table.strip().splitlines() for x in line.split(";")):
+    for t, p, k, a, b, need in (line.split() for line in table.strip().splitlines()):
         rule = F.struct(F.lit(int(p)).alias("position"), F.lit(k).alias("kind"), F.lit(int(a)).alias("least"), F.lit(int(b)).alias("most"), F.lit(need == "M").alias("mandatory"))
         by_tag.setdefault(t, []).append(rule)
     return F.create_map(*[x for t, own in by_tag.items() for x in (F.lit(t), F.array(*own))])
@@ -138,21 +169,48 @@ def required_segments(spark: SparkSession) -> DataFrame:
 #: Segment, field, component (0: the whole field), action, and the prefix of pseudonyms.
 SAFE_HARBOR = """
 PID 3 1 pseudonym PATIENT-
-PID 2 0 clear; PID 4 0 clear; PID 5 0 clear; PID 6 0 clear; PID 7 0 year; PID 9 0 clear; PID 11 0 clear; PID 12 0 clear; PID 13 0 clear; PID 14 0 clear
-PID 18 0 clear; PID 19 0 clear; PID 20 0 clear; PID 29 0 year
-PV1 7 0 clear; PV1 8 0 clear; PV1 9 0 clear; PV1 17 0 clear
+PID 2 0 clear
+PID 4 0 clear
+PID 5 0 clear
+PID 6 0 clear
+PID 7 0 year
+PID 9 0 clear
+PID 11 0 clear
+PID 12 0 clear
+PID 13 0 clear
+PID 14 0 clear
+PID 18 0 clear
+PID 19 0 clear
+PID 20 0 clear
+PID 29 0 year
+PV1 7 0 clear
+PV1 8 0 clear
+PV1 9 0 clear
+PV1 17 0 clear
 PV1 19 1 pseudonym VISIT-
-PV1 44 0 year; PV1 45 0 year
-NK1 2 0 clear; NK1 4 0 clear; NK1 5 0 clear; NK1 6 0 clear
-GT1 3 0 clear; GT1 5 0 clear; GT1 6 0 clear
-IN1 16 0 clear; IN1 19 0 clear; IN1 36 0 clear
+PV1 44 0 year
+PV1 45 0 year
+NK1 2 0 clear
+NK1 4 0 clear
+NK1 5 0 clear
+NK1 6 0 clear
+GT1 3 0 clear
+GT1 5 0 clear
+GT1 6 0 clear
+IN1 16 0 clear
+IN1 19 0 clear
+IN1 36 0 clear
 NTE 3 0 clear
-OBR 7 0 year; OBR 14 0 year; OBR 16 0 clear
-OBX 14 0 year; OBX 16 0 clear; OBX 5 0 clear
+OBR 7 0 year
+OBR 14 0 year
+OBR 16 0 clear
+OBX 14 0 year
+OBX 16 0 clear
+OBX 5 0 clear
 """
 
 
 def safe_harbor() -> list[tuple[str, int, int, str, str]]:
     """The direct identifiers of admissions and results: (segment, field, component, action, text)."""
-    rules = [x.split() for line in SAFE_HARBOR.strip().splitlines() for x in line.split(";")]
+    rules = [line.split() for line in SAFE_HARBOR.strip().splitlines()]
     return [(r[0], int(r[1]), int(r[2]), r[3], r[4] if len(r) > 4 else "") for r in rules]
