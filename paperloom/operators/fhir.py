@@ -150,7 +150,7 @@ MODELLED = {
 
 def resources(texts: DataFrame, text: Column, *keys: str) -> DataFrame:
     """(keys, n, r, whole): every resource of bundles or single resources, numbered from 0: what is modelled as columns (a quantity's
-    value with its digits), and the whole as VARIANT with exact numbers. A text that isn't JSON gives none."""
+    digits beside its value), and the whole as VARIANT with exact numbers. A text that isn't JSON gives none."""
     rows = bound(texts.select(*keys, text.alias("__t")), __v=exact_json(F.col("__t")))
     return rows.select(*keys, F.posexplode(wholes(F.col("__v"))).alias("n", "whole")).select(*keys, "n", modelled(F.col("whole")).alias("r"), "whole")
 
@@ -163,9 +163,10 @@ def wholes(v: Column) -> Column:
 
 
 def modelled(whole: Column) -> Column:
-    """What is modelled of a resource, as columns."""
+    """What is modelled of a resource, as columns; a quantity's ``value`` is a number, its ``digits`` are what was written."""
     r = F.from_json(F.to_json(whole), RESOURCE)
-    quantity = r["valueQuantity"].withField("value", digits(r["valueQuantity"]["value"]))
+    own = digits(r["valueQuantity"]["value"])
+    quantity = r["valueQuantity"].withField("value", own.try_cast("double")).withField("digits", own)
     return r.withField("valueQuantity", F.when(r["valueQuantity"].isNotNull(), quantity))
 
 

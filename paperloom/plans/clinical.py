@@ -36,7 +36,7 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
 def fhir_exact_resources(spark: SparkSession, d: str) -> DataFrame:
     """Results read and written again: the value's digits, the members without a column, the whole."""
     found = fhir.resources(_observations(spark, d), F.col("text"), "o_orderkey")
-    return found.select(F.col("o_orderkey").alias("order_key"), "n", F.col("r.id").alias("id"), F.col("r.valueQuantity.value").alias("value"), fhir.unmodelled(F.col("whole")).alias("rest"), fhir.resource_json(F.col("whole")).alias("json"))
+    return found.select(F.col("o_orderkey").alias("order_key"), "n", F.col("r.id").alias("id"), F.col("r.valueQuantity.digits").alias("value"), fhir.unmodelled(F.col("whole")).alias("rest"), fhir.resource_json(F.col("whole")).alias("json"))
 
 
 def fhir_refused_bundles(spark: SparkSession, d: str) -> DataFrame:
