@@ -110,7 +110,8 @@ def fhir_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fhir_patient_xml(spark: SparkSession, d: str) -> DataFrame:
-    rows = bound(make.hl7_adt(spark, d), p=fhir.patient(hl7_segments(F.col(MESSAGE)), hl7_delimiters(F.col(MESSAGE))))
+    rows = bound(make.hl7_adt(spark, d), s=hl7_segments(F.col(MESSAGE)), d=hl7_delimiters(F.col(MESSAGE)))
+    rows = bound(rows, p=fhir.patient(F.col("s"), F.col("d")))
     return rows.select(F.col("c_custkey").alias("cust_key"), fhir.patient_xml(F.col("p")).alias("xml"))
 
 
