@@ -113,14 +113,28 @@ def compared_segments(left: DataFrame, right: DataFrame, segments: Column, key:
     one of ``ignore`` are left out. ``numbered`` adds ``n``, the change's place in its message: values as the left message has them,
     values that only the right one has, segments that are gone, then segments that are new.
     """
-    keep = [] if separators is None else [separators]
-    found = []
-    for df, name in ((left, "__a"), (right, "__b")):
-        rows = bound(df.select(key, *keep, segments.alias("__s")), __p=_places(F.col("__s")))
-        own = None if separators is None else F.col(separators)
-        flat = F.transform("__p", lambda s: F.struct(s["seg"].alias("seg"), s["idx"].alias("idx"), F.concat(s["tag"], separator, F.call_function("array_join", s["fields"], separator)).alias("raw"), _flat(s["seg"], s["tag"], s["fields"], own).alias("flat")))
-        found.append(rows.select(key, F.explode(flat).alias("x")).select(key, F.col("x.seg").alias("__seg"), F.struct("x.idx", "x.raw", "x.flat").alias(name)))
-    both = found[0].join(found[1], [key, "__seg"], "full_outer")
+    keep = [] if separators is None else [F.col(separators)]
+    sides = []
+    for df, name in ((left, "__m"), (right, "__o")):
+        rows = bound(df, __s=segments).where(F.col("__s").isNotNull())
+        sides.append(rows.select(key, F.struct("__s", separator.alias("__c"), *keep).alias(name)))
+    # messages meet whole, and of those that differ, segments that are the same at the same number are left out
+    rows = sides[0].join(sides[1], key, "full_outer").where(~F.col("__m").eqNullSafe(F.col("__o")))
+    for mine, placed in (("__m", "__p"), ("__o", "__q")):
+        rows = bound(rows, **{placed: F.coalesce(_places(F.col(mine)["__s"]), F.expr("cast(array() as array<struct<idx:int,seg:string,tag:string,fields:array<string>>>)"))})
+    alike = F.lit(True) if separators is None else F.col("__m")[separators].eqNullSafe(F.col("__o")[separators])
+    own = lambda x: F.struct(x["seg"], x["fields"])
+
+    def side(s: Column, of: str) -> Column:
+        c, d = F.col(of)["__c"], None if separators is None else F.col(of)[separators]
+        return F.when(s.isNotNull(), F.struct(s["idx"].alias("idx"), F.concat(s["tag"], c, F.call_function("array_join", s["fields"], c)).alias("raw"), _flat(s["seg"], s["tag"], s["fields"], d).alias("flat")))
+
+    pairs = F.filter(F.zip_with("__p", "__q", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda z: ~(alike & own(z["x"]).eqNullSafe(own(z["y"]))))
+    listed = lambda n, of: F.filter(F.transform("__pairs", lambda z: F.struct(z[n]["seg"].alias("seg"), F.lit(n).alias("of"), side(z[n], of).alias("own"))), lambda z: z["seg"].isNotNull())
+    rows = bound(rows, __pairs=pairs)
+    rows = rows.select(key, F.explode(F.concat(listed("x", "__m"), listed("y", "__o"))).alias("z"))
+    mine = lambda n: F.first(F.when(F.col("z.of") == n, F.col("z.own")), True)
+    both = rows.groupBy(key, F.col("z.seg").alias("__seg")).agg(mine("x").alias("__a"), mine("y").alias("__b"))  # two at most
     none = F.lit(None).cast("string")
     whole = F.array(F.struct(F.col("__seg").alias("path"), F.when(F.col("__b").isNull(), "removed").otherwise("added").alias("kind"), F.coalesce("__a.raw", none).alias("left"), F.coalesce("__b.raw", none).alias("right")))
     empty = F.expr(f"cast(array() as {FLAT})")
