@@ -52,8 +52,8 @@ FUNCTIONS = {
           CASE WHEN s.tag = 'MSH' THEN slice(s.fields, 2, 256) ELSE s.fields END,
           (x, i) -> CASE try_element_at({_cleared()}, concat(s.tag, '-', i + 1)) WHEN 'clear' THEN '' WHEN 'year' THEN left(x, 4) ELSE x END), hl7_field_separator(m)))), '\\r')""",
     "x12_segments": f"""(m STRING) RETURNS {SEGMENT} RETURN
-        CASE WHEN startswith(m, 'ISA') AND length(m) >= 106 THEN transform(filter(transform(split(m, concat('\\\\Q', substring(m, 106, 1), '\\\\E')), x -> btrim(x, ' \\t\\n\\r')), x -> x <> ''), (x, i) -> named_struct(
-          'idx', i, 'tag', split(x, concat('\\\\Q', substring(m, 4, 1), '\\\\E'))[0], 'fields', slice(split(x, concat('\\\\Q', substring(m, 4, 1), '\\\\E'), 64), 2, 64))) END""",
+        CASE WHEN startswith(m, 'ISA') AND length(m) >= 106 THEN transform(transform(filter(transform(split(m, concat('\\\\Q', substring(m, 106, 1), '\\\\E')), x -> btrim(x, ' \\t\\n\\r')), x -> x <> ''),
+          x -> split(x, concat('\\\\Q', substring(m, 4, 1), '\\\\E'), 64)), (p, i) -> named_struct('idx', i, 'tag', p[0], 'fields', slice(p, 2, 64))) END""",
     "x12_element": "(m STRING, seg STRING, n INT) RETURNS STRING RETURN get(get(filter(x12_segments(m), s -> s.tag = seg), 0).fields, n - 1)",
     "hl7_rows": "(m STRING) RETURNS TABLE (idx INT, tag STRING, fields ARRAY<STRING>) RETURN SELECT s.idx, s.tag, s.fields FROM (SELECT explode(a) AS s FROM (SELECT hl7_segments(m) AS a))",
     "hl7_missing": f"""(m STRING) RETURNS TABLE (idx INT, tag STRING, field INT, message STRING) RETURN

@@ -14,7 +14,7 @@ from paperloom.operators import messages as ops
 from paperloom.plans import exchange
 from paperloom.plans import messages as make
 from paperloom.sources import html
-from paperloom.sources.segments import bound, hl7_delimiters, hl7_segments, x12_segments
+from paperloom.sources.segments import bound, hl7_delimiters, hl7_segments, spread, x12_segments
 
 
 def _price() -> Column:
@@ -30,7 +30,7 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(
         F.lit('{"status":"final","resourceType":"Observation",' + note + ',"valueQuantity":{"value":'), _price(), F.lit(',"unit":"mg",' + extension + '},"id":"o'), key, F.lit('","meta":{"versionId":"3"}}')
     )
-    return make.table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+    return spread(make.table(spark, d, "orders"), "o_orderkey").select("o_orderkey", text.alias("text"))
 
 
 def fhir_exact_resources(spark: SparkSession, d: str) -> DataFrame:
