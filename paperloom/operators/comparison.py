@@ -114,12 +114,13 @@ def compared_segments(left: DataFrame, right: DataFrame, segments: Column, key:
     values that only the right one has, segments that are gone, then segments that are new.
     """
     keep = [] if separators is None else [F.col(separators)]
-    sides = []
-    for df, name in ((left, "__m"), (right, "__o")):
-        rows = bound(df, __s=segments).where(F.col("__s").isNotNull())
-        sides.append(rows.select(key, F.struct("__s", separator.alias("__c"), *keep).alias(name)))
-    # messages meet whole, and of those that differ, segments that are the same at the same number are left out
-    rows = sides[0].join(sides[1], key, "full_outer").where(~F.col("__m").eqNullSafe(F.col("__o")))
+    own_of = lambda df: [c for c in df.columns if c != key]
+    met = lambda df, name: df.select(key, F.struct(*own_of(df)).alias(name))
+    # messages meet as they are: only those that differ are read, and of them, segments that are the same at the same number are left out
+    rows = met(left, "__m").join(met(right, "__o"), key, "full_outer").where(~F.col("__m").eqNullSafe(F.col("__o")))
+    for df, name, other in ((left, "__m", "__o"), (right, "__o", "__m")):
+        rows = bound(rows.select(key, other, *[F.col(name)[c].alias(c) for c in own_of(df)]), __s=segments)
+        rows = rows.select(key, other, F.when(F.col("__s").isNotNull(), F.struct("__s", separator.alias("__c"), *keep)).alias(name))
     for mine, placed in (("__m", "__p"), ("__o", "__q")):
         rows = bound(rows, **{placed: F.coalesce(_places(F.col(mine)["__s"]), F.expr("cast(array() as array<struct<idx:int,seg:string,tag:string,fields:array<string>>>)"))})
     alike = F.lit(True) if separators is None else F.col("__m")[separators].eqNullSafe(F.col("__o")[separators])

@@ -3,7 +3,9 @@
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
+from paperloom.operators import comparison
 from paperloom.plans import messages as make
+from paperloom.sources.segments import hl7_delimiters, hl7_segments
 
 
 def plan_of(df) -> str:
@@ -14,3 +16,18 @@ def test_patients_are_parsed_once_and_dealt_out(spark):
     plan = plan_of(entry.queries()["fhir_patient_xml"](spark, entry.DATA))
     assert plan.count("split(translate(message") == 1
     assert make.hl7_adt(spark, entry.DATA).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_orders_are_dealt_out(spark):
+    assert make.order_lines(spark, entry.DATA).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_messages_meet_whole(spark):
+    """Messages are joined by key, not segment by segment, and a segment put before all others changes no other."""
+    join = next(x for x in plan_of(entry.queries()["x12_changes"](spark, entry.DATA)).splitlines() if "FullOuter" in x)
+    assert "__seg" not in join
+    head = "MSH|^~\\&|A|B|C|D|1||ADT^A01|M|P|2.5\r"
+    texts = [(0, head + "PID|1\rZZ1|x\r", head + "NTE|n\rPID|1\rZZ1|x\r"), (1, head, head), (2, head, None), (3, "no message", head), (4, head + "PID|1\r", head.replace("|", "!") + "PID!1\r")]
+    left, right = (spark.createDataFrame([(t[0], t[n]) for t in texts], "k int, m string").withColumn("d", hl7_delimiters(F.col("m"))) for n in (1, 2))
+    got = sorted(tuple(r)[:3] for r in comparison.compared_segments(left, right, hl7_segments(F.col("m")), "k", F.col("d.field"), "d").collect())
+    assert got == [(0, "NTE[0]", "added"), (2, "MSH[0]", "removed"), (3, "MSH[0]", "added")]
