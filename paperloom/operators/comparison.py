@@ -1,7 +1,7 @@
 """Comparison of two versions of a document: segments, JSON, cells and lines.
 
-Every comparison matches the versions by key and place in one join; segments are numbered where their message stands, and what is
-compared within a place is nested.
+Cells and lines are matched by key and place; messages are joined by key, and those of their segments that differ are numbered where the
+message stands and brought together by place. What is compared within a place is nested.
 A change is (path, kind, left, right), kind being added, removed or changed.
 """
 
