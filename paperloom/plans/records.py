@@ -160,7 +160,7 @@ def xlsx_cells(spark: SparkSession, d: str) -> DataFrame:
 def docx_text(spark: SparkSession, d: str) -> DataFrame:
     """A document for each order, one paragraph a line, written and read."""
     paragraphs = F.concat(F.array(hl7_escape_text(F.concat(F.lit("Order <"), F.col("o_orderkey").cast("string"), F.lit(">")))), F.transform("lines", lambda x: make._text(" P", x["l_partkey"].cast("string"), " ")))
-    rows = bound(bound(make.order_lines(spark, d), content=office.docx_file(paragraphs)), t=office.docx_text(F.col("content")))
+    rows = bound(make.order_lines(spark, d), t=office.docx_text(office.docx_file(paragraphs)))  # one pass through a worker
     return rows.select(F.col("o_orderkey").alias("order_key"), "t.text", "t.error")
 
 

@@ -1,10 +1,15 @@
 """Work that must not grow faster than the tables: what is parsed once, and what is dealt out to many tasks."""
 
+import io
+import zipfile
+
 import __spark_entry__ as entry
+import pandas as pd
 from pyspark.sql import functions as F
 
 from paperloom.operators import comparison
 from paperloom.plans import messages as make
+from paperloom.sources import office
 from paperloom.sources.segments import hl7_delimiters, hl7_segments
 
 
@@ -31,3 +36,24 @@ def test_messages_meet_whole(spark):
     left, right = (spark.createDataFrame([(t[0], t[n]) for t in texts], "k int, m string").withColumn("d", hl7_delimiters(F.col("m"))) for n in (1, 2))
     got = sorted(tuple(r)[:3] for r in comparison.compared_segments(left, right, hl7_segments(F.col("m")), "k", F.col("d.field"), "d").collect())
     assert got == [(0, "NTE[0]", "added"), (2, "MSH[0]", "removed"), (3, "MSH[0]", "added")]
+
+
+def test_documents_pass_a_worker_once(spark):
+    """Writing and reading happen in one pass, and what is read by hand is what the general readers read."""
+    assert plan_of(entry.queries()["docx_text"](spark, entry.DATA)).count("ArrowEvalPython") == 1
+    content = office.docx_file.func(pd.Series([["a & <b>", None, "\x00c"]]))[0]
+    assert office._plain_part(content, b"word/document.xml") == zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")
+    assert zipfile.ZipFile(io.BytesIO(content)).testzip() is None
+    body = "<d><p><t>a<!-- c -->b<t>in</t>c</t><tab/><p><t>&lt;</t></p></p></d>"
+    deep = f"<d>{'<p><t>a' * 3000}{'</t></p>' * 3000}</d>"
+    for text, wanted in ((body, "inab\t<"), (deep, "a" + "\na" * 2999), ('<!DOCTYPE d [<!ENTITY e "q">]><d><t>&e;</t></d>', "q")):
+        for comment in (b"", b"remark"):
+            file = io.BytesIO()
+            with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("word/document.xml", text)
+                archive.comment = comment
+            assert office._document(file.getvalue()) == wanted
+    damaged = bytearray(content)
+    damaged[content.index(b"word/document.xml") + 20] ^= 255
+    assert office.docx_text.func(pd.Series([bytes(damaged), None])).values.tolist()[1] == [None, None]
+    assert office.docx_text.func(pd.Series([bytes(damaged)]))["text"][0] is None
