@@ -24,8 +24,9 @@ def bound(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def once(value: Column, use) -> Column:
-    """What ``use`` makes of a value, the value computed once: an expression that is used twice is computed twice, a lambda's argument isn't."""
-    return F.transform(F.array(value), use)[0]
+    """What ``use`` makes of a value, the value computed once: an expression that is used twice is computed twice, a lambda's argument isn't. By the
+    last step of a fold over nothing, since that, unlike a transform, doesn't copy what it gives."""
+    return F.aggregate(F.array(), value, lambda done, _: done, use)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -55,7 +56,7 @@ def _segments(parts: Column, fields) -> Column:
     def one(own: Column, i: Column) -> Column:
         return F.struct(i.alias("idx"), F.get(own, 0).alias("tag"), F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))).alias("fields"))
 
-    return F.transform(F.transform(parts, fields), one)
+    return F.transform(parts, lambda part, i: once(fields(part), lambda own: one(own, i)))
 
 
 def hl7_delimiters(message: Column) -> Column:
@@ -127,17 +128,28 @@ def edifact_error(message: Column) -> Column:
 
 def edifact_segments(message: Column) -> Column:
     """The segments. The terminator ends one even after a release character; elements keep their release characters."""
-    d = edifact_delimiters(message)
+    return once(edifact_delimiters(message), lambda d: once(_edifact_marks(d), lambda q: _edifact_segments(message, d, q)))
+
+
+def _edifact_marks(d: Column) -> Column:
+    """What the segments of a message share, computed once a message: the quoted element separator, what finds a released character,
+    and how one is shown again."""
+    shown = F.concat(F.regexp_replace(d["release"], r"([\\$])", r"\\$1"), F.lit("$1"))
+    return F.struct(quoted(d["element"]).alias("element"), F.concat(quoted(d["release"]), F.lit("(.)")).alias("pair"), shown.alias("shown"), F.concat(F.lit("\x01"), d["element"], F.lit("\x01")).alias("hidden"), F.concat(d["release"], d["element"]).alias("released"))
+
+
+def _edifact_segments(message: Column, d: Column, q: Column) -> Column:
     body = F.when(message.startswith("UNA") & (F.length(message) >= 9), F.substring(message, 10, 1 << 30)).otherwise(message)
-    parts = F.filter(F.transform(cut(body, d["terminator"]), lambda x: F.ltrim(x, F.lit("\r\n"))), lambda x: x != "")
-    pair, mark = F.concat(quoted(d["release"]), F.lit("(.)")), "\x01"
+    bare = lambda x: F.when(x.startswith("\r") | x.startswith("\n"), F.ltrim(x, F.lit("\r\n"))).otherwise(x)
+    parts = F.filter(F.transform(cut(body, d["terminator"]), bare), lambda x: x != "")
+    mark = "\x01"
 
-    def fields(part: Column, q: Column, release: Column) -> Column:
-        plain = _cut(part, q)
+    def fields(part: Column) -> Column:
         # a released separator is hidden from the split, then shown again
-        hidden = F.regexp_replace(part, pair, F.lit(f"{mark}$1{mark}"))
-        shielded = F.call_function("replace", hidden, F.concat(F.lit(mark), d["element"], F.lit(mark)), F.lit("\x02"))
-        shown = F.transform(cut(shielded, d["element"]), lambda x: F.regexp_replace(F.call_function("replace", x, F.lit("\x02"), F.concat(d["release"], d["element"])), f"{mark}(.){mark}", F.concat(F.regexp_replace(d["release"], r"([\\$])", r"\\$1"), F.lit("$1"))))
-        return F.when(F.contains(part, release), shown).otherwise(plain)
+        hidden = F.regexp_replace(part, q["pair"], F.lit(f"{mark}$1{mark}"))
+        shielded = F.call_function("replace", hidden, q["hidden"], F.lit("\x02"))
+        back = lambda x: F.regexp_replace(F.call_function("replace", x, F.lit("\x02"), q["released"]), f"{mark}(.){mark}", q["shown"])
+        shown = F.transform(_cut(shielded, q["element"]), lambda x: F.when(F.contains(x, F.lit(mark)) | F.contains(x, F.lit("\x02")), back(x)).otherwise(x))
+        return F.when(F.contains(part, d["release"]), shown).otherwise(_cut(part, q["element"]))
 
-    return once(F.struct(quoted(d["element"]).alias("q"), d["release"].alias("r")), lambda x: _segments(parts, lambda part: fields(part, x["q"], x["r"])))
+    return _segments(parts, fields)

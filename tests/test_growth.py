@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import comparison
 from paperloom.plans import messages as make
 from paperloom.sources import office
-from paperloom.sources.segments import hl7_delimiters, hl7_segments
+from paperloom.sources.segments import edifact_segments, hl7_delimiters, hl7_segments
 
 
 def plan_of(df) -> str:
@@ -57,3 +57,12 @@ def test_documents_pass_a_worker_once(spark):
     damaged[content.index(b"word/document.xml") + 20] ^= 255
     assert office.docx_text.func(pd.Series([bytes(damaged), None])).values.tolist()[1] == [None, None]
     assert office.docx_text.func(pd.Series([bytes(damaged)]))["text"][0] is None
+
+
+def test_separators_are_found_once_a_message(spark):
+    """A message's own separators are worked out for the message, not for each of its segments."""
+    rows = spark.createDataFrame([("UNA:|.? ~\nUNB|a?|b~\r\nQTY|?~",), ("UNB+a?+b??+c'\nUNT+1'",), (None,)], "m string")
+    found = rows.select(edifact_segments(F.col("m")).alias("s"))
+    assert plan_of(found).count("UNA") == 6  # five separators and where the body starts
+    got = [r.s and [(x.tag, x.fields) for x in r.s] for r in found.collect()]
+    assert got == [[("UNB", ["a?|b"]), ("QTY", ["?"])], [("UNB", ["a?+b??", "c"]), ("UNT", ["1"])], None]
