@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 import pandas as pd
 from pyspark.sql import functions as F
 
-from paperloom.operators import comparison
+from paperloom.operators import comparison, invoices
 from paperloom.plans import messages as make
 from paperloom.sources import office
 from paperloom.sources.segments import edifact_segments, hl7_delimiters, hl7_segments
@@ -66,3 +66,20 @@ def test_separators_are_found_once_a_message(spark):
     assert plan_of(found).count("UNA") == 6  # five separators and where the body starts
     got = [r.s and [(x.tag, x.fields) for x in r.s] for r in found.collect()]
     assert got == [[("UNB", ["a?|b"]), ("QTY", ["?"])], [("UNB", ["a?+b??", "c"]), ("UNT", ["1"])], None]
+
+
+def test_categories_are_read_alone(spark):
+    """A query over categories makes values of categories, not of the whole invoice, and finds those that the whole reader finds."""
+    plan = plan_of(entry.queries()["ubl_categories_without_breakdown"](spark, entry.DATA))
+    assert "StructField(cac:InvoiceLine" in plan and "StructField(cbc:CustomizationID" not in plan
+    item = lambda c: f"<cac:Item><cac:ClassifiedTaxCategory><cbc:ID>{c}</cbc:ID></cac:ClassifiedTaxCategory></cac:Item>"
+    spaces = "xmlns:cac='a' xmlns:cbc='b'"
+    texts = [
+        f"<Invoice {spaces}><cac:InvoiceLine>{item('S')}</cac:InvoiceLine><cac:InvoiceLine><cbc:ID>1</cbc:ID></cac:InvoiceLine></Invoice>",
+        f"<CreditNote {spaces}><cac:TaxTotal><cac:TaxSubtotal><cac:TaxCategory><cbc:ID>E</cbc:ID></cac:TaxCategory></cac:TaxSubtotal></cac:TaxTotal><cac:CreditNoteLine>{item('Z')}</cac:CreditNoteLine></CreditNote>",
+        "<broken", None,
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, x string")
+    for read in (invoices.read_ubl, invoices.read_categories):
+        own = rows.select("k", read(F.col("x")).alias("i")).select("k", F.transform("i.lines", lambda x: x["category"]), F.transform("i.subtotals", lambda x: x["category"]))
+        assert sorted(tuple(r) for r in own.collect()) == [(0, ["S", None], []), (1, ["Z"], ["E"]), (2, [], []), (3, [], [])]
