@@ -235,6 +235,22 @@ def test_collocations_with_a_crowded_sketch(odd, monkeypatch):
         assert told(collocations.collocations(odd)) == want
 
 
+@pytest.mark.parametrize(("longest", "least", "covered", "top"), [(3, 10, 50, 3), (4, 3, 90, 7), (3, 3, 50, 2000)])
+def test_collocations_with_floors(odd, spark, monkeypatch, longest, least, covered, top):
+    """Groups with a floor for their scores, too: those that can't fill their places above it are done again. Few phrases are counted then."""
+    monkeypatch.setattr(collocations, "FLOORS", [(500, 125_000), (20, 8_000)])
+    words = [f"w{k}" for k in range(12)]
+    rng = random.Random(longest + top)
+    rows = [(t, ["en", "fr", None][k % 3]) for k, t in enumerate(odd_texts())]
+    rows += [(" ".join(x + ("" if rng.random() < 0.9 else ",") for _ in range(200) for x in rng.choice([["New", "York"], ["a", "b", "c", "d"], *[[w] for w in words]])), "many") for _ in range(20)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert told(collocations.collocations(docs, longest=longest, least=least, covered=covered, top=top)) == plain_collocations(rows, longest, least, covered, top)
+    texts = docs.where("lang = 'many'").selectExpr("lang as group", "text")
+    low, high = collocations.bounds_of_words(collocations.word_counts(texts, least))
+    every, some = (collocations.phrase_counts(texts, 1 << 16, longest, low, high, floors, least)[0].count() for floors in ({}, {"many": 125_000}))
+    assert 0 < some < every / 5
+
+
 def test_collocations_of_the_query_and_nothing(spark, none):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     want = plain_collocations([(r["text"], r["lang"]) for r in docs.collect()])
