@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 import pandas as pd
 from pyspark.sql import functions as F
 
+from paperloom.functions.fields import sniffed
 from paperloom.operators import comparison, invoices
 from paperloom.plans import messages as make
 from paperloom.sources import office
@@ -83,3 +84,15 @@ def test_categories_are_read_alone(spark):
     for read in (invoices.read_ubl, invoices.read_categories):
         own = rows.select("k", read(F.col("x")).alias("i")).select("k", F.transform("i.lines", lambda x: x["category"]), F.transform("i.subtotals", lambda x: x["category"]))
         assert sorted(tuple(r) for r in own.collect()) == [(0, ["S", None], []), (1, ["Z"], ["E"]), (2, [], []), (3, [], [])]
+
+
+def test_texts_of_reports_are_dealt_out(spark):
+    """All three kinds of texts are dealt out by key, and neither a format nor a blank value is found by a regular expression over the text."""
+    plan = plan_of(entry.queries()["report_documents"](spark, entry.DATA))
+    assert plan.count("RepartitionByExpression [o_orderkey") == 3
+    rows = spark.createDataFrame([("\ufeff \t\x0b{",), ("\ufeff\ufeff{",), (" \ufeff{",), ("\r\n\fISA",), ("",), (None,)], "t string")
+    found = rows.select(sniffed(F.col("t")).alias("f"), invoices.blank(F.col("t")).alias("b"))
+    assert [tuple(r) for r in found.collect()] == [("fhir-json", False), (None, False), (None, False), ("x12", False), (None, True), (None, True)]
+    assert "regexp_replace" not in plan_of(found) and "\\S" not in plan_of(found)
+    blanks = spark.createDataFrame([(" \t\n\x0b\f\r",), ("\xa0",), ("\x1c",), (" a ",)], "t string")
+    assert [r.b for r in blanks.select(invoices.blank(F.col("t")).alias("b")).collect()] == [True, False, False, False]
